@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import detection_queries, model_queries, triage_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "a04_detections_histogram"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
