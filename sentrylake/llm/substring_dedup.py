@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import checkpointed
 from .common import free_name
 
 WIDTH = 13
@@ -90,38 +91,42 @@ def _windows(texts: list[str], width: int, anchor: int):
         hashes, sizes, begin = [], [], i + 1
 
 
-def _anchors(docs: DataFrame, width: int, anchor: int) -> DataFrame:
-    """(a, id, tk): each document's anchors, runs of one anchor once."""
+def _anchors(docs: DataFrame, keys: list[str], width: int, anchor: int) -> DataFrame:
+    """(a, copy, keys): each document's anchors, runs of one anchor once; copy is a hash of the text."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for batch in batches:
-            ids, tks = batch["id"].to_numpy(), batch["tk"].to_numpy()
+            values = {k: batch[k].to_numpy() for k in (*keys, "copy")}
             for doc, _, _, least in _windows(batch["text"].tolist(), width, anchor):
                 if len(doc):
-                    new = np.concatenate([[True], (np.diff(doc) != 0) | (least[1:] != least[:-1])]) & (ids[doc] != NO_ID)
-                    yield pd.DataFrame({"a": least[new].view(np.int64), "id": ids[doc[new]], "tk": tks[doc[new]]})
+                    new = np.concatenate([[True], (np.diff(doc) != 0) | (least[1:] != least[:-1])]) & (values["id"][doc] != NO_ID)
+                    yield pd.DataFrame({"a": least[new].view(np.int64), **{k: v[doc[new]] for k, v in values.items()}})
 
-    return docs.mapInPandas(emit, "a long, id long, tk int")
+    return docs.mapInPandas(emit, "a long, copy int, " + _schema(keys))
 
 
-def _candidates(docs: DataFrame, width: int, anchor: int) -> DataFrame:
-    """(w, id, tk, at): the windows whose anchor is in the document's array ``shared``."""
+def _schema(keys: list[str]) -> str:
+    return ", ".join(f"{k} {'long' if k == 'id' else 'int'}" for k in keys)
+
+
+def _candidates(docs: DataFrame, keys: list[str], width: int, anchor: int) -> DataFrame:
+    """(w, at, keys): the windows whose anchor is in the document's array ``shared``."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
         for batch in batches:
-            ids, tks, shared = batch["id"].to_numpy(), batch["tk"].to_numpy(), batch["shared"]
+            values, shared = {k: batch[k].to_numpy() for k in keys}, batch["shared"]
             for doc, at, w, least in _windows(batch["text"].tolist(), width, anchor):
                 if len(doc):
                     # an anchor that is shared is so in every document
                     known = np.unique(np.concatenate([np.asarray(s, np.int64) for s in shared.iloc[doc[0] : doc[-1] + 1]]))
                     mine = np.isin(least.view(np.int64), known)
-                    yield pd.DataFrame({"w": w[mine].view(np.int64), "id": ids[doc[mine]], "tk": tks[doc[mine]], "at": at[mine]})
+                    yield pd.DataFrame({"w": w[mine].view(np.int64), "at": at[mine], **{k: v[doc[mine]] for k, v in values.items()}})
 
-    return docs.mapInPandas(emit, "w long, id long, tk int, at int")
+    return docs.mapInPandas(emit, "w long, at int, " + _schema(keys))
 
 
 def factors(at, ref, width: int) -> list[tuple[int, int, int]]:
@@ -149,26 +154,31 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     """
     docs = docs.drop("n_words", "n_removed", "kept", "spans")
     ident, tk, text = free_name(docs, "dedup_id"), free_name(docs, "dedup_tk"), free_name(docs, "dedup_text")
-    # a row is known by its id and a hash of its text, should an id have several texts
-    marked = docs.withColumn(ident, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(tk, F.hash(text))
-    rows = marked.select(F.col(ident).alias("id"), F.col(tk).alias("tk"), F.col(text).alias("text"))
-    key = ["id", "tk"]
-
-    digests = rows.select(*key, F.unhex(F.md5("text")).alias("digest")).where(F.col("id") != NO_ID)
+    marked = docs.withColumn(ident, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
+    names, keys = {ident: "id"}, ["id"]
+    if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
+        # ids repeat, so a row is known by its id and a hash of its text
+        marked = marked.withColumn(tk, F.hash(text))
+        names, keys = {ident: "id", tk: "tk"}, ["id", "tk"]
+    rows = marked.select(*(F.col(k).alias(v) for k, v in names.items()), F.col(text).alias("text"))
+
+    digests = rows.select(*keys, F.unhex(F.md5("text")).alias("digest")).where(F.col("id") != NO_ID)
     least = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("greatest")).where("greatest > least").select("digest", "least")
-    copies = digests.join(least, "digest").where("id > least").groupBy(*key).agg(F.min("least").alias("copy_of"))
-    firsts = rows.join(copies, key, "left_anti")
-
-    anchors = _anchors(firsts, width, anchor)
-    shared = anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    of_doc = anchors.join(shared, "a").groupBy(*key).agg(F.collect_set("a").alias("shared"))
-    windows = _candidates(rows.join(of_doc, key), width, anchor)
+    copies = checkpointed(digests.join(least, "digest").where("id > least").groupBy(*keys).agg(F.min("least").alias("copy_of")))
+
+    # an anchor that only copies of one text have has one hash of a text, and is not shared
+    anchors = _anchors(rows.withColumn("copy", F.hash("text")), keys, width, anchor)
+    shared = anchors.groupBy("a").agg(F.min("copy").alias("c"), F.max("copy").alias("d"))
+    shared = shared.where("c <> d").select("a")
+    of_doc = checkpointed(anchors.drop("copy").join(shared, "a").groupBy(*keys).agg(F.collect_set("a").alias("shared")))
+    firsts = rows.join(of_doc, keys).join(copies.select(*keys), keys, "left_anti")
+    windows = _candidates(firsts, keys, width, anchor)
     index = windows.groupBy("w").agg(F.min("id").alias("ref"), F.max("id").alias("last")).where("last > ref").select("w", "ref")
     found = windows.join(index, "w").where("ref < id")
-    hits = found.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("at", F.col("ref").alias("ref")))).alias("hits"))
+    hits = found.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("at", F.col("ref").alias("ref")))).alias("hits"))
     # a copy is marked by the place -1
-    whole = copies.select(*key, F.array(F.struct(F.lit(-1).alias("at"), F.col("copy_of").alias("ref"))).alias("hits"))
-    settled = hits.unionByName(whole).select(F.col("id").alias(ident), F.col("tk").alias(tk), F.col("hits.at").alias("_at"), F.col("hits.ref").alias("_ref"))
+    whole = copies.select(*keys, F.array(F.struct(F.lit(-1).alias("at"), F.col("copy_of").alias("ref"))).alias("hits"))
+    settled = hits.unionByName(whole).select(*(F.col(v).alias(k) for k, v in names.items()), F.col("hits.at").alias("_at"), F.col("hits.ref").alias("_ref"))
 
     result = "n_words long, n_removed long, kept string, spans array<struct<start:int,stop:int,ref_id:long>>"
 
@@ -193,5 +203,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
             out.append((len(words), len(words) - len(left), b" ".join(left).decode("utf-8", "surrogatepass"), [{"start": s, "stop": e, "ref_id": i} for s, e, i in spans]))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept", "spans"])
 
-    joined = marked.join(settled, [ident, tk], "left")
-    return joined.withColumn("_cut", cut(text, "_at", "_ref")).select(*docs.columns, "_cut.*")
+    joined = marked.join(settled, list(names), "left").withColumn("_cut", cut(text, "_at", "_ref"))
+    # the id comes back from its key: so the exchange of the texts is the one that the windows read
+    own_id = F.nullif(F.col(ident), F.lit(NO_ID)).cast(docs.schema[id_col].dataType).alias(id_col)
+    return joined.select(*(own_id if c == id_col else F.col(c) for c in docs.columns), "_cut.*")
