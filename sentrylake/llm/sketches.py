@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.checkpoints import checkpointed
 from .common import words
 
 K = 128
 WIDTH = 5
-#: Documents whose neighbour is looked for in one group, at most (by distinct id).
-GROUP_IDS = 512
+#: A group in which neighbours are looked for holds 2 ** GROUP_BITS different ids at most.
+GROUP_BITS = 9
+#: So many first ids of groups are broadcast at most.
+MAX_BROADCAST = 1_000_000
 
 
 def sketch(text: Column, k: int = K, width: int = WIDTH) -> Column:
@@ -66,49 +69,54 @@ def fingerprint(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, id_col: str, value_cols: list[str], prefix: str = "next_", group_ids: int = GROUP_IDS) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, value_cols: list[str], prefix: str = "next_", group_bits: int = GROUP_BITS) -> DataFrame:
     """``docs`` and the value columns of the row with the next greater id, after the last those of the first.
 
-    Rows are grouped by id // group_ids, so a group holds at most so many
-    ids however they are spread, and ``lead`` runs inside groups.  The last row
-    of a group takes the first row of the next group that exists; groups
-    are found in the same way, level by level.  Rows that share an id are put in
-    order of their values, so each still has one neighbour.  A row with a null
-    id has no neighbour and is nobody's: its next values are null.
+    Rows are grouped by the id without its last ``group_bits`` bits, so a
+    group holds so many ids at most however they are spread, and ``lead``
+    runs inside groups.  The first row of each group is also sent to the
+    group before it, where it stands behind the last row; so the texts are
+    shuffled once.  Which group is before which is found in the same way,
+    level by level, on the group numbers.  First ids are one in many: up to
+    ``MAX_BROADCAST`` of them (24 bytes each) are broadcast, more are joined by
+    shuffle.  Rows that share an id are put in order of their values, so
+    each still has one neighbour.  A row with a null id has no neighbour and is
+    nobody's: its next values are null.
     """
     low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    value = F.struct(*value_cols)
     nulls = docs.where(F.col(id_col).isNull()).select(*docs.columns, *(F.lit(None).cast(docs.schema[c].dataType).alias(f"{prefix}{c}") for c in value_cols))
     if low is None:
         return nulls
-    window = Window.partitionBy("_g").orderBy(F.col(id_col), *map(F.col, value_cols))
-    rows = (
-        docs.where(F.col(id_col).isNotNull())
-        .withColumn("_g", F.floor(F.col(id_col) / group_ids))
-        .withColumn("_next", F.lead(value).over(window))
-        .withColumn("_is_first", F.row_number().over(window) == 1)
-    )
-    groups = docs.where(F.col(id_col).isNotNull()).select(F.floor(F.col(id_col) / group_ids).alias("_g")).distinct()
-    firsts = rows.where("_is_first").select(F.col("_g").alias("_of"), value.alias("_first"))
-    follow = _next_group(groups, low // group_ids, high // group_ids, group_ids).join(firsts, F.col("_after") == F.col("_of")).select(F.col("_g").alias("_h"), "_first")
-    last = rows.where("_next is null").drop("_next").join(follow, F.col("_g") == F.col("_h")).withColumnRenamed("_first", "_next")
-    out = rows.where("_next is not null").unionByName(last.select(*rows.columns))
-    return out.select(*docs.columns, *(F.col(f"_next.{c}").alias(f"{prefix}{c}") for c in value_cols)).unionByName(nulls)
-
-
-def _next_group(groups: DataFrame, low: int, high: int, group_ids: int) -> DataFrame:
+    own = F.shiftright(id_col, group_bits)
+    known = docs.where(F.col(id_col).isNotNull())
+    firsts = known.groupBy(own.alias("_of")).agg(F.min(id_col).alias("_first"))
+    after = _next_group(firsts.select(F.col("_of").alias("_g")), low >> group_bits, high >> group_bits, group_bits)
+    sent = checkpointed(after.join(firsts, F.col("_after") == F.col("_of")).select("_first", F.col("_g").alias("_before")))
+    if sent.count() <= MAX_BROADCAST:
+        sent = F.broadcast(sent)
+    joined = known.join(sent, F.col(id_col) == F.col("_first"), "left")
+    here, there = F.struct(own.alias("g"), F.lit(0).alias("copy")), F.struct(F.col("_before").alias("g"), F.lit(1).alias("copy"))
+    placed = joined.withColumn("_at", F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    placed = placed.select(*docs.columns, F.col("_at.g").alias("_g"), F.col("_at.copy").alias("_copy"))
+    window = Window.partitionBy("_g").orderBy("_copy", F.col(id_col), *map(F.col, value_cols))
+    out = placed.select("*", *(F.lead(c).over(window).alias(f"{prefix}{c}") for c in value_cols)).where("_copy = 0")
+    return out.drop("_g", "_copy").unionByName(nulls)
+
+
+def _next_group(groups: DataFrame, low: int, high: int, group_bits: int) -> DataFrame:
     """(_g, _after): each number of the table and the next greater one; after the greatest the least.
 
     The numbers are unique and lie between low and high.  A level looks inside
-    groups of ``group_ids`` numbers and leaves one open for each, which the
-    level above resolves; the top level is one group.
+    groups that agree but for the last bits and leaves one number open for
+    each, which the level above resolves; the top level is one group.
     """
-    if high - low < group_ids:
+    if high - low < 1 << group_bits:
         window = Window.partitionBy("_u").orderBy("_g")
         return groups.withColumn("_u", F.lit(0)).withColumn("_after", F.lead("_g").over(window)).select("_g", F.coalesce("_after", F.lit(low)).alias("_after"))
-    groups = groups.withColumn("_u", F.floor(F.col("_g") / group_ids))
+    # a few bytes for each group: kept, so that each level is worked out once
+    groups = checkpointed(groups.withColumn("_u", F.shiftright("_g", group_bits)))
     tops = groups.groupBy("_u").agg(F.min("_g").alias("_min"))
-    above = _next_group(tops.select(F.col("_u").alias("_g")), low // group_ids, high // group_ids, group_ids)
+    above = _next_group(tops.select(F.col("_u").alias("_g")), low >> group_bits, high >> group_bits, group_bits)
     jump = above.select(F.col("_g").alias("_v"), F.col("_after").alias("_w")).join(tops.select(F.col("_u").alias("_w"), "_min"), "_w").select("_v", "_min")
     found = groups.withColumn("_after", F.lead("_g").over(Window.partitionBy("_u").orderBy("_g")))
     return found.join(jump, F.col("_u") == F.col("_v")).select("_g", F.coalesce("_after", "_min").alias("_after"))

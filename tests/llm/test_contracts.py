@@ -198,7 +198,7 @@ def test_sketches_merge_and_estimate(spark):
 def test_next_over_sparse_ids(spark):
     ids = [-(2**60), -5, 0, 1, 2, 600, 10**12, 2**62]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
-    got = {r["doc_id"]: r["next_text"] for r in sketches.with_next(df, "doc_id", ["text"], group_ids=4).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in sketches.with_next(df, "doc_id", ["text"], group_bits=8).collect()}
     assert got == {a: str(b) for a, b in zip(ids, ids[1:] + ids[:1])}
 
 
