@@ -47,12 +47,20 @@ def _pack(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def _encode_column(path: str, pattern: str):
-    @F.pandas_udf("binary")
-    def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = _encoder(path, pattern).encode_ordinary
+def _encode_column(path: str, pattern: str, decoded: bool):
+    """A column of structs: the ids of a text and, if asked for, the bytes that they decode to."""
+
+    @F.pandas_udf("ids binary, decoded binary" if decoded else "ids binary")
+    def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = _encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([_pack(encode(t)) for t in texts], index=texts.index, dtype=object)
+            out: dict[str, list] = {"ids": [], "decoded": []} if decoded else {"ids": []}
+            for text in texts:
+                ids = encoder.encode_ordinary(text)
+                out["ids"].append(_pack(ids))
+                if decoded:
+                    out["decoded"].append(encoder.decode_bytes(ids))
+            yield pd.DataFrame(out, dtype=object)
 
     return encode_texts
 
@@ -126,23 +134,24 @@ def _stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> Data
     )
 
 
-def encode_long_texts(long: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """(key, ids) of every different text of (key, text); equal keys have equal texts."""
-    encode = _encode_column(path, pattern)
+def encode_long_texts(long: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
+    """(key, code) of every different text of (key, text); equal keys have equal texts.  code: ids and, if asked for, decoded."""
+    encode = _encode_column(path, pattern, decoded)
     chunks = _chunks(long, chunk_chars, overlap)
     stitches = _stitches(chunks, pattern, chunk_chars, overlap)
     pieces = chunks.join(stitches.where("not whole"), ["key", "k"]).select(
         "key", "k", F.substring("part", F.col("start") - F.col("k") * chunk_chars + 1, F.col("stop") - F.col("start")).alias("piece")
     )
-    joined = (
-        pieces.select("key", F.struct("k", encode("piece").alias("ids")).alias("piece"))
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
-        .select("key", F.aggregate("pieces", F.lit(b""), lambda ids, p: F.concat(ids, p["ids"])).alias("ids"))
-    )
+    names = ["ids", "decoded"] if decoded else ["ids"]
+
+    def joined(name: str) -> Column:
+        return F.aggregate("pieces", F.lit(b""), lambda all_, p: F.concat(all_, p["code"][name])).alias(name)
+
+    parts = pieces.select("key", F.struct("k", encode("piece").alias("code")).alias("piece")).groupBy("key").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    stitched = parts.select("key", F.struct(*map(joined, names)).alias("code"))
     never = stitches.where("whole").select("key").distinct()
     whole = long.join(never, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    return joined.unionByName(whole.select("key", encode("text").alias("ids")))
+    return stitched.unionByName(whole.select("key", encode("text").alias("code")))
 
 
 def encode(
@@ -151,25 +160,28 @@ def encode(
     pattern: str,
     text_col: str = "text",
     ids_col: str = "ids",
+    decoded_col: str | None = None,
     chunk_chars: int = CHUNK_CHARS,
     overlap: int = OVERLAP,
 ) -> DataFrame:
     """``docs`` and the packed token ids of each whole text, as the library's ``encode_ordinary`` gives them.
 
-    path, pattern: the rank file and the pre-tokeniser's pattern.  A null
-    text counts as empty, an empty text has no ids (zero bytes).  Repeated
-    rows and copies stay and get equal ids; long copies are encoded once.
-    Every other column is kept, whatever its name; ``ids_col`` is replaced
-    if it exists.  An empty table gives an empty table.
+    path, pattern: the rank file and the pre-tokeniser's pattern.  decoded_col:
+    if given, also the bytes that the ids decode to, made in the same worker.
+    A null text counts as empty, an empty text has no ids (zero bytes).
+    Repeated rows and copies stay and get equal ids; long copies are encoded
+    once.  Every other column is kept, whatever its name; the new ones are
+    replaced if they exist.  An empty table gives an empty table.
     """
     if overlap <= MARGIN or chunk_chars <= overlap:
         raise ValueError("chunks must be longer than their overlap, and that longer than the look-ahead")
-    docs = docs.drop(ids_col)
-    encode_text = _encode_column(path, pattern)
+    docs = docs.drop(*filter(None, (ids_col, decoded_col)))
+    encode_text = _encode_column(path, pattern, decoded_col is not None)
     is_long = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) > chunk_chars
-    short = docs.where(~is_long).withColumn(ids_col, encode_text(F.coalesce(F.col(text_col), F.lit(""))))
-    key = free_name(docs, "text_key")
+    key, code = free_name(docs, "text_key"), free_name(docs, "text_code")
+    short = docs.where(~is_long).withColumn(code, encode_text(F.coalesce(F.col(text_col), F.lit(""))))
     long = docs.where(is_long).withColumn(key, F.sha2(F.col(text_col), 256))
-    ids = encode_long_texts(long.select(F.col(key).alias("key"), F.col(text_col).alias("text")), path, pattern, chunk_chars, overlap)
-    found = long.join(ids.select(F.col("key").alias(key), F.col("ids").alias(ids_col)), key).drop(key)
-    return short.unionByName(found)
+    found = encode_long_texts(long.select(F.col(key).alias("key"), F.col(text_col).alias("text")), path, pattern, chunk_chars, overlap, decoded_col is not None)
+    rest = long.join(found.select(F.col("key").alias(key), F.col("code").alias(code)), key).drop(key)
+    new = [F.col(f"{code}.ids").alias(ids_col)] + ([F.col(f"{code}.decoded").alias(decoded_col)] if decoded_col else [])
+    return short.unionByName(rest).select(*docs.columns, *new)

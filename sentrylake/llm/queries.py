@@ -46,9 +46,8 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern)
-    decoded = bpe.decode(F.col("ids"), path, pattern)
-    return encoded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    encoded = bpe.encode(docs.select("doc_id", "text"), path, pattern, decoded_col="decoded")
+    return encoded.select("doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +109,49 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_url_reputation, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_fingerprints, op7_mixing, op8_substring_dedup, op9_pii, op10_simhash)
 }
-ORACLE_SQL: dict[str, str] = {}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_OP7_SQL = f"""WITH s AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+  t AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM s GROUP BY 1),
+  w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 2.0::DOUBLE * source_size AS clamp, 1.5::DOUBLE * (SELECT sum(source_size) FROM t) AS total FROM t),
+  l AS (SELECT *, (total - coalesce(sum(clamp) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY clamp / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+  water AS (SELECT level FROM l WHERE level * weight < clamp ORDER BY clamp / weight, source NULLS LAST LIMIT 1),
+  g AS (SELECT source, source_size, coalesce(least(clamp, (SELECT level FROM water) * weight), clamp) AS target FROM l),
+  r AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole, sum(size) OVER (PARTITION BY s.source ORDER BY md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size ROWS UNBOUNDED PRECEDING) AS run
+    FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source)
+  SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN size > 0 AND run - size / 2 < target - whole * source_size THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM r"""
+
+_OP8_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+  g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram FROM i), f AS (SELECT gram, min(doc_id) AS first FROM g GROUP BY 1),
+  gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM g JOIN f USING (gram) WHERE first < doc_id),
+  u AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d), kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM u ANTI JOIN gone USING (doc_id, p) GROUP BY 1)
+  SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)"""
+
+
+def _shrunk(name: str, children: str, parents: str, key: str) -> str:
+    """Two tables of a level: ``name``_j (children with their parent's mean) and ``name`` (with a and b)."""
+    on = " AND ".join(f"c.{k} = p.{k}" for k in key.split(", "))
+    low, high = url_reputation.CONCENTRATION
+    return f"""{name}_j AS (SELECT c.*, p.mean FROM {children} c JOIN {parents} p ON {on}),
+  {name}_f AS (SELECT {key}, sum(CASE WHEN n > 0 THEN n * pow(k / n - mean, 2) END) AS v, sum(n) AS pages, count(*) FILTER (n > 0) AS groups, first(mean) AS m FROM {name}_j GROUP BY {key}),
+  {name}_s AS (SELECT {key}, CASE WHEN groups < 2 OR pages <= groups THEN {low} WHEN (v / (m * (1 - m)) - groups) / (pages - groups) <= 0 THEN {high}
+    ELSE least({high}, greatest({low}, 1 / ((v / (m * (1 - m)) - groups) / (pages - groups)) - 1)) END AS s FROM {name}_f),
+  {name} AS (SELECT j.*, s * mean + k AS a, s * (1 - mean) + n - k AS b FROM {name}_j j JOIN {name}_s USING ({key}))"""
+
+
+_OP2_SQL = f"""WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+  p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
+  o AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+  c AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN o ON doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})[^/0-9]*$', 1), '') AS BIGINT) GROUP BY 1),
+  tree AS (SELECT host, split_part(host, '.', -1) AS suffix, CASE WHEN host LIKE '%.%' THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain, n, k FROM c),
+  dm AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM tree GROUP BY 1, 2), tp AS (SELECT suffix, '' AS root, sum(n) AS n, sum(k) AS k FROM dm GROUP BY 1),
+  root AS (SELECT '' AS root, (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM tp), {_shrunk("tops", "tp", "root", "root")}, tm AS (SELECT suffix, a / (a + b) AS mean FROM tops),
+  {_shrunk("doms", "dm", "tm", "suffix")}, hm AS (SELECT domain, suffix, a / (a + b) AS mean FROM doms), {_shrunk("hosts", "tree", "hm", "domain, suffix")},
+  bound AS (SELECT host, greatest(0, a / (a + b) - {url_reputation.Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower FROM hosts),
+  fits AS (SELECT p.*, lower, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p JOIN bound USING (host))
+  SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > {url_reputation.MAX_BAD_RATE} THEN 'block' ELSE 'allow' END AS verdict FROM fits"""
+
+#: The other operators hash, tokenise or learn in ways that SQL lacks; tests hold them against plain versions.
+ORACLE_SQL: dict[str, str] = {"op2_url_reputation": _OP2_SQL, "op7_mixing": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
