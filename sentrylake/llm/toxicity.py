@@ -30,7 +30,7 @@ BLOCK = 4_096
 MAX_LABELLED = 20_000
 MAX_FEATURES = 4_096
 #: Bytes of text that are hashed at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 _BASE, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
