@@ -215,3 +215,42 @@ def export_cytoscape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def export_dot(edges: DataFrame) -> DataFrame:
     """One DOT line for each edge."""
     return edges.select(F.format_string('"%s" -> "%s" [label="%s"];', "src", "dst", "type").alias("element"))
+
+
+def prune_shared_periphery(g1: DataFrame, g2: DataFrame, target: str, max_rounds: int = 20) -> DataFrame:
+    """Undirected edges (src < dst) of g1 after its outermost nodes were compared with g2, layer by layer.
+
+    A node of the layer that g2 has too goes if its neighbours are the same in
+    both; else the edges to neighbours that both have go.  All nodes of a layer
+    change at once.  Each round looks at the layer that is then outermost, as
+    far as the target reaches, and the end is when nothing changes.
+    """
+    plain = lambda g: g.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    left, right = checkpointed(plain(g1)), checkpointed(plain(g2))
+    seed = g1.sparkSession.createDataFrame([(target,)], "node string")
+    sets = lambda g, name: both_ways(g).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias(name))
+    for _ in range(max_rounds):
+        reach = _reach(left, seed)
+        outer = reach.agg(F.max("hops")).first()[0]
+        if not outer:
+            break
+        layer = reach.where(F.col("hops") == outer).select(F.col("node").alias("u"))
+        both = layer.join(sets(left, "a"), "u").join(sets(right, "b"), "u")
+        same = both.where("a = b").select("u")
+        shared = both.where("a <> b").select("u", F.explode(F.array_intersect("a", "b")).alias("v"))
+        gone = same.join(both_ways(left), "u").select("u", "v").unionByName(shared)
+        gone = checkpointed(gone.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct())
+        if gone.isEmpty():
+            break
+        left = checkpointed(left.join(gone, ["src", "dst"], "left_anti"))
+    return left
+
+
+def _reach(edges: DataFrame, seed: DataFrame) -> DataFrame:
+    """(node, hops) of everything that the seed reaches: the cutoff doubles until nothing is added."""
+    cutoff = 4
+    while True:
+        seen = hop_distance(edges, seed, cutoff)
+        if not seen.where(F.col("hops") == cutoff).limit(1).count():
+            return seen
+        cutoff *= 2

@@ -197,3 +197,52 @@ def neighbor_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     means = ends.join(elements, F.col("b") == F.col("node")).groupBy("a", "i").agg(F.avg("v").alias("m"))
     mean = means.groupBy(F.col("a").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
     return nodes.join(mean, "node", "left").withColumn("mean", F.coalesce("mean", F.transform("x", lambda v: F.lit(0.0))))
+
+
+def fit_token_embeddings(docs: DataFrame, tokens_col: str = "tokens", size: int = 30, window: int = 5, min_count: int = 1, seed: int = 42) -> DataFrame:
+    """(word, vector): word2vec by Spark ML over arrays of tokens."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=1, seed=seed, inputCol=tokens_col, outputCol="_v").fit(docs)
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+def embed_documents(docs: DataFrame, vectors: DataFrame, size: int, id_col: str = "node", tokens_col: str = "tokens", positional: bool = True) -> DataFrame:
+    """(id, x): the mean over known words of their vector and, if asked for, the sine and cosine of their place among known words.
+
+    Words are joined to the vectors; places are counted in a window over each
+    document.  A document without a known word gets zeros.
+    """
+    words = docs.select(id_col, F.posexplode(tokens_col).alias("p", "word")).join(vectors, "word")
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy("p")) - 1
+    i = F.col("i")
+    angle = F.col("place") * F.exp(-(i - i % 2) * F.lit(1.0) * F.log(F.lit(10000.0)) / size)
+    wave = F.when(i % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)) if positional else F.lit(0.0)
+    parts = words.withColumn("place", place).select(id_col, "place", F.posexplode("vector").alias("i", "v"))
+    means = parts.groupBy(id_col, "i").agg(F.avg(F.col("v") + wave).alias("m")).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("x"))
+    return docs.select(id_col).join(means, id_col, "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), size)))
+
+
+def reconstruction_error(rows: DataFrame, bottleneck: int = 2) -> DataFrame:
+    """(event_id, error, score): squared error behind a linear bottleneck (principal components of scaled columns).
+
+    The score is 0 at the 95th percentile of the errors and 1 at the 99th.
+    """
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    vectors = rows.select("event_id", array_to_vector("x").alias("v"))
+    scaler = StandardScaler(inputCol="v", outputCol="z", withMean=True, withStd=True).fit(vectors)
+    scaled = scaler.transform(vectors)
+    model = PCA(k=bottleneck, inputCol="z", outputCol="c").fit(scaled)
+    basis = model.pc.toArray().tolist()
+    flat = model.transform(scaled).select("event_id", vector_to_array("z").alias("z"), vector_to_array("c").alias("c"))
+    matrix = F.array(*(F.array(*map(F.lit, row)) for row in basis))
+    back = F.transform(matrix, lambda row: F.aggregate(F.zip_with(row, F.col("c"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    error = F.aggregate(F.zip_with("z", back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("z")
+    errors = flat.select("event_id", error.alias("error"))
+    cuts = errors.agg(F.percentile_approx("error", [0.95, 0.99], 10_000).alias("q"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("error") - low) / F.greatest(high - low, F.lit(1e-12))))
+    return errors.join(F.broadcast(cuts)).select("event_id", "error", score.alias("score"))

@@ -296,3 +296,23 @@ def neighbor_mean_features(spark, sf_dir):
     edges = s.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 10).alias("dst")).join(s.select(F.col("s_suppkey").alias("dst")), "dst", "left_semi")
     out = ml.neighbor_means(nodes, edges)
     return out.select("node", F.round(F.get("mean", F.lit(0)), 6).alias("mean_a"), F.round(F.get("mean", F.lit(1)), 6).alias("mean_b"))
+
+
+@query("m04_reconstruction_error")
+def reconstruction_error(spark, sf_dir):
+    return ml.reconstruction_error(ml.dense_numeric(security_events(spark, sf_dir), NUMBERS))
+
+
+@query("m05_m06_embed_documents")
+def embed_documents(spark, sf_dir):
+    docs = traces.node_documents(trace(spark, sf_dir))
+    return ml.embed_documents(docs, ml.fit_token_embeddings(docs, size=8), 8)
+
+
+@query("g10_prune_shared_periphery")
+def prune_shared_periphery(spark, sf_dir):
+    from ..operators import graph
+
+    rows = trace(spark, sf_dir).where("sk <= 20 and pk <= 60")
+    edges = rows.select(F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "action")
+    return graph.prune_shared_periphery(edges, edges.where("action <> 'R'"), "s3")

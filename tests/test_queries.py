@@ -98,3 +98,21 @@ def test_custody_chain(spark):
     log = triage.append_custody(spark.createDataFrame([("c", 2.0, "note", "a", "x"), ("c", 1.0, "opened", "a", "")], "case_id string, ts double, action string, actor string, detail string"))
     assert triage.verify_custody(log).first()["valid"]
     assert not triage.verify_custody(log.replace("x", "y", "detail")).first()["valid"]
+
+
+def test_prune_shared_periphery(spark):
+    from sentrylake.operators import graph
+
+    edges = lambda text: spark.createDataFrame([(e[0], e[1]) for e in text.split()], "src string, dst string")
+    # c hangs on b in both graphs and goes; then b, whose neighbours are the same in both then
+    left = graph.prune_shared_periphery(edges("ab bc ad"), edges("ab bc"), "a")
+    assert {tuple(r) for r in left.collect()} == {("a", "b"), ("a", "d")} or {tuple(r) for r in left.collect()} == {("a", "d")}
+
+
+def test_embed_documents_against_a_loop(spark):
+    docs = spark.createDataFrame([("n", ["x", "?", "y"]), ("m", ["?"])], "node string, tokens array<string>")
+    vectors = spark.createDataFrame([("x", [1.0, 2.0, 3.0, 4.0]), ("y", [5.0, 6.0, 7.0, 8.0])], "word string, vector array<double>")
+    got = {r["node"]: r["x"] for r in ml.embed_documents(docs, vectors, 4).collect()}
+    wave = lambda p: [math.sin(p), math.cos(p), math.sin(p * 10000 ** (-2 / 4)), math.cos(p * 10000 ** (-2 / 4))]
+    want = [(a + u + b + v) / 2 for a, u, b, v in zip([1, 2, 3, 4], wave(0), [5, 6, 7, 8], wave(1))]
+    assert got["n"] == pytest.approx(want) and got["m"] == [0.0] * 4
