@@ -4,10 +4,10 @@ Two histograms of a document's words are compared to its language's: of
 character classes (by code points) and of the language's most common words
 (lower-cased, with one bin for all others).  The references are those of all
 documents of the language together.
-Languages with less than ``min_share`` of the words share one reference over the
-corpus, so at most ``1 / min_share`` languages have their own and the table of
-references can be broadcast.  The measure is the Jensen-Shannon distance (base
-2, 0 to 1).  A document that is too short for a histogram is not judged by it.
+A language of fewer than ``min_words`` words has no reference and its documents
+are not judged by divergence; only documents without a language are compared to
+the whole corpus.  The measure is the Jensen-Shannon distance (base 2, 0 to 1).
+A document that is too short for a histogram is not judged by it.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 COMMON_WORDS = 24
 #: Common words are looked for among words of so many code points at most.
 MAX_COMMON_CHARS = 6
-MIN_SHARE = 0.001
+#: Words that a language needs for a reference, whatever lies beside it.
+MIN_REFERENCE_WORDS = 5_000
+#: A table of more references is joined, not broadcast.
+MAX_BROADCAST = 10_000
 #: Guards: code points of words for the character classes, words for the common words.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 80, 50
 #: Distances above these are rejected.
@@ -120,14 +123,14 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return each.groupBy("lang", word.alias("word")).agg(F.count("*").alias("c"))
 
 
-def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int = COMMON_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(lang, common, word_ref, char_ref): at most 1 / min_share languages, and ``*`` for all others.
+def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int = COMMON_WORDS, min_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
+    """(lang, common, word_ref, char_ref) of each language of ``min_words`` words, and ``*`` for the whole corpus.
 
     common: the first n words by count, ties to the lesser, among those of a
     few characters; word_ref: their shares and, last, that of all other words;
     char_ref: the shares of the character classes among the characters of
-    words.  Counts cover all documents.  The table is checkpointed: several
-    joins read it, and it is a few rows.
+    words.  Counts cover all documents.  The table is checkpointed:
+    several joins read it, and it has a row for each language.
     """
     k = len(CLASSES) + 1
 
@@ -144,10 +147,8 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     chars = docs.select(F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("lang"), _char_counts(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
     chars = chars.groupBy("lang").agg(*(F.sum(F.col("n")[i].cast("long")).alias(f"c{i}") for i in range(k)))
     chars = with_pooled(chars).groupBy("lang").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(k)))
-    table = checkpointed(tops.join(chars, "lang"))
+    table = checkpointed(tops.join(chars, "lang").where(F.col("total") >= min_words))
 
-    every = table.where(F.col("lang") == POOLED).select(F.col("total").alias("every"))
-    table = table.join(F.broadcast(every)).where(F.col("total") >= min_share * F.col("every"))
     shares = F.transform("top", lambda x: -x["c"] / F.col("total"))
     rest = 1 + F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x["c"]) / F.col("total")
     all_chars = sum((F.col(f"c{i}") for i in range(k) if i != SPACE_CLASS), F.lit(0))
@@ -197,17 +198,16 @@ def judge(
     """``docs`` and a struct ``quality``: the base counts, base_failed, char_distance, word_distance, kept.
 
     refs: a table as ``references`` makes; by default that of ``docs``.  A null
-    language, and one without a reference, is compared to the pooled one.  A
-    distance is null where the text is too short for it, and then rejects
-    nothing.  A null text has no words and fails the base rules.  Rows stay as
+    language is compared to the pooled one.  A distance is null where the
+    language has no reference or the text is too short, and then rejects nothing.  A null text has no words and fails the base rules.  Rows stay as
     they are, repeated ones too; a column named quality is replaced.
     """
     docs = docs.drop("quality")
     refs = references(docs, lang_col, text_col) if refs is None else refs
-    own = refs.where(F.col("lang") != POOLED).select(F.col("lang").alias("_lang"), F.struct("common", "word_ref", "char_ref").alias("_ref"))
-    pooled = refs.where(F.col("lang") == POOLED).select(F.struct("common", "word_ref", "char_ref").alias("_pooled"))
-    joined = docs.join(F.broadcast(own), F.col(lang_col) == F.col("_lang"), "left").join(F.broadcast(pooled), F.lit(True), "left")
-    ref = F.coalesce("_ref", "_pooled")
+    own = refs.select(F.col("lang").alias("_lang"), F.struct("common", "word_ref", "char_ref").alias("_ref"))
+    own = F.broadcast(own) if refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else own
+    joined = docs.join(own, F.coalesce(F.col(lang_col), F.lit(POOLED)) == F.col("_lang"), "left")
+    ref = F.col("_ref")
     t = F.coalesce(F.col(text_col), F.lit(""))
 
     def of(x: Column) -> Column:
