@@ -24,12 +24,13 @@ SYMBOLS = r"[#*$%&|<>]+"
 MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT = 10, 5, 20
 
 COMMON_WORDS = 24
-#: Common words are looked for among words of so many code points at most.
-MAX_COMMON_CHARS = 6
+#: Words are first counted by so many values of their hash, of which so many are looked into at first.
+BUCKETS, FIRST_BUCKETS = 1 << 16, 256
 #: Words that a language needs for a reference, whatever lies beside it.
 MIN_REFERENCE_WORDS = 5_000
 #: A table of more references is joined, not broadcast.
 MAX_BROADCAST = 10_000
+MAX_BROADCAST_BUCKETS = 200_000
 #: Guards: code points of words for the character classes, words for the common words.
 MIN_CHARS_JUDGED, MIN_WORDS_JUDGED = 80, 50
 #: Distances above these are rejected.
@@ -113,40 +114,60 @@ def base_failed(counts: Column) -> Column:
     return (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
 
 
-def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_chars: int = MAX_COMMON_CHARS) -> DataFrame:
-    """(lang, word, c) over all documents, summed in each task before the shuffle; a null language counts as ``*``.
+def _with_pooled(df: DataFrame) -> DataFrame:
+    """Every count belongs to its language and to the pooled reference."""
+    return df.withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit(POOLED)))))
 
-    Words are lower-cased; those of more than ``max_chars`` are counted together under the empty word.
+
+def common_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int = COMMON_WORDS, buckets: int = BUCKETS, first: int = FIRST_BUCKETS) -> DataFrame:
+    """(lang, total, top): the words of each language and of ``*``, and its first n, as structs (-c, word), by count, ties to the lesser.
+
+    Words are lower-cased and of any length.  The rare ones are never shuffled:
+    all are counted by buckets of their hash, and one by one only in the largest
+    buckets.  A word has at most its bucket's count, so the first n are exact once
+    the n-th of them has more than the largest bucket left out; until then more
+    buckets are looked into.
     """
-    each = docs.select(F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("lang"), F.explode(words(F.col(text_col))).alias("w"))
-    word = F.when(F.char_length("w") <= max_chars, F.lower("w")).otherwise(F.lit(""))
-    return each.groupBy("lang", word.alias("word")).agg(F.count("*").alias("c"))
+    each = docs.select(F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("lang"), F.explode(words(F.col(text_col))).alias("w")).select("lang", F.lower("w").alias("word"))
+    each = each.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int"))
+    by_bucket = checkpointed(_with_pooled(each.groupBy("lang", "bucket").agg(F.count("*").alias("c"))).groupBy("lang", "bucket").agg(F.sum("c").alias("c")))
+    ranked = checkpointed(by_bucket.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "bucket"))))
+    total = ranked.groupBy("lang").agg(F.sum("c").alias("total"), F.max("r").alias("most"))
+    langs = total.select(F.col("lang"))
+    while True:
+        chosen = ranked.where(F.col("r") <= first).select("lang", "bucket")
+        # a word of any language may be common in the whole corpus
+        pooled = langs.join(chosen.where(F.col("lang") == POOLED).select("bucket"))
+        looked = checkpointed(chosen.unionByName(pooled).distinct())
+        few = looked.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS
+        counts = each.join(F.broadcast(looked) if few else looked, ["lang", "bucket"], "left_semi").groupBy("lang", "bucket", "word").agg(F.count("*").alias("c"))
+        counts = _with_pooled(counts).groupBy("lang", "bucket", "word").agg(F.sum("c").alias("c")).join(chosen, ["lang", "bucket"], "left_semi")
+        # the first n of each of 64 parts, then of all, so that no task sorts a language's words
+        best = Window.partitionBy("lang", F.pmod("bucket", F.lit(64))).orderBy(F.desc("c"), "word")
+        item = F.struct((-F.col("c")).alias("c"), "word")
+        tops = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= n).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(item)), 1, n).alias("top"))
+        tops = checkpointed(tops.join(total, "lang"))
+        left = ranked.where(F.col("r") == first + 1).select("lang", F.col("c").alias("left"))
+        open_ = tops.join(left, "lang").where((F.size("top") < n) | (-F.element_at("top", -1)["c"] <= F.col("left")))
+        if open_.isEmpty():
+            return tops.select("lang", "total", "top")
+        first *= 8
 
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int = COMMON_WORDS, min_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
     """(lang, common, word_ref, char_ref) of each language of ``min_words`` words, and ``*`` for the whole corpus.
 
-    common: the first n words by count, ties to the lesser, among those of a
-    few characters; word_ref: their shares and, last, that of all other words;
+    common: the first n words by count, ties to the lesser; word_ref: their shares and, last, that of all other words;
     char_ref: the shares of the character classes among the characters of
     words.  Counts cover all documents.  The table is checkpointed:
     several joins read it, and it has a row for each language.
     """
     k = len(CLASSES) + 1
 
-    def with_pooled(df: DataFrame) -> DataFrame:
-        # every count belongs to its language and to the pooled reference
-        return df.withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit(POOLED)))))
-
-    counts = with_pooled(word_counts(docs, lang_col, text_col)).groupBy("lang", "word").agg(F.sum("c").alias("c"))
-    item = F.struct((-F.col("c")).alias("c"), "word")
-    # the first n of each of 64 parts, then of all, so that no task sorts a language's words
-    part = F.pmod(F.xxhash64("word"), F.lit(64))
-    ranked = counts.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy((F.col("word") == "").cast("int"), F.desc("c"), "word")))
-    tops = ranked.groupBy("lang").agg(F.sum("c").alias("total"), F.slice(F.array_sort(F.collect_list(F.when((F.col("r") <= n) & (F.col("word") != ""), item))), 1, n).alias("top"))
+    tops = common_words(docs, lang_col, text_col, n)
     chars = docs.select(F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("lang"), _char_counts(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
     chars = chars.groupBy("lang").agg(*(F.sum(F.col("n")[i].cast("long")).alias(f"c{i}") for i in range(k)))
-    chars = with_pooled(chars).groupBy("lang").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(k)))
+    chars = _with_pooled(chars).groupBy("lang").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(k)))
     table = checkpointed(tops.join(chars, "lang").where(F.col("total") >= min_words))
 
     shares = F.transform("top", lambda x: -x["c"] / F.col("total"))
@@ -215,8 +236,8 @@ def judge(
         n = F.char_length(t) - chars[SPACE_CLASS]
         return F.struct(
             *_base(t, w, chars),
-            F.when(n >= min_chars, _char_distance(chars, n, ref["char_ref"])).alias("char_distance"),
-            F.when(F.size(w) >= min_words, _word_distance(w, ref["common"], ref["word_ref"])).alias("word_distance"),
+            F.when(ref.isNotNull() & (n >= min_chars), _char_distance(chars, n, ref["char_ref"])).alias("char_distance"),
+            F.when(ref.isNotNull() & (F.size(w) >= min_words), _word_distance(w, ref["common"], ref["word_ref"])).alias("word_distance"),
         )
 
     once = F.struct(words(F.col(text_col)).alias("w"), _char_counts(t).alias("chars"))

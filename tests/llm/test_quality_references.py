@@ -29,3 +29,20 @@ def test_a_small_language_is_not_judged_by_others(spark):
     judged = quality.judge(beside).where("lang <> 'en'").select("doc_id", "lang", "quality.*").collect()
     assert len(judged) == 62 and all(r["kept"] for r in judged)
     assert all((r["word_distance"] is None) == (r["lang"] == "zz") for r in judged)
+
+
+def test_common_words_are_of_any_length(spark):
+    rng = random.Random(5)
+    long = ["Donaudampfschiff", "selbstverst\u00e4ndlich", "m\u00f6glicherweise", "Kurz"]
+    rows = docs(rng, "de", 0, 100, long, [f"seltenes{i}wort" for i in range(900)]) + docs(rng, "en", 500, 100, ["the"], [f"w{i}" for i in range(900)])
+    df = spark.createDataFrame(rows, SCHEMA)
+    for buckets, first in ((1 << 16, 256), (64, 1)):  # the second has to look into more buckets
+        got = {r["lang"]: (r["total"], [(-x["c"], x["word"]) for x in r["top"]]) for r in quality.common_words(df, buckets=buckets, first=first).collect()}
+        for lang in ("de", "en", "*"):
+            count = {}
+            for _, text, of in rows:
+                if lang in (of, "*"):
+                    for w in text.lower().split():
+                        count[w] = count.get(w, 0) + 1
+            want = sorted((-c, w) for w, c in count.items())[:24]
+            assert got[lang] == (sum(count.values()), [(-c, w) for c, w in want])
