@@ -148,3 +148,45 @@ def group_sums(rows):
     for k, v in rows:
         out[k] += v
     return dict(out)
+
+
+def pii_entities(kind, raw):
+    v = raw.lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", raw)
+    holder = {"email": lambda: v.split("@")[-1], "ip": lambda: ".".join(v.split(".")[:2]), "card": lambda: v[:6], "phone": lambda: v[:4]}[kind]()
+    return {f"{kind}:{v}", f"{kind} of {holder}"}
+
+
+def disclosed(rows, disclosure=0.9, remove_at=0.95, min_bits=5.0, min_texts=2, discount=1.0):
+    """rows: texts, one for each document; {text: [(kind, start, stop, removed)]} by counting all pairs."""
+    import math
+
+    import regex
+
+    token = regex.compile(r"[\p{L}\p{N}]+")
+    base = {t: pii(t) for t in set(rows)}
+    bare = {}
+    for t, spans in base.items():
+        letters = list(t or "")
+        for _, a, b in spans:
+            letters[a:b] = " " * (b - a)
+        bare[t] = "".join(letters)
+    terms = {t: {m[0].lower() for m in token.finditer(x) if len(m[0].lower()) >= 4} for t, x in bare.items()}
+    n, n_t, n_e, n_te, texts = len(rows), Counter(), Counter(), Counter(), defaultdict(set)
+    for t in rows:
+        n_t.update(terms[t])
+        entities = set().union(*(pii_entities(k, t[a:b]) for k, a, b in base[t])) if base[t] else set()
+        n_e.update(entities)
+        for e in entities:
+            for w in terms[t]:
+                n_te[e, w] += 1
+                texts[e, w].add(t)
+    telling = {}
+    for (e, w), both in n_te.items():
+        if len(texts[e, w]) >= min_texts and both > discount and n_e[e] < n:
+            bits = math.log2(n * (both - discount) / (n_t[w] * n_e[e]))
+            share = round(bits / math.log2(n / n_e[e]), 9)
+            if bits >= min_bits and share >= disclosure:
+                telling[w] = max(share, telling.get(w, 0))
+    return {
+        t: [(*s, False) for s in base[t]] + [("term", *m.span(), telling[m[0].lower()] >= remove_at) for m in token.finditer(bare[t]) if m[0].lower() in telling and len(m[0]) >= 4] for t in base
+    }

@@ -241,7 +241,6 @@ def test_pii(spark, folder):
         assert r["base_sha256"] == plain.sha(",".join(listed))
         found = r["spans"].split(",") if r["spans"] else []
         assert found[: len(listed)] == listed and all(s.startswith("term:") for s in found[len(listed) :])
-        assert spans or not found
 
 
 def test_simhash(spark, folder):
