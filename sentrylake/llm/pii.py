@@ -216,7 +216,7 @@ def find(
     rows count).  A column named pii is replaced; all others are kept.
     """
     docs = docs.drop("pii")
-    tk, text = free_name(docs, "pii_tk"), F.col(text_col)
+    tk, base_col, hits_col, text = *(free_name(docs, f"pii_{x}") for x in ("tk", "base", "hits")), F.col(text_col)
     marked = docs.withColumn(tk, F.unhex(F.md5(text_col)))
     found = checkpointed(protected_texts(docs, text_col))
     telling = disclosures(docs, found, text_col, disclosure, min_bits, min_texts, discount)
@@ -226,7 +226,7 @@ def find(
     written = docs.select(F.unhex(F.md5(text_col)).alias("tk"), F.explode(_tokens(text)).alias("token"))
     hits = written.join(_few(telling), F.lower("token") == F.col("term")).select("tk", "token", "removed").distinct()
     hits = hits.groupBy("tk").agg(F.array_sort(F.collect_list(F.struct("token", "removed"))).alias("hits"))
-    spans = checkpointed(found.select("tk", "base").join(hits, "tk", "full").select(F.col("tk").alias(tk), F.col("base").alias("_base"), F.col("hits").alias("_hits")))
+    spans = checkpointed(found.select("tk", "base").join(hits, "tk", "full").select(F.col("tk").alias(tk), F.col("base").alias(base_col), F.col("hits").alias(hits_col)))
     none = F.array().cast("array<struct<kind:string,start:int,stop:int,removed:boolean>>")
 
     def terms(x: Column) -> Column:
@@ -234,9 +234,9 @@ def find(
         gone = F.filter(x["hits"], lambda h: h["removed"])["token"]
         return F.transform(matches(x["text"], pattern), lambda m: F.struct(F.lit("term").alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), F.array_contains(gone, m["value"]).alias("removed")))
 
-    base = F.coalesce(F.transform("_base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(False).alias("removed"))), none)
-    plain = F.when(F.col("_base").isNull(), text).otherwise(masked(text, F.col("_base")))
-    added = F.when(F.col("_hits").isNull(), none).otherwise(bound(F.struct(plain.alias("text"), F.col("_hits").alias("hits")), terms))
+    base = F.coalesce(F.transform(base_col, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(False).alias("removed"))), none)
+    plain = F.when(F.col(base_col).isNull(), text).otherwise(masked(text, F.col(base_col)))
+    added = F.when(F.col(hits_col).isNull(), none).otherwise(bound(F.struct(plain.alias("text"), F.col(hits_col).alias("hits")), terms))
     keys = spans.select(tk)
     if spans.limit(MAX_BROADCAST + 1).count() > MAX_BROADCAST:
         return marked.join(spans, tk, "left").withColumn("pii", F.concat(base, added)).select(*docs.columns, "pii")
