@@ -1,13 +1,15 @@
-"""Byte-level BPE over whole texts, long ones in overlapping chunks.
+"""Byte-level BPE over whole texts in overlapping chunks.
 
-Texts of up to ``chunk_chars`` are encoded where they lie, without a shuffle.
-A longer text is cut into chunks that overlap.  Each chunk is pre-tokenised on
-its own; as a match of the pattern depends only on the text from its start on,
-two chunks that both have a boundary at one place agree from there on.  The
-chunks are stitched at the first such place of each overlap, and the pieces
-between the stitches are encoded separately, in parallel.  A text with an
-overlap in which the chunks never agree (one pre-token longer than the
-overlap) is encoded whole instead.
+A text is cut into chunks that overlap.  Each chunk is pre-tokenised on its own;
+as a match of the pattern depends only on the text from its start on, two chunks
+that both have a boundary at one place agree from there on.  The chunks are
+stitched at the first such place of each overlap, and the pieces between the
+stitches are encoded separately.  Where the chunks do not agree within their
+overlap (a pre-token longer than it), the overlap is widened step by step.
+
+A text of up to ``spread_chars`` has its chunks, stitches and pieces in the worker that
+reads it, without a shuffle.  A longer one is first cut in the same way into
+chunks of that length, which different tasks pre-tokenise and encode.
 
 Ids are kept as packed little-endian unsigned 32-bit integers, which take a
 fifth of an array's room in a shuffle and can be hashed as they are.
@@ -16,6 +18,7 @@ fifth of an array's room in a shuffle and can be hashed as they are.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,10 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.checkpoints import checkpointed
 from .common import free_name
 
-CHUNK_CHARS = 32_768
-OVERLAP = 1_024
+CHUNK_CHARS, OVERLAP = 4_096, 256
+#: Chunks of a text that several tasks share, and their overlap.
+SPREAD_CHARS, SPREAD_OVERLAP = 65_536, 1_024
+#: Overlaps that do not agree are widened by so much.
+WIDER = 4
 #: The longest look-ahead of the pattern: an apostrophe and two letters.
 MARGIN = 3
 
@@ -47,7 +54,55 @@ def _pack(ids: list[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def _encode_column(path: str, pattern: str, decoded: bool):
+@lru_cache(maxsize=4)
+def _matcher(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
+def _ends(match, part: str, is_last: bool) -> list[int]:
+    """The boundaries of a chunk, ascending, without those that the text behind the chunk may move."""
+    ends = [m.end() for m in match.finditer(part)]
+    if not is_last:
+        # a match that touches the chunk's end, or ends too near to it, may go on beyond
+        while ends and (ends[-1] == len(part) or ends[-1] + MARGIN > len(part)):
+            ends.pop()
+    return ends
+
+
+def _agree(left: list[int], right: list[int], by: int, within: int) -> int | None:
+    """The first boundary of the right chunk that the left one has too.  by: where the right one starts in the left one."""
+    if (i := bisect_left(left, by)) < len(left) and left[i] == by:
+        return 0
+    known = set(left[i:])
+    return next((b for b in right if b < within and b + by in known), None)
+
+
+def pieces(text: str, pattern: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP) -> list[str]:
+    """The pieces between the stitches of a text's chunks; the text itself if it is one chunk."""
+    match, n = _matcher(pattern), len(text)
+    cuts = range(chunk, n - overlap, chunk)
+    if not cuts:
+        return [text] if text else []
+
+    def ends(at: int, wide: int) -> list[int]:
+        return _ends(match, text[at : at + chunk + wide], at + chunk + wide >= n)
+
+    starts, left = [0], ends(0, overlap)
+    for at in cuts:
+        right, wide = ends(at, overlap), overlap
+        found = _agree(left, right, chunk, wide)
+        while found is None and at + wide < n:
+            wide *= WIDER
+            found = _agree(ends(at - chunk, wide), ends(at, wide), chunk, wide)
+        # a stitch beyond the next chunk's own one leaves that chunk without a piece
+        starts.append(max(starts[-1], n if found is None else at + found))
+        left = right
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], n]) if a < b]
+
+
+def _encode_column(path: str, pattern: str, decoded: bool, chunk: int, overlap: int):
     """A column of structs: the ids of a text and, if asked for, the bytes that they decode to."""
 
     @F.pandas_udf("ids binary, decoded binary" if decoded else "ids binary")
@@ -56,10 +111,10 @@ def _encode_column(path: str, pattern: str, decoded: bool):
         for texts in batches:
             out: dict[str, list] = {"ids": [], "decoded": []} if decoded else {"ids": []}
             for text in texts:
-                ids = encoder.encode_ordinary(text)
-                out["ids"].append(_pack(ids))
+                parts = [encoder.encode_ordinary(p) for p in pieces(text, pattern, chunk, overlap)]
+                out["ids"].append(b"".join(map(_pack, parts)))
                 if decoded:
-                    out["decoded"].append(encoder.decode_bytes(ids))
+                    out["decoded"].append(b"".join(map(encoder.decode_bytes, parts)))
             yield pd.DataFrame(out, dtype=object)
 
     return encode_texts
@@ -105,21 +160,17 @@ def _chunks(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
 
 
 def _stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, k, start, stop, whole): each chunk's piece of its text, or whole = true if one overlap never agrees."""
+    """(key, k, start, stop, never): each chunk's piece of its text; never = true for a text with an overlap that does not agree."""
 
     def pretokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        match = regex.compile(pattern)
+        match = _matcher(pattern)
         for batch in batches:
             heads, tails = [], []
             for k, n, part in zip(batch["k"], batch["n"], batch["part"]):
-                at, end, last = k * chunk, len(part), k * chunk + len(part) >= n
-                # a match that touches the chunk's end, or starts too near to it, may go on beyond
-                spans = [m.span() for m in match.finditer(part)]
-                safe = [b for a, b in spans if b < end and b + MARGIN <= end]
-                heads.append([at + a for a, _ in spans if a < overlap] if k else [])
-                tails.append([] if last else [at + b for b in safe if b >= chunk])
+                at, last = k * chunk, k * chunk + len(part) >= n
+                ends = _ends(match, part, last)
+                heads.append([at, *(at + b for b in ends if b < overlap)] if k else [])
+                tails.append([] if last else [at + b for b in ends[bisect_left(ends, chunk) :]])
             yield pd.DataFrame({"key": batch["key"], "k": batch["k"], "n": batch["n"], "head": heads, "tail": tails})
 
     bounds = chunks.mapInPandas(pretokenise, "key string, k int, n long, head array<long>, tail array<long>")
@@ -129,29 +180,35 @@ def _stitches(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> Data
         bounds.withColumn("is_last", is_last)
         .withColumn("stop", F.when(F.col("is_last"), F.col("n")).otherwise(F.array_min(F.array_intersect("tail", F.lead("head").over(by_text)))))
         .withColumn("start", F.when(F.col("k") == 0, F.lit(0)).otherwise(F.lag("stop").over(by_text)))
-        .withColumn("whole", F.max(F.col("stop").isNull()).over(Window.partitionBy("key")))
-        .select("key", "k", "start", "stop", "whole")
+        .withColumn("never", F.max(F.col("stop").isNull()).over(Window.partitionBy("key")))
+        .select("key", "k", "start", "stop", "never")
     )
 
 
-def encode_long_texts(long: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS, overlap: int = OVERLAP, decoded: bool = False) -> DataFrame:
-    """(key, code) of every different text of (key, text); equal keys have equal texts.  code: ids and, if asked for, decoded."""
-    encode = _encode_column(path, pattern, decoded)
-    chunks = _chunks(long, chunk_chars, overlap)
-    stitches = _stitches(chunks, pattern, chunk_chars, overlap)
-    pieces = chunks.join(stitches.where("not whole"), ["key", "k"]).select(
-        "key", "k", F.substring("part", F.col("start") - F.col("k") * chunk_chars + 1, F.col("stop") - F.col("start")).alias("piece")
+def encode_long_texts(long: DataFrame, path: str, pattern: str, spread: int, spread_overlap: int, chunk: int, overlap: int, decoded: bool = False) -> DataFrame:
+    """(key, code) of every different text of (key, text); equal keys have equal texts.  code: ids and, if asked for, decoded.
+
+    Texts with an overlap that does not agree are cut again with chunks and
+    overlaps ``WIDER`` times as long, until none is left.
+    """
+    encode = _encode_column(path, pattern, decoded, chunk, overlap)
+    chunks = _chunks(long, spread, spread_overlap)
+    stitches = checkpointed(_stitches(chunks, pattern, spread, spread_overlap))
+    found = chunks.join(stitches.where("not never"), ["key", "k"]).select(
+        "key", "k", F.substring("part", F.col("start") - F.col("k") * spread + 1, F.col("stop") - F.col("start")).alias("piece")
     )
     names = ["ids", "decoded"] if decoded else ["ids"]
 
     def joined(name: str) -> Column:
         return F.aggregate("pieces", F.lit(b""), lambda all_, p: F.concat(all_, p["code"][name])).alias(name)
 
-    parts = pieces.select("key", F.struct("k", encode("piece").alias("code")).alias("piece")).groupBy("key").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
+    parts = found.select("key", F.struct("k", encode("piece").alias("code")).alias("piece")).groupBy("key").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     stitched = parts.select("key", F.struct(*map(joined, names)).alias("code"))
-    never = stitches.where("whole").select("key").distinct()
-    whole = long.join(never, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    return stitched.unionByName(whole.select("key", encode("text").alias("code")))
+    never = stitches.where("never").select("key").distinct()
+    if never.isEmpty():
+        return stitched
+    rest = long.join(never, "key", "left_semi")
+    return stitched.unionByName(encode_long_texts(rest, path, pattern, spread * WIDER, spread_overlap * WIDER, chunk, overlap, decoded))
 
 
 def encode(
@@ -163,6 +220,8 @@ def encode(
     decoded_col: str | None = None,
     chunk_chars: int = CHUNK_CHARS,
     overlap: int = OVERLAP,
+    spread_chars: int = SPREAD_CHARS,
+    spread_overlap: int = SPREAD_OVERLAP,
 ) -> DataFrame:
     """``docs`` and the packed token ids of each whole text, as the library's ``encode_ordinary`` gives them.
 
@@ -173,15 +232,15 @@ def encode(
     once.  Every other column is kept, whatever its name; the new ones are
     replaced if they exist.  An empty table gives an empty table.
     """
-    if overlap <= MARGIN or chunk_chars <= overlap:
+    if min(overlap, spread_overlap) <= MARGIN or chunk_chars <= overlap or spread_chars <= spread_overlap:
         raise ValueError("chunks must be longer than their overlap, and that longer than the look-ahead")
     docs = docs.drop(*filter(None, (ids_col, decoded_col)))
-    encode_text = _encode_column(path, pattern, decoded_col is not None)
-    is_long = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) > chunk_chars
+    encode_text = _encode_column(path, pattern, decoded_col is not None, chunk_chars, overlap)
+    is_long = F.char_length(F.coalesce(F.col(text_col), F.lit(""))) > spread_chars
     key, code = free_name(docs, "text_key"), free_name(docs, "text_code")
     short = docs.where(~is_long).withColumn(code, encode_text(F.coalesce(F.col(text_col), F.lit(""))))
     long = docs.where(is_long).withColumn(key, F.sha2(F.col(text_col), 256))
-    found = encode_long_texts(long.select(F.col(key).alias("key"), F.col(text_col).alias("text")), path, pattern, chunk_chars, overlap, decoded_col is not None)
+    found = encode_long_texts(long.select(F.col(key).alias("key"), F.col(text_col).alias("text")), path, pattern, spread_chars, spread_overlap, chunk_chars, overlap, decoded_col is not None)
     rest = long.join(found.select(F.col("key").alias(key), F.col("code").alias(code)), key).drop(key)
     new = [F.col(f"{code}.ids").alias(ids_col)] + ([F.col(f"{code}.decoded").alias(decoded_col)] if decoded_col else [])
     return short.unionByName(rest).select(*docs.columns, *new)

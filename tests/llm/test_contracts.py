@@ -109,16 +109,31 @@ def test_byte_bpe(spark, folder, tiktoken_encoding):
     assert got == sort((d["doc_id"], *_bpe(tiktoken_encoding, d["text"])) for d in read(spark, folder))
 
 
-@pytest.mark.parametrize("chunk, overlap", [(40, 12), (64, 30), (17, 16)])
-def test_byte_bpe_in_small_chunks(spark, awkward, tiktoken_encoding, chunk, overlap):
-    docs = spark.read.parquet(f"{awkward}/documents.parquet").where("n_chars < 60000")
+@pytest.mark.parametrize("chunk, overlap, spread", [(40, 12, 10**9), (64, 30, 10**9), (17, 16, 300), (40, 12, 64)])
+def test_byte_bpe_in_small_chunks(spark, awkward, tiktoken_encoding, chunk, overlap, spread):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet").where("n_chars < 30000")
     path = public_tokenizers.path(queries.BYTE_BPE)
-    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, chunk_chars=chunk, overlap=overlap).collect()
+    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, chunk_chars=chunk, overlap=overlap, spread_chars=spread, spread_overlap=13).collect()
     assert len(rows) == docs.count()
     for r in rows:
         assert plain.sha(bytes(r["ids"])) == _bpe(tiktoken_encoding, r["text"])[1], (r["doc_id"], r["text"][:80])
 
 
+def test_every_text_is_stitched(sf, tiktoken_encoding):
+    """Texts of the table in chunks that nearly all of them are longer than; one without a boundary, for which the overlap widens."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet'").fetchall() if t]
+    texts += ["x" * 5_000, "a b" + "y" * 3_000 + " don't 123 " + " " * 2_000 + "end", "'s" * 900]
+    stitched = 0
+    for t in texts:
+        found = bpe.pieces(t, public_tokenizers.PATTERN, 96, 24)
+        stitched += len(found) > 1
+        assert "".join(found) == t
+        assert [i for p in found for i in tiktoken_encoding.encode_ordinary(p)] == tiktoken_encoding.encode_ordinary(t)
+    assert stitched > 0.9 * sum(len(t) > 200 for t in texts)
+
+
 def test_quality(spark, folder):
     rows = queries.op4_quality_rules(spark, folder).collect()
     assert sort(tuple(r)[:7] for r in rows) == sort((d["doc_id"], *plain.quality(d["text"])) for d in read(spark, folder))
