@@ -17,6 +17,8 @@ URL_RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
+#: Suffixes of more than one label under which the pages' hosts are registered.
+URL_SUFFIXES = ("example.com", "example.net", "example.org", "co.uk", "com.au", "co.jp", "com.br")
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECE_BPE = "piece_bpe_32k.model"
 TOXIC_AT = 0.7
@@ -36,7 +38,7 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a page shows the document whose number ends its path; its outcome is that document's label
     number = F.try_to_number(F.nullif(F.regexp_extract(url_reputation.path_of(F.col("url")), r"/([0-9]{1,18})[^/0-9]*$", 1), F.lit("")), F.lit("9" * 18)).cast("long")
     bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
-    judged = url_reputation.judge(pages, labels, number, bad, rules=URL_RULES)
+    judged = url_reputation.judge(pages, labels, number, bad, rules=URL_RULES, suffixes=URL_SUFFIXES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -144,11 +146,14 @@ _OP2_SQL = f"""WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr
   p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{url_reputation.UPPER}', '{url_reputation.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM u),
   o AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
   c AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN o ON doc_id = TRY_CAST(nullif(regexp_extract(path, '/([0-9]{{1,18}})[^/0-9]*$', 1), '') AS BIGINT) GROUP BY 1),
-  tree AS (SELECT host, split_part(host, '.', -1) AS suffix, CASE WHEN host LIKE '%.%' THEN split_part(host, '.', -2) || '.' || split_part(host, '.', -1) ELSE host END AS domain, n, k FROM c),
+  sx AS (SELECT *, CASE {" ".join(f"WHEN host LIKE '%.{x}' THEN '{x}'" for x in URL_SUFFIXES)} ELSE split_part(host, '.', -1) END AS suffix FROM c),
+  tree AS (SELECT host, suffix, CASE WHEN length(host) <= length(suffix) THEN host ELSE split_part(substr(host, 1, length(host) - length(suffix) - 1), '.', -1) || '.' || suffix END AS domain, n, k FROM sx),
   dm AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM tree GROUP BY 1, 2), tp AS (SELECT suffix, '' AS root, sum(n) AS n, sum(k) AS k FROM dm GROUP BY 1),
   root AS (SELECT '' AS root, (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM tp), {_shrunk("tops", "tp", "root", "root")}, tm AS (SELECT suffix, a / (a + b) AS mean FROM tops),
   {_shrunk("doms", "dm", "tm", "suffix")}, hm AS (SELECT domain, suffix, a / (a + b) AS mean FROM doms), {_shrunk("hosts", "tree", "hm", "domain, suffix")},
-  bound AS (SELECT host, greatest(0, a / (a + b) - {url_reputation.Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) AS lower FROM hosts),
+  hz AS (SELECT host, a, b, 2 / (1 / (2 * a - 1) + 1 / (2 * b - 1)) AS h, {(url_reputation.Z**2 - 3) / 6} AS y FROM hosts),
+  wz AS (SELECT *, CASE WHEN a > 1 AND b > 1 AND h + y > 0 THEN {url_reputation.Z} * sqrt(h + y) / h - (1 / (2 * b - 1) - 1 / (2 * a - 1)) * (y + 5.0::DOUBLE / 6 - 2 / (3 * h)) END AS w FROM hz),
+  bound AS (SELECT host, CASE WHEN a <= 1 THEN 0 WHEN w IS NULL THEN greatest(0, a / (a + b) - {url_reputation.Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))) ELSE a / (a + b * exp(2 * w)) END AS lower FROM wz),
   fits AS (SELECT p.*, lower, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p JOIN bound USING (host))
   SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > {url_reputation.MAX_BAD_RATE} THEN 'block' ELSE 'allow' END AS verdict FROM fits"""
