@@ -81,25 +81,29 @@ def copies(
     each source.  No row is taken more than ceil(target / source_size) times.
     The order is that of md5(seed:id), ties by id and size; rows that agree in
     all three are interchangeable.  Rows of size 0 take whole repetitions only.
+    Columns named source_size, target and copies are replaced, all others kept.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    joined = docs.join(targets.select(F.col("source").alias("_source"), F.col("docs").alias("_docs"), "source_size", "target"), F.col(source_col).eqNullSafe(F.col("_source")))
+    docs = docs.drop("source_size", "target", "copies")
+    # a row travels as one value, so that no column of it clashes with those of the work
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("s"), F.col(size_col).alias("size"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = (
-        joined.withColumn("_order", order)
-        .withColumn("_whole", F.floor(ratio))
-        .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
+        rows.join(targets.select("source", "docs", "source_size", "target"), F.col("s").eqNullSafe(F.col("source")))
+        .withColumn("order", order)
+        .withColumn("whole", F.floor(ratio))
+        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
         # the first 28 bits of the order, scaled to the number of buckets
-        .withColumn("_bucket", F.floor(F.conv(F.substring("_order", 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28)) * F.ceil(F.col("_docs") / F.lit(bucket_rows))))
+        .withColumn("bucket", F.floor(F.conv(F.substring("order", 1, 7), 16, 10).cast("double") / F.lit(float(1 << 28)) * F.ceil(F.col("docs") / F.lit(bucket_rows))))
     )
-    sums = joined.groupBy("_source", "_bucket").agg(F.sum(size_col).alias("_sum"))
-    earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_source", "_bucket").orderBy("_order", F.col(id_col), size_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = joined.withColumn("_run", F.sum(size_col).over(within)).join(sums, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    middle = F.col("_base") + F.col("_run") - F.col(size_col) / 2
-    extra = (middle < F.col("_rest")) & (F.col(size_col) > 0)
-    return out.withColumn("copies", (F.col("_whole") + extra.cast("long")).cast("long")).select(*docs.columns, "source_size", "target", "copies")
+    sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
+    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("b"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("source", "bucket").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = joined.withColumn("run", F.sum("size").over(within)).join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
+    middle = F.col("base") + F.col("run") - F.col("size") / 2
+    extra = (middle < F.col("rest")) & (F.col("size") > 0)
+    return out.select("row.*", "source_size", "target", (F.col("whole") + extra.cast("long")).cast("long").alias("copies"))
 
 
 def mix(
@@ -117,7 +121,9 @@ def mix(
 
     weights: (source, weight); a source that it lacks gets none.  Without it
     the pattern is dealt to the sources in order.  Null sizes count as 0, a
-    null source is a source, an empty table gives an empty table.
+    null source is a source, a null id is an id, repeated rows are rows of their
+    own, an empty table gives an empty table.  Only sizes of texts are used, so
+    texts may be of any length.
     """
     docs = docs.withColumn(size_col, F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
     sizes = source_sizes(docs, source_col, size_col)

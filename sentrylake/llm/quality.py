@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.checkpoints import checkpointed
-from .common import SPACE, words
+from .common import SPACE, free_name, words
 
 #: Fixed values of the base counts.
 SYMBOLS = r"[#*$%&|<>]+"
@@ -225,10 +225,11 @@ def judge(
     """
     docs = docs.drop("quality")
     refs = references(docs, lang_col, text_col) if refs is None else refs
-    own = refs.select(F.col("lang").alias("_lang"), F.struct("common", "word_ref", "char_ref").alias("_ref"))
+    of_lang, ref_col = free_name(docs, "quality_lang"), free_name(docs, "quality_ref")
+    own = refs.select(F.col("lang").alias(of_lang), F.struct("common", "word_ref", "char_ref").alias(ref_col))
     own = F.broadcast(own) if refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else own
-    joined = docs.join(own, F.coalesce(F.col(lang_col), F.lit(POOLED)) == F.col("_lang"), "left")
-    ref = F.col("_ref")
+    joined = docs.join(own, F.coalesce(F.col(lang_col), F.lit(POOLED)) == F.col(of_lang), "left")
+    ref = F.col(ref_col)
     t = F.coalesce(F.col(text_col), F.lit(""))
 
     def of(x: Column) -> Column:

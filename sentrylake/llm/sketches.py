@@ -20,7 +20,9 @@ from .common import words
 K = 128
 WIDTH = 5
 #: A group in which neighbours are looked for holds 2 ** GROUP_BITS different ids at most.
-GROUP_BITS = 9
+GROUP_BITS = 7
+#: Bytes of values that a task is dealt, about.
+TASK_BYTES = 64 << 20
 #: So many first ids of groups are broadcast at most.
 MAX_BROADCAST = 1_000_000
 
@@ -81,26 +83,32 @@ def with_next(docs: DataFrame, id_col: str, value_cols: list[str], prefix: str =
     ``MAX_BROADCAST`` of them (24 bytes each) are broadcast, more are joined by
     shuffle.  Rows that share an id are put in order of their values, so
     each still has one neighbour.  A row with a null id has no neighbour and is
-    nobody's: its next values are null.
+    nobody's: its next values are null.  Columns of the new names are replaced.
     """
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    nulls = docs.where(F.col(id_col).isNull()).select(*docs.columns, *(F.lit(None).cast(docs.schema[c].dataType).alias(f"{prefix}{c}") for c in value_cols))
+    docs = docs.drop(*(f"{prefix}{c}" for c in value_cols))
+    types = {c: docs.schema[c].dataType for c in value_cols}
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in types.items() if t.typeName() in ("string", "binary")]
+    low, high, size = docs.agg(F.min(id_col), F.max(id_col), F.sum(sum(texts, F.lit(64)))).first()
+    nothing = [F.lit(None).cast(t).alias(f"{prefix}{c}") for c, t in types.items()]
+    nulls = docs.where(F.col(id_col).isNull()).select(*docs.columns, *nothing)
     if low is None:
         return nulls
-    own = F.shiftright(id_col, group_bits)
-    known = docs.where(F.col(id_col).isNotNull())
-    firsts = known.groupBy(own.alias("_of")).agg(F.min(id_col).alias("_first"))
-    after = _next_group(firsts.select(F.col("_of").alias("_g")), low >> group_bits, high >> group_bits, group_bits)
-    sent = checkpointed(after.join(firsts, F.col("_after") == F.col("_of")).select("_first", F.col("_g").alias("_before")))
+    # a row travels as one value, so that no column of it clashes with those of the work
+    known = docs.where(F.col(id_col).isNotNull()).select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"))
+    own = F.shiftright("id", group_bits)
+    firsts = known.groupBy(own.alias("of")).agg(F.min("id").alias("first"))
+    after = _next_group(firsts.select(F.col("of").alias("_g")), low >> group_bits, high >> group_bits, group_bits)
+    sent = checkpointed(after.join(firsts, F.col("_after") == F.col("of")).select("first", F.col("_g").alias("before")))
     if sent.count() <= MAX_BROADCAST:
         sent = F.broadcast(sent)
-    joined = known.join(sent, F.col(id_col) == F.col("_first"), "left")
-    here, there = F.struct(own.alias("g"), F.lit(0).alias("copy")), F.struct(F.col("_before").alias("g"), F.lit(1).alias("copy"))
-    placed = joined.withColumn("_at", F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    placed = placed.select(*docs.columns, F.col("_at.g").alias("_g"), F.col("_at.copy").alias("_copy"))
-    window = Window.partitionBy("_g").orderBy("_copy", F.col(id_col), *map(F.col, value_cols))
-    out = placed.select("*", *(F.lead(c).over(window).alias(f"{prefix}{c}") for c in value_cols)).where("_copy = 0")
-    return out.drop("_g", "_copy").unionByName(nulls)
+    joined = known.join(sent, F.col("id") == F.col("first"), "left")
+    here, there = F.struct(own.alias("g"), F.lit(0).alias("copy")), F.struct(F.col("before").alias("g"), F.lit(1).alias("copy"))
+    placed = joined.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    placed = placed.select("row", "id", "at.g", "at.copy").repartition(tasks, "g")
+    window = Window.partitionBy("g").orderBy("copy", "id", *(F.col("row")[c] for c in value_cols))
+    out = placed.select("row", "copy", *(F.lead(F.col("row")[c]).over(window).alias(f"{prefix}{c}") for c in value_cols)).where("copy = 0")
+    return out.select("row.*", *(f"{prefix}{c}" for c in value_cols)).unionByName(nulls)
 
 
 def _next_group(groups: DataFrame, low: int, high: int, group_bits: int) -> DataFrame:
