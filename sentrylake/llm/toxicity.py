@@ -3,13 +3,16 @@
 Fitting reads a bounded sample of labelled documents, ``max_labelled`` at most.
 Spark counts in how many documents of either class each hashed n-gram occurs;
 the log-count ratio of a bucket is ``log((p + a) / |p|) - log((n + a) / |n|)``
-with Laplace's ``a`` and the 1-norms of both count vectors.  Buckets whose
-counts differ by chance alone (a two-sided z test on the rates) are left out.
-A logistic regression on presence times ratio is then fitted by Spark ML.
-Scoring is one pass without a shuffle.
+with Laplace's ``a`` and the 1-norms of both count vectors.  A logistic
+regression on presence times ratio is then fitted by Spark ML.  Scoring is one pass
+without a shuffle.
 
-An n-gram is of bytes of the lower-cased text, white space collapsed, with a
-space at either end.
+``min_z`` (0: all): buckets whose rates in the two classes differ by less than so
+many standard errors are no features; a million buckets of rare n-grams fit the
+noise of a few thousand labels.  There is no cap on their number.
+
+An n-gram is of code points of the lower-cased text, white space collapsed, with
+a space at either end.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ ORDERS = (4, 5, 6)
 BITS = 20
 BLOCK = 4_096
 MAX_LABELLED = 20_000
-MAX_FEATURES = 4_096
-#: Bytes of text that are hashed at once.
-SLICE_BYTES = 1 << 19
+#: Standard errors by which a feature's rates in the classes differ at least.
+MIN_Z = 5.0
+#: Code points of text that are hashed at once.
+SLICE_CHARS = 1 << 19
 _BASE, _MIX = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -44,14 +48,14 @@ class Model:
     bits: int = BITS
 
 
-def _normal(text: str) -> bytes:
-    return (" " + " ".join(text.lower().split()) + " ").encode("utf-8", "replace")
+def _normal(text: str) -> str:
+    return " " + " ".join(text.lower().split()) + " "
 
 
-def _hits(texts: list[bytes], orders: tuple[int, ...], bits: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of each different n-gram bucket of each document, if wanted (None: all)."""
+def _hits(texts: list[str], orders: tuple[int, ...], bits: int, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of each different n-gram bucket of each document, if wanted (None: all), ascending."""
     starts = np.cumsum([0, *map(len, texts)])
-    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint32)
+    data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     shift, found = np.uint32(32 - bits), []
     h = data
     for n in range(2, max(orders) + 1):
@@ -68,10 +72,10 @@ def _hits(texts: list[bytes], orders: tuple[int, ...], bits: int, wanted: np.nda
     return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
-def _slices(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     begin, size = 0, 0
     for i, t in enumerate(texts):
-        if i > begin and size + len(t) > SLICE_BYTES:
+        if i > begin and size + len(t) > SLICE_CHARS:
             yield begin, texts[begin:i]
             begin, size = i, 0
         size += len(t)
@@ -98,10 +102,9 @@ def fit(
     label_col: str = "toxic",
     text_col: str = "text",
     max_labelled: int = MAX_LABELLED,
-    max_features: int = MAX_FEATURES,
     orders: tuple[int, ...] = ORDERS,
     bits: int = BITS,
-    min_z: float = 5.0,
+    min_z: float = MIN_Z,
     laplace: float = 1.0,
     reg: float = 1e-4,
 ) -> Model:
@@ -113,8 +116,7 @@ def fit(
     is labelled twice counts with its larger label.
     """
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-    from pyspark.sql import types as T
+    from pyspark.ml.linalg import VectorUDT
 
     spark = docs.sparkSession
     sample = labelled_sample(docs, labels, id_col, label_col, text_col, max_labelled).persist()
@@ -148,31 +150,26 @@ def fit(
         ratio = np.log((c1 + laplace) / (c1 + laplace).sum()) - np.log((c0 + laplace) / (c0 + laplace).sum())
         rate = (c0 + c1 + 1) / (n0 + n1 + 2)
         z = (c1 / n1 - c0 / n0) / np.sqrt(rate * (1 - rate) * (1 / n0 + 1 / n1))
-        kept = np.argsort(-np.abs(z), kind="stable")[:max_features]
-        kept = np.sort(kept[np.abs(z[kept]) >= min_z])
+        kept = np.flatnonzero((c0 + c1 > 0) & (np.abs(z) >= min_z))
         if not len(kept):
             return Model(np.zeros(size, np.float32), float(np.log(n1 / n0)), orders, bits)
         index = np.full(size, -1, np.int32)
-        index[kept] = np.arange(len(kept))
-        shared = spark.sparkContext.broadcast((index, ratio[kept]))
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def features(texts: pd.Series) -> pd.Series:
-            index, _ = shared.value
-            out: list = [[] for _ in texts]
-            for begin, part in _slices([_normal(t) for t in texts]):
+        index[kept] = np.arange(len(kept), dtype=np.int32)
+        shared = spark.sparkContext.broadcast((index, ratio[kept].astype(np.float32)))
+
+        @F.pandas_udf(VectorUDT())
+        def features(texts: pd.Series) -> pd.DataFrame:
+            index, scale = shared.value
+            places = []
+            for _, part in _slices([_normal(t) for t in texts]):
                 doc, bucket = _hits(part, orders, bits, index >= 0)
                 cuts = np.searchsorted(doc, np.arange(len(part) + 1))
-                for i in range(len(part)):
-                    out[begin + i] = np.sort(index[bucket[cuts[i] : cuts[i + 1]]])
-            return pd.Series(out)
-
-        @F.udf(VectorUDT())
-        def vector(found):
-            _, scale = shared.value
-            return SparseVector(len(scale), found, scale[found] if found else [])
+                for a, b in zip(cuts, cuts[1:]):
+                    places.append(index[bucket[a:b]])
+            # sparse vectors as they are stored
+            return pd.DataFrame({"type": np.int8(0), "size": np.int32(len(scale)), "indices": places, "values": [scale[at].astype(np.float64) for at in places]})
 
-        rows = sample.select(F.col("label").cast("double").alias("label"), vector(features("text")).alias("features"))
+        rows = sample.select(F.col("label").cast("double").alias("label"), features("text").alias("features"))
         fitted = LogisticRegression(maxIter=60, regParam=reg, elasticNetParam=0.0, standardization=False).fit(rows)
         weights = np.zeros(size, np.float32)
         weights[kept] = fitted.coefficients.toArray() * ratio[kept]
