@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.checkpoints import checkpointed
-from .common import SPACE, free_name, words
+from .common import SPACE, bound, free_name, words
 
 #: Fixed values of the base counts.
 SYMBOLS = r"[#*$%&|<>]+"
@@ -55,9 +55,13 @@ def _char_counts(text: Column) -> Column:
 
 
 def _windows(w: Column) -> Column:
-    """A hash of each window of five words."""
-    grams = F.transform(w, lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, WINDOW))))
-    return F.slice(grams, F.lit(1), F.greatest(F.lit(0), F.size(w) - (WINDOW - 1)))
+    """A hash of each window of five words, from the words' hashes."""
+
+    def of(h: Column) -> Column:
+        grams = F.transform(h, lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, WINDOW))))
+        return F.slice(grams, F.lit(1), F.greatest(F.lit(0), F.size(h) - (WINDOW - 1)))
+
+    return bound(F.transform(w, lambda x: F.xxhash64(x)), of)
 
 
 def _repeat_words(w: Column) -> Column:
@@ -154,17 +158,17 @@ def common_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         first *= 8
 
 
-def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", n: int = COMMON_WORDS, min_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
-    """(lang, common, word_ref, char_ref) of each language of ``min_words`` words, and ``*`` for the whole corpus.
+def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_words: int = MIN_REFERENCE_WORDS) -> DataFrame:
+    """(lang, common, longest, word_ref, char_ref) of each language of ``min_words`` words, and ``*`` for the whole corpus.
 
-    common: the first n words by count, ties to the lesser; word_ref: their shares and, last, that of all other words;
+    common: the first words by count, ties to the lesser; longest: the code points of the longest; word_ref: their shares and, last, that of all other words;
     char_ref: the shares of the character classes among the characters of
     words.  Counts cover all documents.  The table is checkpointed:
     several joins read it, and it has a row for each language.
     """
     k = len(CLASSES) + 1
 
-    tops = common_words(docs, lang_col, text_col, n)
+    tops = common_words(docs, lang_col, text_col)
     chars = docs.select(F.coalesce(F.col(lang_col), F.lit(POOLED)).alias("lang"), _char_counts(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
     chars = chars.groupBy("lang").agg(*(F.sum(F.col("n")[i].cast("long")).alias(f"c{i}") for i in range(k)))
     chars = _with_pooled(chars).groupBy("lang").agg(*(F.sum(f"c{i}").alias(f"c{i}") for i in range(k)))
@@ -176,6 +180,7 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
     return table.select(
         "lang",
         F.transform("top", lambda x: x["word"]).alias("common"),
+        F.array_max(F.transform("top", lambda x: F.char_length(x["word"]))).alias("longest"),
         F.concat(shares, F.array(rest)).alias("word_ref"),
         F.array(*(F.col(f"c{i}") / all_chars for i in range(k) if i != SPACE_CLASS)).alias("char_ref"),
     )
@@ -196,14 +201,23 @@ def _char_distance(chars: Column, n: Column, ref: Column) -> Column:
     return js_distance(F.array(*(chars[i] / n for i in range(len(CLASSES) + 1) if i != SPACE_CLASS)), ref)
 
 
-def _word_distance(w: Column, common: Column, ref: Column) -> Column:
+def _word_distance(w: Column, common: Column, longest: Column, ref: Column) -> Column:
+    """longest: code points of the longest common word.
+
+    Each common word is written as one sign, and the signs are counted.  Words
+    that are too long to be common are not looked up (lower case has no fewer
+    code points).
+    """
+    signs = [chr(0x21 + k) for k in range(COMMON_WORDS)]  # all of one byte
+    of_place = F.array(F.lit(""), *map(F.lit, signs))
+
     def of(found: Column) -> Column:
-        shares = F.transform(F.sequence(F.lit(1), F.size(common)), lambda k: (F.size(found) - F.size(F.array_remove(found, k.cast("long")))) / F.size(w))
-        rest = 1 - F.size(found) / F.size(w)
-        return js_distance(F.concat(shares, F.array(rest)), ref)
+        n, words_ = F.octet_length(found), F.size(w)
+        shares = F.array(*((n - F.octet_length(F.replace(found, F.lit(s), F.lit("")))) / words_ for s in signs))
+        return js_distance(F.concat(F.slice(shares, F.lit(1), F.size(common)), F.array(1 - n / words_)), ref)
 
-    places = F.array_remove(F.transform(w, lambda x: F.array_position(common, F.lower(x))), 0)
-    return F.transform(F.array(places), of)[0]
+    short = F.filter(w, lambda x: F.char_length(x) <= longest)
+    return bound(F.array_join(F.transform(short, lambda x: F.get(of_place, F.array_position(common, F.lower(x)).cast("int"))), ""), of)
 
 
 def judge(
@@ -226,7 +240,7 @@ def judge(
     docs = docs.drop("quality")
     refs = references(docs, lang_col, text_col) if refs is None else refs
     of_lang, ref_col = free_name(docs, "quality_lang"), free_name(docs, "quality_ref")
-    own = refs.select(F.col("lang").alias(of_lang), F.struct("common", "word_ref", "char_ref").alias(ref_col))
+    own = refs.select(F.col("lang").alias(of_lang), F.struct("common", "longest", "word_ref", "char_ref").alias(ref_col))
     own = F.broadcast(own) if refs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else own
     joined = docs.join(own, F.coalesce(F.col(lang_col), F.lit(POOLED)) == F.col(of_lang), "left")
     ref = F.col(ref_col)
@@ -238,7 +252,7 @@ def judge(
         return F.struct(
             *_base(t, w, chars),
             F.when(ref.isNotNull() & (n >= min_chars), _char_distance(chars, n, ref["char_ref"])).alias("char_distance"),
-            F.when(ref.isNotNull() & (F.size(w) >= min_words), _word_distance(w, ref["common"], ref["word_ref"])).alias("word_distance"),
+            F.when(ref.isNotNull() & (F.size(w) >= min_words), _word_distance(w, ref["common"], ref["longest"], ref["word_ref"])).alias("word_distance"),
         )
 
     once = F.struct(words(F.col(text_col)).alias("w"), _char_counts(t).alias("chars"))

@@ -190,3 +190,51 @@ def disclosed(rows, disclosure=0.9, remove_at=0.95, min_bits=5.0, min_texts=2, d
     return {
         t: [(*s, False) for s in base[t]] + [("term", *m.span(), telling[m[0].lower()] >= remove_at) for m in token.finditer(bare[t]) if m[0].lower() in telling and len(m[0]) >= 4] for t in base
     }
+
+
+def _distance(p, q):
+    """Jensen-Shannon distance of two lists of shares."""
+    import math
+
+    total = 0.0
+    for x, y in zip(p, q):
+        m = (x + y) / 2
+        total += (x * math.log2(x / m) if x > 0 else 0) + (y * math.log2(y / m) if y > 0 else 0)
+    return math.sqrt(max(0.0, total / 2))
+
+
+def _classes(text):
+    """Code points of the classes of characters, white space left out."""
+    import regex
+
+    kinds = [r"\p{Ll}", r"[\x20\x09-\x0D]", r"\p{Lu}", r"\p{N}", r"""[.,;:!?'"()-]""", r"[#*$%&|<>]"]
+    out = [0] * 7
+    for c in text:
+        out[next((i for i, k in enumerate(kinds) if regex.match(k, c)), 6)] += 1
+    return out[:1] + out[2:]
+
+
+def divergence(rows, min_reference=5_000, n_common=24, min_chars=80, min_words=50, max_char=0.27, max_word=0.36):
+    """rows: (text, lang); for each (char_distance, word_distance, kept), by whole counts of each language."""
+    counts, chars = defaultdict(Counter), defaultdict(lambda: [0] * 6)
+    for text, lang in rows:
+        for key in {lang or "*", "*"}:
+            counts[key].update(w.lower() for w in words(text))
+            chars[key] = [a + b for a, b in zip(chars[key], _classes(text or ""))]
+    refs = {}
+    for key, c in counts.items():
+        total = sum(c.values())
+        if total >= min_reference:
+            top = sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n_common]
+            refs[key] = [w for w, _ in top], [v / total for _, v in top] + [1 - sum(v for _, v in top) / total], [x / sum(chars[key]) for x in chars[key]]
+    out = []
+    for text, lang in rows:
+        w, ref, own = words(text), refs.get(lang or "*"), _classes(text or "")
+        by_char = _distance([x / sum(own) for x in own], ref[2]) if ref and sum(own) >= min_chars else None
+        by_word = None
+        if ref and len(w) >= min_words:
+            c = Counter(x.lower() for x in w)
+            shares = [c[x] / len(w) for x in ref[0]]
+            by_word = _distance(shares + [1 - sum(shares)], ref[1])
+        out.append((by_char, by_word, not quality(text)[5] and not (by_char or 0) > max_char and not (by_word or 0) > max_word))
+    return out

@@ -140,9 +140,23 @@ def test_quality(spark, folder):
     assert not any(r["kept"] for r in rows if r["base_failed"])
 
 
+def test_divergence_against_a_plain_version(spark, folder):
+    from sentrylake.llm import quality
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = quality.judge(docs.select("doc_id", "text", "lang")).collect()
+    want = plain.divergence([(r["text"], r["lang"]) for r in rows])
+    for r, (by_char, by_word, kept) in zip(rows, want):
+        q = r["quality"]
+        assert (q["char_distance"], q["word_distance"]) == (by_char and pytest.approx(by_char, abs=1e-7), by_word and pytest.approx(by_word, abs=1e-7)), r["doc_id"]
+        assert q["kept"] == kept
+    assert folder.startswith("/root") <= any(w is not None for _, w, _ in want)
+
+
 def test_quality_keeps_clean_documents(spark):
+    """Judged on the labels of odd ids alone."""
     sf = "/root/testdata/sf0.1"
-    label = {r["doc_id"]: r["quality"] for r in read(spark, sf, "labels")}
+    label = {r["doc_id"]: r["quality"] for r in read(spark, sf, "labels") if r["doc_id"] % 2}
     rows = [r for r in queries.op4_quality_rules(spark, sf).collect() if r["doc_id"] in label and not r["base_failed"]]
     clean = [r["kept"] for r in rows if label[r["doc_id"]] == 1]
     junk = [r["kept"] for r in rows if label[r["doc_id"]] == 0]
