@@ -70,7 +70,11 @@ def control_rules(controls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def control_coverage(controls: DataFrame, rules: DataFrame) -> DataFrame:
     """(control_id, family, covered, fraction, missing): how much of each control's techniques rules meet."""
-    met = control_rules(controls, rules).groupBy("control_id").agg(F.array_sort(F.collect_set("technique")).alias("met"))
+    met = F.explode(F.array_distinct(F.array("technique_id", F.substring_index("technique_id", ".", 1)))).alias("technique")
+    # which rules meet a technique does not matter here, so each technique is one row
+    met = rule_techniques(rules).select(met).distinct()
+    wanted = controls.select("control_id", F.explode(F.array_distinct("techniques")).alias("technique"))
+    met = wanted.join(met, "technique", "left_semi").groupBy("control_id").agg(F.array_sort(F.collect_set("technique")).alias("met"))
     wanted = F.array_distinct("techniques")
     met_or_none = F.coalesce("met", F.array().cast("array<string>"))
     fraction = F.when(F.size(wanted) == 0, F.lit(0.0)).otherwise(F.round(F.size(met_or_none) / F.size(wanted), 4))

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.folds import ordered_fold
 from ..functions.severity import severity_from_score
 
+#: Stands behind every minute, for the state after the last one.
+LAST_MINUTE = 2**62
+
 
 def ensemble(
     hits: DataFrame,
@@ -78,31 +84,41 @@ def minute_buckets(events: DataFrame) -> DataFrame:
 def ewma_baseline(buckets: DataFrame, alpha: float = 0.05, streams: Sequence[str] = STREAMS) -> DataFrame:
     """(host, minute, seen, <stream>_mean, <stream>_var): the baseline before each minute of a host.
 
-    A fold over the host's minutes in order; a host's array holds one item a
-    minute that had events (half a million a year), never events.  The first
-    minute sets the mean and a variance of 1.
+    A host's minutes are folded in order, one row for a minute that had
+    events, with the state carried and nothing else held.  The first minute
+    sets the mean and a variance of 1.  A last row, of no minute, holds the
+    state after all of them.
     """
-    item = F.struct("minute", *(F.col(s).cast("double").alias(s) for s in streams))
-    series = buckets.groupBy("host").agg(F.array_sort(F.collect_list(item)).alias("s"))
-
-    def step(acc: Column, x: Column) -> Column:
-        state = acc["state"]
-        before = F.struct(x["minute"].alias("minute"), state["seen"].alias("seen"), *(state[f"{s}_{p}"].alias(f"{s}_{p}") for s in streams for p in ("mean", "var")))
-        new = [(state["seen"] + 1).alias("seen")]
-        for s in streams:
-            mean, var = state[f"{s}_mean"], state[f"{s}_var"]
-            delta = x[s] - mean
-            is_first = state["seen"] == 0
-            new.append(F.when(is_first, x[s]).otherwise(mean + alpha * delta).alias(f"{s}_mean"))
-            new.append(F.when(is_first, F.lit(1.0)).otherwise((1 - alpha) * (var + alpha * delta * delta)).alias(f"{s}_var"))
-        return F.struct(F.struct(*new).alias("state"), F.concat(acc["out"], F.array(before)).alias("out"))
-
-    fields = ",".join(f"{s}_mean:double,{s}_var:double" for s in streams)
-    zero = F.struct(F.lit(0).alias("seen"), *(F.lit(v).alias(f"{s}_{p}") for s in streams for p, v in (("mean", 0.0), ("var", 1.0))))
-    start = F.struct(zero.alias("state"), F.array().cast(f"array<struct<minute:bigint,seen:int,{fields}>>").alias("out"))
-    folded = series.select("host", F.aggregate("s", start, step).alias("a"))
-    last = F.struct(F.lit(None).cast("bigint").alias("minute"), F.col("a.state.seen").alias("seen"), *(F.col(f"a.state.{s}_{p}").alias(f"{s}_{p}") for s in streams for p in ("mean", "var")))
-    return folded.select("host", F.explode(F.concat("a.out", F.array(last))).alias("b")).select("host", "b.*")
+    values = [f"{s}_{p}" for s in streams for p in ("mean", "var")]
+
+    def fold():
+        state = {"seen": 0, "mean": np.zeros(len(streams)), "var": np.ones(len(streams))}
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            xs, n = rows[list(streams)].to_numpy(np.float64), len(rows)
+            out = np.empty((n, 2 * len(streams)))
+            seen, mean, var = state["seen"], state["mean"], state["var"]
+            for i in range(n):
+                out[i, ::2], out[i, 1::2] = mean, var
+                if seen + i == 0:
+                    mean, var = xs[i], np.ones(len(streams))
+                else:
+                    delta = xs[i] - mean
+                    mean, var = mean + alpha * delta, (1 - alpha) * (var + alpha * delta * delta)
+            state.update(seen=seen + n, mean=mean, var=var)
+            found = pd.DataFrame(out, columns=values)
+            found.insert(0, "seen", np.arange(seen, seen + n))
+            found.insert(0, "minute", rows["minute"].to_numpy())
+            found.insert(0, "host", rows["host"].to_numpy())
+            return found
+
+        return step
+
+    # a row behind the last minute asks for the state after it
+    last = buckets.select("host").distinct().select("host", F.lit(LAST_MINUTE).alias("minute"), *(F.lit(0.0).alias(s) for s in streams))
+    rows = buckets.select("host", F.col("minute").cast("long").alias("minute"), *(F.col(s).cast("double").alias(s) for s in streams)).unionByName(last)
+    folded = ordered_fold(rows, ["host"], ["minute"], "host string, minute long, seen int, " + ", ".join(f"{v} double" for v in values), fold)
+    return folded.withColumn("minute", F.nullif("minute", F.lit(LAST_MINUTE)))
 
 
 def baseline_snapshot(buckets: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -217,7 +217,7 @@ def export_dot(edges: DataFrame) -> DataFrame:
     return edges.select(F.format_string('"%s" -> "%s" [label="%s"];', "src", "dst", "type").alias("element"))
 
 
-def prune_shared_periphery(g1: DataFrame, g2: DataFrame, target: str, max_rounds: int = 20) -> DataFrame:
+def prune_shared_periphery(g1: DataFrame, g2: DataFrame, target: str, max_rounds: int = 1_000) -> DataFrame:
     """Undirected edges (src < dst) of g1 after its outermost nodes were compared with g2, layer by layer.
 
     A node of the layer that g2 has too goes if its neighbours are the same in
@@ -243,6 +243,8 @@ def prune_shared_periphery(g1: DataFrame, g2: DataFrame, target: str, max_rounds
         if gone.isEmpty():
             break
         left = checkpointed(left.join(gone, ["src", "dst"], "left_anti"))
+    else:
+        raise RuntimeError(f"the periphery did not settle in {max_rounds} rounds")
     return left
 
 

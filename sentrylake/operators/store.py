@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.folds import ordered_fold
 from ..functions.severity import SEVERITIES, at_least
 
 
@@ -136,24 +139,28 @@ def rate_limited(alerts: DataFrame, per_minute: int, key: str, min_severity: str
     """Alerts at or above the floor, and whether each is admitted.
 
     An alert is admitted if fewer than ``per_minute`` of its key were
-    admitted in the 60 seconds before.  The fold carries the last admitted
-    times only, at most ``per_minute`` of them, over the key's alerts in order;
-    alerts are cut into runs at gaps of 60 seconds, across which nothing
-    is remembered, so a busy key is folded run by run.
+    admitted in the 60 seconds before.  What is admitted depends on what was
+    before, so a key's alerts are folded in order, in one pass that keeps the last
+    admitted times only, at most ``per_minute`` of them.  Where a key is
+    silent for over 60 seconds nothing is remembered.
     """
-    kept = alerts.where(at_least(F.col("severity"), min_severity))
-    order = Window.partitionBy(key).orderBy("ts", "event_id")
-    new_run = F.coalesce((F.col("ts") - F.lag("ts").over(order) > 60).cast("int"), F.lit(1))
-    runs = kept.withColumn("_run", F.sum(new_run).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    item = F.struct("ts", "event_id")
-    folded = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(item)).alias("a"))
-
-    def step(acc: Column, x: Column) -> Column:
-        recent = F.filter(acc["recent"], lambda t: t > x["ts"] - 60)
-        ok = F.size(recent) < per_minute
-        out = F.struct(x["event_id"].alias("event_id"), ok.alias("admitted"))
-        return F.struct(F.when(ok, F.concat(recent, F.array(x["ts"]))).otherwise(recent).alias("recent"), F.concat(acc["out"], F.array(out)).alias("out"))
-
-    id_type = alerts.schema["event_id"].dataType.simpleString()
-    start = F.struct(F.array().cast("array<double>").alias("recent"), F.array().cast(f"array<struct<event_id:{id_type},admitted:boolean>>").alias("out"))
-    return folded.select(key, F.explode(F.aggregate("a", start, step, lambda acc: acc["out"])).alias("r")).select(key, "r.event_id", "r.admitted")
+    kept = alerts.where(at_least(F.col("severity"), min_severity)).select(F.col(key).alias("key"), "ts", "event_id")
+
+    def fold():
+        admitted: deque[float] = deque()
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for t in rows["ts"].tolist():
+                while admitted and admitted[0] <= t - 60:
+                    admitted.popleft()
+                out.append(len(admitted) < per_minute)
+                if out[-1]:
+                    admitted.append(t)
+            return pd.DataFrame({"key": rows["key"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "admitted": out})
+
+        return step
+
+    kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
+    folded = ordered_fold(kept, ["key"], ["ts", "event_id"], f"key {kinds['key']}, event_id {kinds['event_id']}, admitted boolean", fold)
+    return folded.select(F.col("key").alias(key), "event_id", "admitted")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.checkpoints import checkpointed
+
 
 def stitch_types(events: DataFrame, *kinds: DataFrame) -> DataFrame:
     """Events with actor_type and object; kinds: (id, type) of each record kind, a later kind wins; unmatched rows go."""
@@ -172,29 +176,47 @@ def confidence(probabilities: DataFrame) -> DataFrame:
     return c.join(F.broadcast(span)).select("id", ((F.col("c") - F.col("lo")) / F.col("hi")).alias("confidence"))
 
 
-def balanced_shards(events: DataFrame, col: str, n: int) -> DataFrame:
-    """(value, count, shard): values by descending count, each into the shard that is least loaded.
+#: Values that are placed one by one; they take 50 bytes each on the driver.
+HEAVY_VALUES = 10_000
 
-    The greedy rule needs the loads so far, so the counts are folded in one
-    array: one entry for each different value, not for each row.
-    """
-    counts = events.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count"))
-    series = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("minus"), "value"))).alias("s"))
 
-    def step(acc: Column, x: Column) -> Column:
-        loads = acc["loads"]
-        least = F.array_position(loads, F.array_min(loads)).cast("int") - 1
-        new = F.transform(loads, lambda v, i: F.when(i == least, v - x["minus"]).otherwise(v))
-        return F.struct(new.alias("loads"), F.concat(acc["out"], F.array(F.struct(x["value"].alias("value"), (-x["minus"]).alias("count"), least.alias("shard")))).alias("out"))
+def balanced_shards(events: DataFrame, col: str, n: int, heavy: int = HEAVY_VALUES) -> DataFrame:
+    """(value, count, shard): values by descending count, each into the shard that is least loaded.
 
+    The greedy rule is followed for the ``heavy`` values of the largest counts,
+    ties to the lesser value.  All others have counts of at most the last of
+    these and go by their hash, which evens out small ones.
+    """
+    spark = events.sparkSession
+    counts = checkpointed(events.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("count")))
+    top = counts.orderBy(F.desc("count"), "value").limit(heavy)
+    loads, placed = [(0, k) for k in range(n)], []
+    for row in top.collect():
+        load, k = heapq.heappop(loads)
+        placed.append((row["value"], k))
+        heapq.heappush(loads, (load + row["count"], k))
     kind = counts.schema["value"].dataType.simpleString()
-    start = F.struct(F.array_repeat(F.lit(0).cast("bigint"), n).alias("loads"), F.array().cast(f"array<struct<value:{kind},count:bigint,shard:int>>").alias("out"))
-    return series.select(F.explode(F.aggregate("s", start, step, lambda acc: acc["out"])).alias("r")).select("r.*")
+    table = spark.createDataFrame(placed, f"of {kind}, shard int")
+    by_hash = F.pmod(F.xxhash64("value"), F.lit(n)).cast("int")
+    joined = counts.join(F.broadcast(table), F.col("value").eqNullSafe(F.col("of")), "left")
+    return joined.select("value", "count", F.coalesce("shard", by_hash).alias("shard"))
 
 
 def category_split(ids: DataFrame, n: int, col: str = "id") -> DataFrame:
-    """(id, group): near-equal runs of the ids in order."""
-    return ids.select(col, F.ntile(n).over(Window.orderBy(col)).alias("group"))
+    """(id, group): n runs of the ids in order, the first ones longer by one where n does not divide their number.
+
+    The ids are dealt to tasks by ranges; each task numbers its own, behind
+    those of the tasks before, of which only the counts go to one task.
+    """
+    dealt = checkpointed(ids.select(col).repartitionByRange(col).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", before.alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(col)) - 1
+    short, longer = F.floor(F.col("total") / n), F.col("total") % n
+    # so many ids lie in the groups that are longer by one
+    group = F.when(F.col("r") < longer * (short + 1), F.floor(F.col("r") / (short + 1))).otherwise(longer + F.floor((F.col("r") - longer * (short + 1)) / short))
+    return dealt.join(F.broadcast(sizes), "part").withColumn("r", rank).select(col, (group + 1).cast("int").alias("group"))
 
 
 def attribution_overlap(a: DataFrame, b: DataFrame) -> DataFrame:

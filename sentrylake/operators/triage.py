@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.folds import ordered_fold
 from ..functions.severity import SEVERITIES, severity_from_score, severity_of_rank, severity_rank
 
 #: The fields that tell alerts of a type apart, in order.
@@ -230,19 +233,28 @@ def custody_hash(before: Column) -> Column:
 def append_custody(entries: DataFrame) -> DataFrame:
     """Seq and hashes for a case's entries (case_id, ts, action, actor, detail) in order of time.
 
-    A hash needs the one before, so each case's log is folded; a log is a few entries of one case.
+    A hash needs the one before, so each case's log is folded in order, with the last hash carried.
     """
-    item = F.struct("ts", "action", "actor", "detail")
-    logs = entries.groupBy("case_id").agg(F.array_sort(F.collect_list(item)).alias("log"))
-
-    def step(acc: Column, x: Column) -> Column:
-        seq, before = F.size(acc) + 1, F.when(F.size(acc) == 0, F.lit("")).otherwise(F.element_at(acc, -1)["entry_hash"])
-        text = F.concat_ws("|", seq.cast("string"), x["action"], x["actor"], F.format_string("%.6f", x["ts"]), x["detail"], before)
-        entry = F.struct(seq.alias("seq"), x["ts"].alias("ts"), x["action"].alias("action"), x["actor"].alias("actor"), x["detail"].alias("detail"), before.alias("prev_hash"), F.sha2(text, 256).alias("entry_hash"))
-        return F.concat(acc, F.array(entry))
-
-    start = F.array().cast("array<struct<seq:int,ts:double,action:string,actor:string,detail:string,prev_hash:string,entry_hash:string>>")
-    return logs.select("case_id", F.explode(F.aggregate("log", start, step)).alias("e")).select("case_id", "e.*")
+    told = F.concat_ws("|", "action", "actor", F.format_string("%.6f", "ts"), "detail")
+
+    def fold():
+        state = {"seq": 0, "hash": ""}
+
+        def step(rows: pd.DataFrame) -> pd.DataFrame:
+            first, before, after = state["seq"] + 1, [], []
+            for seq, text in enumerate(rows["told"], first):
+                before.append(state["hash"])
+                state.update(seq=seq, hash=hashlib.sha256(f"{seq}|{text}|{state['hash']}".encode()).hexdigest())
+                after.append(state["hash"])
+            out = rows.drop(columns="told").assign(prev_hash=before, entry_hash=after)
+            out.insert(1, "seq", range(first, first + len(rows)))
+            return out
+
+        return step
+
+    schema = "case_id string, seq int, ts double, action string, actor string, detail string, prev_hash string, entry_hash string"
+    rows = entries.select("case_id", F.col("ts").cast("double").alias("ts"), "action", "actor", "detail", told.alias("told"))
+    return ordered_fold(rows, ["case_id"], ["ts", "action", "actor", "detail"], schema, fold)
 
 
 #: Minutes to the first response and to resolution by priority; the rest of a window that is at risk.

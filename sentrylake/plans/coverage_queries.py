@@ -10,7 +10,7 @@ from .registry import query
 
 COV_SQL = """rules AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'T' || (1000 + p_partkey % 80) || '.RULE' || p_partkey ELSE 'R' || p_partkey END AS rule_id, ['low', 'medium', 'high'][1 + p_partkey % 3] AS severity,
     CASE WHEN p_partkey % 2 = 0 THEN ['mitre:t' || (1000 + p_partkey % 50) || CASE WHEN p_partkey % 4 = 0 THEN '.001' ELSE '' END, 'execution'] ELSE ['T' || (1000 + p_partkey % 60), 'attack.t1003'] END AS tags FROM part),
-  tech AS (SELECT 'T' || (999 + s_suppkey) || CASE WHEN s_suppkey % 10 = 0 THEN '.001' ELSE '' END AS technique_id, ['tactic' || (s_suppkey % 5), 'tactic' || (5 + s_suppkey % 3)] AS tactics FROM supplier WHERE s_suppkey <= 100),
+  tech AS (SELECT 'T' || (999 + s_suppkey) || CASE WHEN s_suppkey % 10 = 0 THEN '.001' ELSE '' END AS technique_id, ['tactic' || (s_suppkey % 5), 'tactic' || (5 + s_suppkey % 3)] AS tactics FROM supplier),
   controls AS (SELECT 'C' || c_custkey AS control_id, 'F' || c_nationkey AS family, ['T' || (1000 + c_custkey % 120), 'T' || (1000 + c_custkey % 77), 'T' || (1000 + c_custkey % 91)] AS techniques FROM customer),
   rt AS (SELECT DISTINCT rule_id, severity, unnest(list_concat(list_transform(list_filter(tags, lambda t: starts_with(lower(t), 'mitre:')), lambda t: upper(t[7:])), list_transform(list_filter(tags, lambda t: regexp_matches(upper(t), '^T\\d{4}')), lambda t: upper(t)),
       CASE WHEN regexp_matches(rule_id, '^T\\d{4}') THEN [split_part(rule_id, '.', 1)] ELSE [] END)) AS technique_id FROM rules),
@@ -35,7 +35,7 @@ def rules(spark, sf_dir):
 def techniques(spark, sf_dir):
     k = F.col("s_suppkey")
     s = lambda x: x.cast("string")
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey <= 100").select(
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.concat(F.lit("T"), s(999 + k), F.when(k % 10 == 0, ".001").otherwise("")).alias("technique_id"), F.array(F.concat(F.lit("tactic"), s(k % 5)), F.concat(F.lit("tactic"), s(5 + k % 3))).alias("tactics")
     )
 
@@ -121,14 +121,14 @@ def compliance_posture(spark, sf_dir):
     return coverage.compliance_posture(control_table(spark, sf_dir))
 
 
-_STEPS = """steps AS (SELECT event_id % 200 AS step_id, 'T' || (1000 + event_id % 20) AS technique, event_id % 200 % 4 <> 0 AS expected, event_id FROM events WHERE event_id < 1000),
+_STEPS = """steps AS (SELECT event_id % 200 AS step_id, 'T' || (1000 + event_id % 20) AS technique, event_id % 200 % 4 <> 0 AS expected, event_id FROM events),
     sc AS (SELECT step_id, technique, expected, count(score) > 0 AS detected, max(score) AS max_score FROM steps LEFT JOIN (SELECT event_id, score FROM det WHERE score >= 0.8) d USING (event_id) GROUP BY 1, 2, 3)"""
 
 
 def scenario(spark, sf_dir):
     e = F.col("event_id")
     events = detections(spark, sf_dir)
-    steps = events.where("event_id < 1000").select((e % 200).alias("step_id"), F.concat(F.lit("T"), (1000 + e % 20).cast("string")).alias("technique"), (e % 200 % 4 != 0).alias("expected"), "event_id")
+    steps = events.select((e % 200).alias("step_id"), F.concat(F.lit("T"), (1000 + e % 20).cast("string")).alias("technique"), (e % 200 % 4 != 0).alias("expected"), "event_id")
     return coverage.detection_coverage(steps, events.where("score >= 0.8"))
 
 

@@ -131,11 +131,11 @@ def infer_ioc_type(spark, sf_dir):
 _NORM = "CASE WHEN id % 8 IN (2, 3, 4) THEN lower(value) WHEN id % 8 = 1 THEN regexp_replace(lower(value), '^www\\.', '') WHEN id % 8 = 5 THEN split_part(value, ':', 1) ELSE value END"
 
 
-@query("p13_p14_normalize_ioc", f"SELECT id, {_NORM} AS value, substr(sha1(['url', 'domain', 'hash_md5', 'hash_sha1', 'email', 'ip', 'registry'][1 + id % 8] || '|' || {_NORM}), 1, 16) AS fingerprint FROM {_CAND} WHERE id % 8 < 7")
+@query("p13_p14_normalize_ioc", f"SELECT id, {_NORM} AS value, substr(sha1(['url', 'domain', 'hash_md5', 'hash_sha1', 'email', 'ip', 'registry'][1 + id % 8] || '|' || {_NORM}), 1, 16) AS fingerprint FROM {_CAND}")
 def normalize_ioc(spark, sf_dir):
     kind = parsing.infer_ioc_type(F.col("value"))
     value = parsing.normalize_ioc(kind, F.col("value"))
-    return candidates(spark, sf_dir).where("id % 8 < 7").select("id", value.alias("value"), parsing.ioc_fingerprint(kind, value).alias("fingerprint"))
+    return candidates(spark, sf_dir).select("id", value.alias("value"), F.when(kind.isNotNull(), parsing.ioc_fingerprint(kind, value)).alias("fingerprint"))
 
 
 #: A feed over parts: addresses, processes, files and domains, each from two sources.
@@ -217,12 +217,12 @@ def enrich_events(spark, sf_dir):
 
 @query(
     "j10_reputation_join",
-    f"""WITH {SEC_SQL}, rep AS (SELECT '10.0.' || (s_suppkey % 7) || '.' || s_suppkey AS value, s_suppkey / 100.0::DOUBLE AS score, 1704067200 + s_suppkey * 20000.0 AS cached_at FROM supplier WHERE s_suppkey < 100)
+    f"""WITH {SEC_SQL}, rep AS (SELECT '10.0.' || (s_suppkey % 7) || '.' || s_suppkey AS value, s_suppkey / 100.0::DOUBLE AS score, 1704067200 + s_suppkey * 20000.0 AS cached_at FROM supplier)
     SELECT event_id, 'dst_ip' AS field, rep.value AS value, score FROM sec JOIN rep ON rep.value = dst_ip WHERE ts >= cached_at AND ts - cached_at <= 604800""",
 )
 def reputation_join(spark, sf_dir):
     k = F.col("s_suppkey")
-    rep = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 100").select(
+    rep = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         F.lit("ip").alias("kind"), F.concat(F.lit("10.0."), (k % 7).cast("string"), F.lit("."), k.cast("string")).alias("value"), (k / 100.0).alias("score"), (1704067200 + k * 20000.0).alias("cached_at")
     )
     return intel.reputation_join(security_events(spark, sf_dir), rep, 604800.0)

@@ -64,11 +64,11 @@ def fill_missing_paths(spark, sf_dir):
 
 @query(
     "j04_add_attributes",
-    f"""WITH {TRACE_SQL} SELECT DISTINCT "actorID", "objectID", action, CAST(seq AS VARCHAR) AS "timestamp", exec FROM tr WHERE seq % 3 = 0""",
+    f"""WITH {TRACE_SQL} SELECT DISTINCT "actorID", "objectID", action, CAST(seq AS VARCHAR) AS "timestamp", exec FROM tr""",
 )
 def add_attributes(spark, sf_dir):
     rows = trace(spark, sf_dir).withColumnRenamed("seq", "timestamp")
-    edges = rows.where("timestamp % 3 = 0").select("actorID", "objectID", "action", "timestamp")
+    edges = rows.select("actorID", "objectID", "action", "timestamp")
     return traces.add_attributes(edges, rows.select("actorID", "objectID", "action", "timestamp", "exec"))
 
 
@@ -313,6 +313,6 @@ def embed_documents(spark, sf_dir):
 def prune_shared_periphery(spark, sf_dir):
     from ..operators import graph
 
-    rows = trace(spark, sf_dir).where("sk <= 20 and pk <= 60")
+    rows = trace(spark, sf_dir)
     edges = rows.select(F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "action")
     return graph.prune_shared_periphery(edges, edges.where("action <> 'R'"), "s3")
