@@ -118,3 +118,16 @@ def navigator_layer(coverage: DataFrame) -> DataFrame:
     """A technique's JSON entry: score 1 for each rule and a comment of at most 8 rule ids."""
     entry = F.struct(F.col("technique_id").alias("techniqueID"), F.col("rule_count").alias("score"), F.array_join(F.slice("rule_ids", 1, 8), ", ").alias("comment"))
     return coverage.where("known").select(F.to_json(entry).alias("entry"))
+
+
+def technique_search(techniques: DataFrame, text: str) -> DataFrame:
+    """techniques whose id, name or description has the text, in any case."""
+    found = F.lit(False)
+    for c in ("technique_id", "name", "description"):
+        found = found | F.coalesce(F.contains(F.lower(c), F.lit(text.lower())), F.lit(False))
+    return techniques.where(found)
+
+
+def techniques_of(techniques: DataFrame, tactic: str) -> DataFrame:
+    """techniques of a tactic."""
+    return techniques.where(F.array_contains("tactics", tactic))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -246,3 +246,16 @@ def reconstruction_error(rows: DataFrame, bottleneck: int = 2) -> DataFrame:
     low, high = F.col("q")[0], F.col("q")[1]
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("error") - low) / F.greatest(high - low, F.lit(1e-12))))
     return errors.join(F.broadcast(cuts)).select("event_id", "error", score.alias("score"))
+
+
+def save_model(model: DataFrame, path: str, version: str, **metadata: str) -> None:
+    """A model that is a table (such as a forest), under its version; metadata in a row beside it."""
+    model.write.mode("overwrite").parquet(f"{path}/version={version}/model")
+    row = model.sparkSession.createDataFrame([(version, {k: str(v) for k, v in metadata.items()})], "version string, metadata map<string,string>")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/version={version}/metadata")
+
+
+def load_model(spark: SparkSession, path: str, version: str) -> tuple[DataFrame, dict[str, str]]:
+    """(model, metadata) as ``save_model`` wrote them."""
+    row = spark.read.schema("version string, metadata map<string,string>").json(f"{path}/version={version}/metadata").first()
+    return spark.read.parquet(f"{path}/version={version}/model"), dict(row["metadata"])

@@ -164,3 +164,34 @@ def rate_limited(alerts: DataFrame, per_minute: int, key: str, min_severity: str
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
     folded = ordered_fold(kept, ["key"], ["ts", "event_id"], f"key {kinds['key']}, event_id {kinds['event_id']}, admitted boolean", fold)
     return folded.select(F.col("key").alias(key), "event_id", "admitted")
+
+
+def incident_history(snapshots: DataFrame, incident_id: str) -> DataFrame:
+    """An incident's snapshots in order of time."""
+    return snapshots.where(F.col("incident_id") == incident_id).orderBy("ts", "snapshot")
+
+
+#: The default schedules (name, kind of report, seconds between runs, seconds looked back).
+SCHEDULES = (
+    ("Daily Executive Report", "executive", 86_400.0, 86_400.0),
+    ("Weekly Compliance Report", "compliance", 604_800.0, 604_800.0),
+    ("Hourly Operational Report", "operational", 3_600.0, 3_600.0),
+)
+
+
+def scheduled_reports(events: DataFrame, detections: DataFrame, now: float, last_runs: Mapping[str, float] | None = None, schedules: Sequence[tuple[str, str, float, float]] = SCHEDULES) -> DataFrame:
+    """One row for each schedule that is due: (schedule, kind, since, until, next_run, events, detections, hosts, critical).
+
+    A schedule is due if it never ran (``last_runs`` by name) or its interval has
+    passed.  All due reports come from one pass over either table: a row
+    counts for each period that it lies in.
+    """
+    due = [s for s in schedules if s[0] not in (last_runs or {}) or now >= last_runs[s[0]] + s[2]]
+    columns = "schedule string, kind string, since double, until double, next_run double"
+    table = events.sparkSession.createDataFrame([(name, kind, now - back, now, now + every) for name, kind, every, back in due], columns)
+    ts = F.col("ts")
+    spans = F.array_compact(F.array(*(F.when((ts >= now - back) & (ts <= now), F.lit(name)) for name, _, _, back in due), F.lit(None).cast("string")))
+    seen = events.select(F.explode(spans).alias("schedule"), "host").groupBy("schedule").agg(F.count("*").alias("events"), F.countDistinct("host").alias("hosts"))
+    found = detections.select(F.explode(spans).alias("schedule"), "severity").groupBy("schedule").agg(F.count("*").alias("detections"), F.count_if(F.col("severity") == "critical").alias("critical"))
+    joined = table.join(seen, "schedule", "left").join(found, "schedule", "left")
+    return joined.select("schedule", "kind", "since", "until", "next_run", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("events", "detections", "hosts", "critical")))

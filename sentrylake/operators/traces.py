@@ -146,6 +146,17 @@ def node_documents(events: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.flatten(F.transform(ordered, lambda x: x["t"])).alias("tokens"), F.max_by("name", F.struct("seq", "name")).alias("name"))
 
 
+def node_labels(events: DataFrame) -> DataFrame:
+    """(node, name): the name that a node has in its last event; no documents are made."""
+    ends = F.explode(F.array(F.struct(F.col("actorID").alias("node"), F.col("exec").alias("name")), F.struct(F.col("objectID").alias("node"), F.col("path").alias("name"))))
+    return events.select("seq", ends.alias("e")).select("seq", "e.*").groupBy("node").agg(F.max_by("name", F.struct("seq", "name")).alias("name"))
+
+
+def in_order(events: DataFrame, key: str) -> DataFrame:
+    """(event_id, place): each event's place in order of time within its key, as training reads them."""
+    return events.select("event_id", F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id")).alias("place"))
+
+
 def neighbor_names(events: DataFrame) -> DataFrame:
     """(node, names): the different names at the other ends of a node's edges."""
     rows = events.select(F.explode(F.array(F.struct(F.col("actorID").alias("node"), F.col("objectname").alias("name")), F.struct(F.col("objectID").alias("node"), F.col("actorname").alias("name")))).alias("e")).select("e.*")

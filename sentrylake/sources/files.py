@@ -68,8 +68,11 @@ def read_trace_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_concatenated_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects that follow each other without a line break."""
-    parts = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"(?<=\})\s*(?=\{)")).alias("j"))
-    return parts.select(F.from_json("j", schema).alias("o")).where("o is not null").select("o.*")
+    # cut between the braces, which are put back, so that a file is read by many tasks
+    cut = spark.read.option("lineSep", "}{").text(path).select(F.trim("value").alias("v"))
+    parts = cut.select(F.explode(F.split(F.when(F.col("v").startswith("{"), F.col("v")).otherwise(F.concat(F.lit("{"), "v")), r"(?<=\})\s+(?=\{)")).alias("j"))
+    whole = F.when(F.try_parse_json("j").isNull(), F.concat("j", F.lit("}"))).otherwise(F.col("j"))
+    return parts.select(whole.alias("j")).where(F.try_parse_json("j").isNotNull()).select(F.from_json("j", schema).alias("o")).select("o.*")
 
 
 def read_etw_json(spark: SparkSession, root: str, schema: str = "Event string, PID long, PPID long, PName string, args map<string,string>, TimeStamp long") -> DataFrame:

@@ -6,7 +6,6 @@ are idempotent: what a batch wrote is replaced if the batch runs again.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
@@ -14,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import new_path
 from ..functions.predicates import run_hunts
 from ..operators import graph, rules
 
@@ -129,8 +129,4 @@ def stream_statistical(events: DataFrame, z_threshold: float = 3.5, alpha: float
 
 def folders(spark: SparkSession) -> tuple[str, str]:
     """A new result folder and a new checkpoint folder in the place that executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
-    name = uuid.uuid4().hex
-    return f"{base.rstrip('/')}/stream-{name}", f"{base.rstrip('/')}/stream-state-{name}"
+    return new_path(spark, "stream"), new_path(spark, "stream-state")
