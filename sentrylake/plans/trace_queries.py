@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ml, traces
+from ..operators import attribution, ml, traces
 from ..sources.standins import SEC_SQL, security_events, table
 from .registry import query
 
@@ -316,3 +316,43 @@ def prune_shared_periphery(spark, sf_dir):
     rows = trace(spark, sf_dir)
     edges = rows.select(F.col("actorID").alias("src"), F.col("objectID").alias("dst"), "action")
     return graph.prune_shared_periphery(edges, edges.where("action <> 'R'"), "s3")
+
+
+def customer_nodes(spark, sf_dir):
+    """Customers as nodes of three types with their own features and the means of their neighbours'."""
+    c = table(spark, sf_dir, "customer")
+    nodes = c.select(F.col("c_custkey").alias("node"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double")).alias("x"))
+    edges = c.select(F.col("c_custkey").alias("src"), (F.col("c_custkey") + 10).alias("dst")).join(c.select(F.col("c_custkey").alias("dst")), "dst", "left_semi")
+    both = ml.neighbor_means(nodes, edges).select("node", F.concat("x", "mean").alias("x"))
+    return both.join(c.select(F.col("c_custkey").alias("node"), (F.length("c_mktsegment") % 3).alias("label")), "node")
+
+
+@query("m08_m09_node_anomalies")
+def node_anomalies(spark, sf_dir):
+    nodes = customer_nodes(spark, sf_dir)
+    found = attribution.predict_node_types(attribution.fit_node_types(nodes), nodes)
+    return attribution.node_anomalies(found, gate=0.01)
+
+
+@query("m10_staged_refinement")
+def staged_refinement(spark, sf_dir):
+    return attribution.staged_refinement(customer_nodes(spark, sf_dir), stages=2)
+
+
+def _attributed(spark, sf_dir):
+    """Training rows by actor's program, and objects to be scored, one in fifty of which is asked about."""
+    rows = trace(spark, sf_dir)
+    label = F.when(F.col("action") == "R", 0).when(F.col("action") == "A", 1).otherwise(2)
+    train = rows.select(F.col("exec").alias("entity"), label.alias("label"), F.array("quantity", (F.col("pk") % 100).cast("double")).alias("x"))
+    asked = F.when(F.col("seq") % 50 == 0, F.concat(F.lit("e"), (F.col("pk") % 10).cast("string")))
+    return train, rows.select(F.col("seq").alias("node"), asked.alias("entity"), F.array("quantity", (F.col("sk") % 100).cast("double")).alias("x"))
+
+
+@query("m11_leave_one_out_scores")
+def leave_one_out(spark, sf_dir):
+    return attribution.leave_one_out_scores(*_attributed(spark, sf_dir))
+
+
+@query("m12_sharded_leave_one_out")
+def sharded_leave_one_out(spark, sf_dir):
+    return attribution.sharded_leave_one_out(*_attributed(spark, sf_dir), shards=4)
