@@ -238,3 +238,51 @@ def divergence(rows, min_reference=5_000, n_common=24, min_chars=80, min_words=5
             by_word = _distance(shares + [1 - sum(shares)], ref[1])
         out.append((by_char, by_word, not quality(text)[5] and not (by_char or 0) > max_char and not (by_word or 0) > max_word))
     return out
+
+
+def redact(text, spans):
+    """Signs of kinds for spans (kind, start, stop, removed)."""
+    out, at = [], 0
+    for start, minus_stop, kind, removed in sorted((s[1], -s[2], s[0], s[3]) for s in spans):
+        out.append(text[at : max(at, start)] + ("" if removed or -minus_stop <= at else f"<{kind.upper()}>"))
+        at = max(at, -minus_stop)
+    return "".join(out) + text[at:]
+
+
+def resembling(texts, at_least=0.8):
+    """{id: least id linked} by comparing all pairs of sets of five-word shingles."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {i: shingles((t or "").translate(lower)) for i, t in texts.items()}
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if small < at_least * large:
+                continue
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= at_least * (small + large - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {i: root(i) for i in ids}
+
+
+def mixed(docs, seed=42):
+    """docs: {id: (source, size)}; {id: copies} by target, whole repetitions and a seeded order."""
+    goal, groups = targets(group_sums(docs.values())), defaultdict(list)
+    for i, (source, size) in docs.items():
+        groups[source].append((hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i, size))
+    out = {}
+    for source, rows in groups.items():
+        total = sum(size for *_, size in rows)
+        whole = int(goal[source] // total) if total else 0
+        run, rest = 0, goal[source] - whole * total
+        for _, i, size in sorted(rows):
+            run += size
+            out[i] = whole + (size > 0 and run - size / 2 < rest)
+    return out
