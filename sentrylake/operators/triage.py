@@ -66,7 +66,12 @@ def triage_sessions(detections: DataFrame, window: float = DEDUP_WINDOW) -> Data
 
 def absorb_alerts(sessions: DataFrame) -> DataFrame:
     """One alert for each session: count, times, peak, hosts, users, tags and at most 50 ids."""
-    return sessions.groupBy("fingerprint", "session").agg(
+    key = ["fingerprint", "session"]
+    # the sample's bound is the alert's own, and taken before ids are gathered; counts cover all
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("event_id"))
+    first = sessions.select(*key, "event_id").distinct().withColumn("_n", rank).where(F.col("_n") <= MAX_IDS)
+    samples = first.groupBy(*key).agg(F.array_sort(F.collect_list("event_id")).alias("sample_ids"))
+    alerts = sessions.groupBy(*key).agg(
         F.count("*").alias("count"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
@@ -75,9 +80,8 @@ def absorb_alerts(sessions: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("host")).alias("hosts"),
         F.array_sort(F.collect_set("user")).alias("users"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags"),
-        # the sample's bound is the alert's own; counts cover all
-        F.slice(F.array_sort(F.collect_set("event_id")), 1, MAX_IDS).alias("sample_ids"),
     )
+    return alerts.join(samples, key)
 
 
 #: Weights of the priority, its saturations, and the bands.

@@ -41,8 +41,10 @@ def stream_detections(spark, sf_dir):
 
 @query("x02_stream_statistical")
 def stream_statistical(spark, sf_dir):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    hourly = standins.security_events(_Stream(spark), sf_dir).withColumn("ts", F.col("ts") / 60)
+    # a session of its own, so that the caller's settings stay
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    hourly = standins.security_events(_Stream(own), sf_dir).withColumn("ts", F.col("ts") / 60)
     return _run(spark, streams.stream_statistical(hourly)).drop("batch")
 
 

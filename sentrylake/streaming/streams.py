@@ -86,7 +86,8 @@ def stream_statistical(events: DataFrame, z_threshold: float = 3.5, alpha: float
     """(host, event_id, ts, z_max) of events above their host's baseline; keyed state for each host.
 
     The state is that of one minute and four running means and variances; events
-    of a batch are taken in order of time.  Needs the RocksDB state store.
+    of a batch are taken in order of time, and one of a minute that is closed
+    counts in the open one.  Needs the RocksDB state store.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -102,7 +103,8 @@ def stream_statistical(events: DataFrame, z_threshold: float = 3.5, alpha: float
             minute, rate, ports, procs, size, seen, stats = (saved[0], saved[1], set(json.loads(saved[2])), set(json.loads(saved[3])), saved[4], saved[5], json.loads(saved[6])) if saved else (None, 0, set(), set(), 0, 0, [[0.0, 1.0]] * 4)
             out = []
             for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-                now = int(r.ts // 60)
+                # an event that comes late counts in the minute that is open
+                now = int(r.ts // 60) if minute is None else max(minute, int(r.ts // 60))
                 if minute is not None and now != minute:
                     closed = (rate, len(ports), len(procs), size)
                     if seen == 0:

@@ -135,3 +135,26 @@ def test_embed_documents_against_a_loop(spark):
     wave = lambda p: [math.sin(p), math.cos(p), math.sin(p * 10000 ** (-2 / 4)), math.cos(p * 10000 ** (-2 / 4))]
     want = [(a + u + b + v) / 2 for a, u, b, v in zip([1, 2, 3, 4], wave(0), [5, 6, 7, 8], wave(1))]
     assert got["n"] == pytest.approx(want) and got["m"] == [0.0] * 4
+
+
+def test_stream_statistical_against_the_batch_form(spark, tmp_path):
+    from sentrylake.streaming import streams
+
+    rows = [(m * 5 + k, float(m * 60 + k), f"h{m % 2}", k % 2, "p", 10) for m in range(30) for k in range(5)]
+    rows += [(1000 + k, 1800.0 + k / 10, "h0", k, "p", 10) for k in range(200)]
+    schema = "event_id long, ts double, host string, dst_port int, process string, bytes_sent long"
+    events = spark.createDataFrame(rows, schema)
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    streams.run_available(streams.stream_statistical(stream), streams.batch_sink(str(tmp_path / "out")), str(tmp_path / "state"))
+    got = {r["event_id"]: r["z_max"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r["event_id"]: r["z_max"] for r in detect.statistical_detections(events, warmup=1).collect()}
+    assert got and got == pytest.approx(want)
+
+
+def test_a_pattern_that_only_one_language_compiles_matches_nothing(spark):
+    from sentrylake.functions import predicates
+
+    df = spark.createDataFrame([("ab",)], "x string")
+    for pattern in ("(?P<n>a)", "(", "a++b"):
+        assert df.where(predicates.hunt_regex(F.col("x"), pattern)).count() == (pattern == "a++b")
