@@ -4,8 +4,10 @@ A text is cut into chunks that overlap.  Each chunk is pre-tokenised on its own;
 as a match of the pattern depends only on the text from its start on, two chunks
 that both have a boundary at one place agree from there on.  The chunks are
 stitched at the first such place of each overlap, and the pieces between the
-stitches are encoded separately.  Where the chunks do not agree within their
-overlap (a pre-token longer than it), the overlap is widened step by step.
+stitches are encoded separately.  The end of a run of white space depends on
+what is behind it (``\\s+(?!\\S)``), which a piece would not show; so a stitch lies
+behind a character that is no white space.  Where the chunks do not agree within
+their overlap (a pre-token longer than it), the overlap is widened step by step.
 
 A text of up to ``spread_chars`` has its chunks, stitches and pieces in the worker that
 reads it, without a shuffle.  A longer one is first cut in the same way into
@@ -62,13 +64,13 @@ def _matcher(pattern: str):
 
 
 def _ends(match, part: str, is_last: bool) -> list[int]:
-    """The boundaries of a chunk, ascending, without those that the text behind the chunk may move."""
+    """The boundaries of a chunk at which a piece may end, ascending, without those that the text behind the chunk may move."""
     ends = [m.end() for m in match.finditer(part)]
     if not is_last:
         # a match that touches the chunk's end, or ends too near to it, may go on beyond
         while ends and (ends[-1] == len(part) or ends[-1] + MARGIN > len(part)):
             ends.pop()
-    return ends
+    return [b for b in ends if not part[b - 1].isspace()]
 
 
 def _agree(left: list[int], right: list[int], by: int, within: int) -> int | None:

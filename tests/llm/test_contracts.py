@@ -1,6 +1,7 @@
 """Each numbered query against a plain version over a whole table, and over awkward rows."""
 
 import base64
+import random
 
 import plain
 import public_tokenizers
@@ -134,6 +135,35 @@ def test_every_text_is_stitched(sf, tiktoken_encoding):
     assert stitched > 0.9 * sum(len(t) > 200 for t in texts)
 
 
+def blank_runs(n, seed):
+    """Texts of words, runs of white space of many kinds, contractions and numbers."""
+    draw = random.Random(seed)
+    parts = ["word", "don't", "we'll", "'s", "'", "123", "...", "é", "\x1c", " ", "  ", "   ", "\n", "\n\n", "\t", "\r\n", "\u2003", "\x85", "\u00a0"]
+    return ["".join(draw.choice(parts) * draw.choice([1, 1, 1, 2, 9]) for _ in range(draw.randrange(4, 400))) for _ in range(n)]
+
+
+def test_pieces_do_not_end_in_white_space(tiktoken_encoding):
+    texts = blank_runs(600, 1)
+    # a blank line, three spaces, or a tab where one of the default chunks ends
+    texts += ["x" * (4_096 * k - len(gap) - pad) + gap + "Next 12 lines" + "\n\nand on" * 900 for gap in ("\n\n", "   ", "\t\t", "\n \n", " ") for pad in range(-4, 4) for k in (1, 2)]
+    stitched = 0
+    for t in texts:
+        for chunk, overlap in ((16, 8), (64, 24), (bpe.CHUNK_CHARS, bpe.OVERLAP)):
+            found = bpe.pieces(t, public_tokenizers.PATTERN, chunk, overlap)
+            stitched += len(found) > 1
+            assert [i for p in found for i in tiktoken_encoding.encode_ordinary(p)] == tiktoken_encoding.encode_ordinary(t), (chunk, t[:99])
+    assert stitched > len(texts)
+
+
+@pytest.mark.parametrize("chunk, overlap, spread", [(16, 8, 10**9), (16, 8, 60), (4_096, 256, 65_536), (4_096, 256, 4_200)])
+def test_byte_bpe_of_blank_runs(spark, tiktoken_encoding, chunk, overlap, spread):
+    texts = blank_runs(60, 2) + ["\n\n".join(blank_runs(90, 3 + i)) for i in range(4)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = bpe.encode(docs, public_tokenizers.path(queries.BYTE_BPE), public_tokenizers.PATTERN, chunk_chars=chunk, overlap=overlap, spread_chars=spread, spread_overlap=13 if spread < 9_999 else 1_024).collect()
+    for r in rows:
+        assert plain.sha(bytes(r["ids"])) == _bpe(tiktoken_encoding, texts[r["doc_id"]])[1], texts[r["doc_id"]][:99]
+
+
 def test_quality(spark, folder):
     rows = queries.op4_quality_rules(spark, folder).collect()
     assert sort(tuple(r)[:7] for r in rows) == sort((d["doc_id"], *plain.quality(d["text"])) for d in read(spark, folder))
