@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality, simhash, sketches, substring_dedup, token_counts, toxicity, url_reputation
+from . import bpe, fill_middle, mixing, pii, quality, simhash, sketches, substring_dedup, token_counts, toxicity, url_reputation
 from .common import n_words, table, text_or_empty
 
 #: Rules on hosts and paths as (verdict, host, path).
@@ -107,9 +107,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = fill_middle.restore(F.col("fim.output"), F.col("fim.form"))
+    return cut.select(
+        "doc_id",
+        "fim.n",
+        "fim.form",
+        F.col("fim.prefix").alias("prefix_chars"),
+        F.col("fim.middle").alias("middle_chars"),
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(restored, 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_url_reputation, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_fingerprints, op7_mixing, op8_substring_dedup, op9_pii, op10_simhash)
+    for f in (op1_toxicity, op2_url_reputation, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_fingerprints, op7_mixing, op8_substring_dedup, op9_pii, op10_simhash, op13_fill_middle)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -158,5 +172,11 @@ _OP2_SQL = f"""WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr
     WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM p JOIN bound USING (host))
   SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > {url_reputation.MAX_BAD_RATE} THEN 'block' ELSE 'allow' END AS verdict FROM fits"""
 
+_OP13_SQL = """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+  d AS (SELECT *, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS c, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS e, CAST('0x' || x[17:24] AS BIGINT) % 100 AS rate, CAST('0x' || x[25:32] AS BIGINT) % 100 AS way FROM h),
+  f AS (SELECT *, least(c, e) AS a, greatest(c, e) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR rate >= 90 THEN 'plain' WHEN way < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+  p AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM f)
+  SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 #: The other operators hash, tokenise or learn in ways that SQL lacks; tests hold them against plain versions.
-ORACLE_SQL: dict[str, str] = {"op2_url_reputation": _OP2_SQL, "op7_mixing": _OP7_SQL, "op8_substring_dedup": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_url_reputation": _OP2_SQL, "op7_mixing": _OP7_SQL, "op8_substring_dedup": _OP8_SQL, "op13_fill_middle": _OP13_SQL}
