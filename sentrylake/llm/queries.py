@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fill_middle, mixing, pii, quality, simhash, sketches, substring_dedup, token_counts, toxicity, url_reputation
+from . import bpe, conversations, fill_middle, mixing, pii, quality, simhash, sketches, substring_dedup, token_counts, toxicity, url_reputation
 from .common import n_words, table, text_or_empty
 
 #: Rules on hosts and paths as (verdict, host, path).
@@ -107,6 +107,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = conversations.repair(conversations.damage(rows))
+    every = rows.select("conv_id").distinct()
+    # a conversation of which the damage leaves nothing
+    none = {"audit": F.lit(""), "digest": F.unhex(F.sha2(F.lit(""), 256))}
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    found = every.join(fixed, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select("conv_id", *counts, *(F.coalesce(F.col(c), of).alias(c) for c, of in none.items()))
+    return found.select("*", F.lower(F.hex("digest")).alias("repaired_sha256")).drop("digest")
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = fill_middle.restore(F.col("fim.output"), F.col("fim.form"))
@@ -123,7 +134,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_url_reputation, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_fingerprints, op7_mixing, op8_substring_dedup, op9_pii, op10_simhash, op13_fill_middle)
+    for f in (op1_toxicity, op2_url_reputation, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_fingerprints, op7_mixing, op8_substring_dedup, op9_pii, op10_simhash, op11_conversation_repair, op13_fill_middle)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
