@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, fill_middle, mixing, pii, quality, simhash, sketches, substring_dedup, token_counts, toxicity, url_reputation
+from . import bpe, conversations, fill_middle, mixing, pii, quality, sharding, simhash, sketches, substring_dedup, token_counts, toxicity, url_reputation
 from .common import n_words, table, text_or_empty
 
 #: Rules on hosts and paths as (verdict, host, path).
@@ -23,6 +23,7 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 PIECE_BPE = "piece_bpe_32k.model"
 TOXIC_AT = 0.7
 MAX_TOKENS = 4096
+N_SHARDS = 24
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +119,13 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("*", F.lower(F.hex("digest")).alias("repaired_sha256")).drop("digest")
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("link"))
+    dealt = sharding.assign(docs, shards=N_SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fill_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
     restored = fill_middle.restore(F.col("fim.output"), F.col("fim.form"))
@@ -134,7 +142,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_url_reputation, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_fingerprints, op7_mixing, op8_substring_dedup, op9_pii, op10_simhash, op11_conversation_repair, op13_fill_middle)
+    for f in (op1_toxicity, op2_url_reputation, op3_byte_bpe, op4_quality_rules, op5_token_counts, op6_fingerprints, op7_mixing, op8_substring_dedup, op9_pii, op10_simhash, op11_conversation_repair, op12_sharding, op13_fill_middle)
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -33,6 +33,18 @@ def quality(text):
     return (*out, out[0] < 10 or 100 * out[4] > 20 * out[0])
 
 
+def fill_middle(doc_id, text):
+    text = text or ""
+    n, digest = len(text), sha(f"1:{'' if doc_id is None else doc_id}")
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return n, "plain", None, None, sha(text), sha(text)
+    prefix, middle, suffix = text[:a], text[a:b], text[b:]
+    spm = h[3] % 100 < 20
+    return n, "spm" if spm else "psm", a, b - a, sha(f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"), sha(text)
+
+
 def substring_dedup(docs):
     """docs: {id: text}; {id: (n_words, n_removed, kept)}."""
     first = {}

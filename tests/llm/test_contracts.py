@@ -7,7 +7,9 @@ import plain
 import public_tokenizers
 import pytest
 
-from sentrylake.llm import bpe, queries, sketches, token_counts
+from pyspark.sql import functions as F
+
+from sentrylake.llm import bpe, fill_middle, queries, sketches, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, id string"
 
@@ -39,6 +41,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
@@ -164,6 +167,32 @@ def test_byte_bpe_of_blank_runs(spark, tiktoken_encoding, chunk, overlap, spread
         assert plain.sha(bytes(r["ids"])) == _bpe(tiktoken_encoding, texts[r["doc_id"]])[1], texts[r["doc_id"]][:99]
 
 
+def test_fill_middle(spark, folder):
+    rows = queries.op13_fill_middle(spark, folder).collect()
+    assert sort(map(tuple, rows)) == sort(map(tuple, ((d["doc_id"], *plain.fill_middle(d["doc_id"], d["text"])) for d in read(spark, folder))))
+    assert {r["form"] for r in rows} == {"plain", "psm", "spm"}
+
+
+def test_fill_middle_of_texts_with_marks_and_groups(spark):
+    texts = ["a <P> b", "<S>", "x<M>", "<<P><S", "$1 and \\2", "\x00\r\n\x85\u2028", "\U0001f600" * 1_025, "é" * 1_024, "<P", "S>", "\n" * 2_049]
+    docs = spark.createDataFrame([(i * 100 + k, t) for k, t in enumerate(texts) for i in range(20)], "doc_id long, text string")
+    out = fill_middle.transform(docs, new="text_fim").select("*", fill_middle.restore(F.col("text_fim.output"), F.col("text_fim.form")).alias("back")).collect()
+    for r in out:
+        n, form, prefix, middle, digest, _ = plain.fill_middle(r["doc_id"], r["text"])
+        assert (r["text_fim"]["n"], r["text_fim"]["form"], r["text_fim"]["prefix"], r["text_fim"]["middle"]) == (n, form, prefix, middle)
+        assert plain.sha(r["text_fim"]["output"]) == digest and r["back"] == r["text"]
+
+
+def test_fill_middle_by_words(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i))) for i in range(40)], "doc_id long, text string")
+    for r in fill_middle.transform(docs, unit=r"\S+\s*", rate=100, spm_rate=0).collect():
+        assert r["fim"]["n"] == r["doc_id"]
+        if r["doc_id"]:
+            prefix, rest = r["fim"]["output"].removeprefix("<P>").split("<S>")
+            suffix, middle = rest.split("<M>")
+            assert prefix + middle + suffix == r["text"] and (len(prefix.split()), len(middle.split())) == (r["fim"]["prefix"], r["fim"]["middle"])
+
+
 def test_quality(spark, folder):
     rows = queries.op4_quality_rules(spark, folder).collect()
     assert sort(tuple(r)[:7] for r in rows) == sort((d["doc_id"], *plain.quality(d["text"])) for d in read(spark, folder))
