@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, ml, traces
+from ..operators import attribution, ml, representatives, traces
 from ..sources.standins import SEC_SQL, security_events, table
 from .registry import query
 
@@ -356,3 +356,12 @@ def leave_one_out(spark, sf_dir):
 @query("m12_sharded_leave_one_out")
 def sharded_leave_one_out(spark, sf_dir):
     return attribution.sharded_leave_one_out(*_attributed(spark, sf_dir), shards=4)
+
+
+@query("m13_representative_actors")
+def representative_actors(spark, sf_dir):
+    # an order is an instance of its customer's program, and each of its line items an edge
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 40).alias("program"))
+    edges = table(spark, sf_dir, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    label = F.concat_ws("|", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("string"))
+    return representatives.representative_actors(edges, "program", "l_orderkey", label)
