@@ -3,8 +3,9 @@
 An instance (a process that ran a program) is the bag of its edges' labels,
 hashed to a short vector.  All programs are clustered in the same Spark jobs:
 their centres are a table of k rows a program, points meet those of their
-program by a join, and the next centres are averages.  A program with very
-many instances is dealt to several parts of that join.
+program in groups of bounded size, each of which sends k sums, and the next
+centres are their means.  A program with very many instances is dealt to several
+such groups.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from ..functions.checkpoints import checkpointed
 DIM = 32
 #: Points of a program from which its first centres are chosen, for each centre.
 SEED_POINTS = 16
-#: Instances of a program in one part of the join with its centres.
+#: Instances of a program that meet its centres in one group.
 PART_ROWS = 50_000
 
 
@@ -80,21 +81,44 @@ def cluster_programs(points: DataFrame, k: int, rounds: int = 10, seed: int = 42
     if n_dim is None:
         return placed.select("program", "instance", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
 
-    def assigned(table: DataFrame) -> DataFrame:
-        # k rows a program; once for each part of its points
-        beside = table.groupBy("program").agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("centres")).join(parts, "program")
-        beside = beside.select("program", "centres", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        near = F.transform("centres", lambda e: F.struct(_distance(F.col("x"), e["c"]).alias("d"), e["cluster"].alias("cluster")))
-        return placed.select("program", "part", "instance", "x").join(beside, ["program", "part"]).withColumn("near", F.array_min(near))
+    def beside(table: DataFrame):
+        """Centres (k rows a program at most), once for each part of the program's points."""
+        dealt = table.join(parts, "program").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return dealt.select("program", "part", "cluster", "c").groupBy("program", "part")
 
+    def nearest(mine: pd.DataFrame, centres: pd.DataFrame):
+        import numpy as np
+
+        centres = centres.sort_values("cluster")
+        x, c = np.stack(mine["x"].to_numpy()), np.stack(centres["c"].to_numpy())
+        gaps = np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1)
+        return x, centres["cluster"].to_numpy()[gaps.argmin(axis=1)], gaps.min(axis=1)
+
+    def sums(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"program": [], "cluster": [], "n": [], "s": []})
+        x, at, _ = nearest(mine, centres)
+        there = sorted(set(at.tolist()))
+        return pd.DataFrame({"program": mine["program"].iloc[0], "cluster": there, "n": [int((at == c).sum()) for c in there], "s": [x[at == c].sum(axis=0) for c in there]})
+
+    def settled(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"program": [], "instance": [], "cluster": [], "distance": []})
+        _, at, gap = nearest(mine, centres)
+        return pd.DataFrame({"program": mine["program"], "instance": mine["instance"], "cluster": at, "distance": gap**0.5})
+
+    by_part = placed.select("program", "part", "instance", "x").groupBy("program", "part")
     for _ in range(rounds):
-        means = F.array(*(F.avg(F.col("x")[i]) for i in range(n_dim[0]))).alias("mean")
-        moved = assigned(centres).groupBy("program", F.col("near.cluster").alias("cluster")).agg(means)
+        # a part of a program sends k sums
+        partial = by_part.cogroup(beside(centres)).applyInPandas(sums, f"program {kinds['program']}, cluster int, n long, s array<double>")
+        # rounded, as the order of sums differs from run to run
+        means = F.array(*(F.round(F.sum(F.col("s")[i]) / F.sum("n"), 9) for i in range(n_dim[0]))).alias("mean")
+        moved = partial.groupBy("program", "cluster").agg(means)
         following = checkpointed(centres.join(moved, ["program", "cluster"], "left").withColumn("gap", F.coalesce(_distance(F.col("c"), F.col("mean")), F.lit(0.0))).select("program", "cluster", F.coalesce("mean", "c").alias("c"), "gap"))
         centres = following.drop("gap")
-        if not following.where("gap > 1e-18").limit(1).count():
+        if following.where("gap > 1e-18").isEmpty():
             break
-    return assigned(centres).select("program", "instance", F.col("near.cluster").alias("cluster"), F.sqrt("near.d").alias("distance"))
+    return by_part.cogroup(beside(centres)).applyInPandas(settled, f"program {kinds['program']}, instance {kinds['instance']}, cluster int, distance double")
 
 
 def representative_actors(edges: DataFrame, program: str, instance: str, label: Column, k: int = 10, rounds: int = 10, dim: int = DIM, seed: int = 42) -> DataFrame:

@@ -18,7 +18,7 @@ def plain_kmeans(points, k, rounds, drawn):
     p = np.stack([points[i] for i in ids])
     for _ in range(rounds):
         at = ((p[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
-        following = np.stack([p[at == c].mean(axis=0) if (at == c).any() else centres[c] for c in range(len(centres))])
+        following = np.stack([p[at == c].mean(axis=0).round(9) if (at == c).any() else centres[c] for c in range(len(centres))])
         done = np.allclose(following, centres, atol=1e-12)
         centres = following
         if done:
