@@ -40,19 +40,20 @@ SLACK = 0.25
 #: Documents of more than these parts of a shard are dealt before the others.
 LARGE = (1 / 64, 1 / 2_048)
 #: Rows that a running sum adds up in one task's group, on average.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 5_000
 
 
-def _running(df: DataFrame, parts: list[str], rows: int, spread: Column, order: list[Column], value: Column, name: str) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before each, by ``parts``: in the order of buckets of ``spread``, then of ``order``."""
-    bucket, base, of = f"{name}_bucket", f"{name}_base", [*parts, f"{name}_bucket"]
+def _running(df: DataFrame, parts: list[str], rows: int, spread: Column, order: list[Column], value: Column, name: str, fine: Column | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each, by ``parts``: in the order of buckets of ``spread``, of ``fine`` parts of them, then of ``order``."""
+    bucket, sub, base = f"{name}_bucket", f"{name}_sub", f"{name}_base"
+    of = [*parts, bucket, sub]
     n = max(1, math.ceil(rows / BUCKET_ROWS))
-    df = df.withColumn(bucket, F.pmod(spread, F.lit(n)).cast("int"))
+    df = df.withColumn(bucket, F.pmod(spread, F.lit(n)).cast("int")).withColumn(sub, (F.lit(0) if fine is None else fine).cast("int"))
     sums = df.groupBy(*of).agg(F.sum(value).alias(base))
-    earlier = Window.partitionBy(*parts).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*parts).orderBy(bucket, sub).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*of, F.coalesce(F.sum(base).over(earlier), F.lit(0)).alias(base))
     within = Window.partitionBy(*of).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, of).withColumn(name, F.col(name) + F.col(base)).drop(bucket, base)
+    return df.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, of).withColumn(name, F.col(name) + F.col(base)).drop(bucket, sub, base)
 
 
 def quotas(wanted: dict[tuple[int, int], float], loads: dict[int, float], limit: float, turn: int = 0) -> dict[tuple[int, int], float]:
@@ -150,15 +151,17 @@ def assign(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", link
     linked = of_key.withColumn("all", F.sum("weight").over(Window.partitionBy("link"))).where("all > 1")
     nodes = checkpointed(linked.select(F.struct("link", "cell").alias("node"), "size", "weight", F.floor(F.col("cell") / CELLS).cast("int").alias("shard")))
     settled = propagate(nodes, nodes.select("node", F.col("node.link").alias("key")), shards, mean * (1 + SLACK), max_rounds, seed)
-    placed = rows.join(settled.select("node.link", "node.cell", "shard"), ["link", "cell"], "left")
-    placed = checkpointed(placed.select("row", "id", "size", "link", "spread", "shard"))
+    placed = rows.join(settled.select("node.link", "node.cell", "shard", "weight"), ["link", "cell"], "left")
+    # a key of many rows is cut into parts wherever rows are put in order
+    fine = F.pmod("spread", F.greatest(F.lit(1), F.ceil(F.coalesce("weight", F.lit(0)) * (shards * CELLS / BUCKET_ROWS)))).cast("int")
+    placed = checkpointed(placed.select("row", "id", "size", "link", "spread", "shard", fine.alias("fine")))
     # rows of a key follow each other, so what has to leave a shard leaves it together
     key_order = F.xxhash64(F.coalesce(F.xxhash64("link"), F.col("spread")), F.lit(seed))
     order = [key_order, F.col("link"), F.col("spread"), F.col("size")]
     fixed, free = placed.where("shard is not null"), placed.where("shard is null")
     loads = {r["shard"]: (float(r["bytes"]), r["n"]) for r in fixed.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     if any(load > mean + 1 for load, _ in loads.values()):
-        summed = checkpointed(_running(fixed, ["shard"], max(n for _, n in loads.values()), key_order, order, F.col("size"), "before"))
+        summed = checkpointed(_running(fixed, ["shard"], max(n for _, n in loads.values()), key_order, order, F.col("size"), "before", F.col("fine")))
         stays = F.col("before") + F.col("size") <= F.lit(mean)
         fixed, spilled = summed.where(stays).drop("before"), summed.where(~stays).drop("before").withColumn("shard", F.lit(None).cast("int"))
         free = free.unionByName(spilled)
@@ -170,7 +173,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", link
         # the line of what is free, cut where the shares of the shards' rooms end; the smallest documents come last and level what the larger ones leave
         rooms = [max(0.0, mean - x) for x in load]
         ends = [sum(rooms[: s + 1]) / max(sum(rooms), 1.0) * r["bytes"] for s in range(shards)]
-        line = _running(free.where(F.col("tier") == r["tier"]), [], r["n"], key_order, order, F.col("size"), "before")
+        line = _running(free.where(F.col("tier") == r["tier"]), [], r["n"], key_order, order, F.col("size"), "before", F.col("fine"))
         middle = F.col("before") + F.col("size") / 2
         cut = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= middle))
         dealt = checkpointed(line.withColumn("shard", F.least(cut, F.lit(shards - 1)).cast("int")).drop("before", "tier"))
@@ -178,7 +181,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", link
         for x in dealt.groupBy("shard").agg(F.sum("size").cast("double").alias("bytes")).collect():
             load[x["shard"]] += x["bytes"]
     everything = reduce(DataFrame.unionByName, done)
-    numbered = _running(everything, ["shard"], -(-n_rows // shards), key_order, order, F.lit(1), "slot")
+    numbered = _running(everything, ["shard"], -(-n_rows // shards), key_order, order, F.lit(1), "slot", F.col("fine"))
     return numbered.select("row.*", F.col("shard"), F.col("slot").cast("long").alias("slot"))
 
 
