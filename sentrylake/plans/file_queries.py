@@ -10,7 +10,7 @@ from ..functions.severity import at_least
 from ..operators import coverage, ml, rules, store, traces, triage
 from ..sources import files
 from ..sources.standins import DET_SQL, SEC_SQL, detections, security_events, table
-from ..streaming import streams
+from ..streaming import follow, streams
 from .ingest_queries import LINES_SQL, raw_lines
 from .registry import query
 from .trace_queries import NUMBERS, TRACE_SQL, trace
@@ -43,6 +43,17 @@ def stream_log_lines(spark, sf_dir):
     return spark.read.parquet(out).select("line")
 
 
+@query("s02_follow_lines", f"WITH {LINES_SQL} SELECT line FROM lines")
+def follow_log_lines(spark, sf_dir):
+    lines = raw_lines(spark, sf_dir).select(F.col("line").alias("value"), "event_id")
+    path, (out, state) = new_path(spark, "s02"), streams.folders(spark)
+    # two runs of one query, with more lines between them
+    for part in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 == 1):
+        lines.where(part).select("value").write.mode("append").text(path)
+        streams.run_available(follow.follow_lines(spark, path, range_bytes=1 << 20), streams.batch_sink(out), state)
+    return spark.read.parquet(out).select("line")
+
+
 @query("s03_read_cdm_events", f"""WITH {TRACE_SQL} SELECT 'a' || sk AS "actorID", 'o' || pk AS "objectID", 'EVENT_' || action AS action, CAST(seq AS VARCHAR) AS "timestampNanos", coalesce(exec, '') AS exec, path, 'u7' AS userid FROM tr WHERE pk % 9 <> 0""")
 def read_cdm_events(spark, sf_dir):
     s = lambda c: F.col(c).cast("string")

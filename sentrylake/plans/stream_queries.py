@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import new_path
 from ..operators import triage
 from ..sources import standins
 from ..sources.standins import SEC_SQL
-from ..streaming import streams
+from ..streaming import follow, streams
 from .detection_queries import _RULE_SQL
 from .graph_queries import NODES_SQL
 from .registry import query
@@ -39,6 +40,15 @@ def stream_detections(spark, sf_dir):
     return found.select("event_id", F.col("rule_count").cast("long").alias("rule_count"))
 
 
+@query("x01_stream_parse_detect", f"WITH {_RULE_SQL} SELECT len(hits) AS rule_count, count(*) AS events FROM hit WHERE len(hits) > 0 GROUP BY 1")
+def stream_parse_detect(spark, sf_dir):
+    fields = ("ts", "event_type", "host", "user", "process", "pid", "parent_pid", "dst_port", "bytes_sent", "dst_ip", "file_path", "command_line", "action", "message", "status", "protocol")
+    path = new_path(spark, "x01")
+    standins.security_events(spark, sf_dir).select(F.to_json(F.struct(*fields)).alias("value")).write.text(path)
+    found = _run(spark, streams.stream_detections(streams.parsed_events(follow.follow_lines(spark, path))))
+    return found.groupBy(F.col("rule_count").cast("long").alias("rule_count")).agg(F.count("*").alias("events"))
+
+
 @query("x02_stream_statistical")
 def stream_statistical(spark, sf_dir):
     # a session of its own, so that the caller's settings stay

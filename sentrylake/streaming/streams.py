@@ -12,8 +12,10 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.checkpoints import new_path
+from ..functions.parsing import normalize_events, parse_lines
 from ..functions.predicates import run_hunts
 from ..operators import graph, rules
 
@@ -32,6 +34,11 @@ def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 1) -> Da
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder).withColumnRenamed("value", "line")
 
 
+def run_every(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, interval: str, mode: str = "append") -> StreamingQuery:
+    """A query that goes on, with a micro-batch each ``interval`` (``10 seconds``); what came meanwhile is one batch."""
+    return stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Process what is there in micro-batches and stop."""
     q = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -47,6 +54,11 @@ def batch_sink(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def parsed_events(lines: DataFrame, year: int | None = None) -> DataFrame:
+    """The normalised events of a stream of lines of any format; lines that fail to parse go."""
+    return normalize_events(parse_lines(lines, year=year).select("event.*"))
+
+
 def stream_detections(events: DataFrame) -> DataFrame:
     """Rule detections, stateless."""
     return rules.rule_detections(events)
