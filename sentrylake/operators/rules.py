@@ -66,6 +66,7 @@ def combine_rule_hits(events: DataFrame, hits: Column) -> DataFrame:
 
     The score is the best hit's plus 0.05 for each further one, at most 1; the
     severity that of the best, the first in the catalogue among equals.
+    Columns of the events with the names of a detection's are replaced.
     """
 
     def better(best: Column, h: Column) -> Column:
@@ -77,9 +78,8 @@ def combine_rule_hits(events: DataFrame, hits: Column) -> DataFrame:
     score = F.least(F.lit(1.0), best["score"] + 0.05 * (F.size(h) - 1))
     reasons = F.transform(h, lambda x: F.concat_ws(": ", x["rule_id"], x["name"]))
     tags = F.array_sort(F.array_distinct(F.flatten(F.transform(h, lambda x: x["tags"]))))
-    return found.select(
-        "*", F.lit("rule").alias("detector"), score.alias("score"), best["severity"].alias("severity"), reasons.alias("reasons"), tags.alias("tags"), F.size(h).alias("rule_count")
-    ).drop("hits")
+    new = {"detector": F.lit("rule"), "score": score, "severity": best["severity"], "reasons": reasons, "tags": tags, "rule_count": F.size(h)}
+    return found.select(*(c for c in events.columns if c not in (*new, "hits")), *(c.alias(name) for name, c in new.items()))
 
 
 def rule_detections(events: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
