@@ -82,17 +82,30 @@ def format_iso(ts: Column) -> Column:
     return F.date_format(F.timestamp_micros(F.round(ts * 1e6).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
-def _json_field(doc: Column, names: tuple[str, ...]) -> Column:
-    """The first name of a parsed object that has a value which is neither object nor array."""
+#: Objects in which aliases with dots lie.
+_INNER = tuple(sorted({n.rpartition(".")[0] for names in ALIASES.values() for n in names if "." in n} | {"event"}))
+
+
+def _json_maps(doc: Column) -> Column:
+    """A parsed object as maps of its fields' texts: its own, and those of the objects in it that aliases name."""
+    of = lambda path: F.try_variant_get(doc, path, "map<string,string>")
+    return F.struct(of("$").alias("top"), *(of(f"$.{p}").alias(f"in_{i}") for i, p in enumerate(_INNER)))
+
+
+def _json_field(maps: Column, names: tuple[str, ...]) -> Column:
+    """The first name that has a value which is neither object nor array."""
     found = []
     for name in names:
-        paths = [f"$['{name}']"] + ([f"$.{name}"] if "." in name else [])
-        for p in paths:
-            v = F.try_variant_get(doc, p, "string")
-            found.append(F.when(~v.startswith("{") & ~v.startswith("["), v))
+        inner, _, last = name.rpartition(".")
+        places = [(maps["top"], name)] + ([(maps[f"in_{_INNER.index(inner)}"], last)] if inner else [])
+        found += [_once(F.try_element_at(m, F.lit(key)), _scalar) for m, key in places]
     return F.coalesce(*found)
 
 
+def _scalar(value: Column) -> Column:
+    return F.when(~F.substring(value, 1, 1).isin("{", "["), value)
+
+
 def classify(explicit: Column, hint: Column, f: dict[str, Column]) -> Column:
     """An explicit known type, else by hint or by the fields that are there."""
     has = lambda name: F.coalesce(f[name] != "", F.lit(False)) if name in f else F.lit(False)
@@ -118,16 +131,25 @@ def _event(**fields: Column) -> Column:
 
 
 def parse_json(line: Column, year: int | None = None) -> Column:
-    """An event struct from a JSON object; null if the line is none."""
+    """An event struct from a JSON object; null if the line is none.
+
+    The object is parsed once, its fields are looked up once; what follows uses their values.
+    """
 
     def of(doc: Column) -> Column:
-        f = {k: _json_field(doc, names) for k, names in ALIASES.items()}
-        hints = (_blank_to_null(F.try_variant_get(doc, p, "string")) for p in ("$.event.category", "$.category", "$.type"))
-        kind = classify(F.try_variant_get(doc, "$.event_type", "string"), F.coalesce(*hints), f)
-        return F.when(doc.isNotNull(), _event(**(f | {"timestamp": _once(f["timestamp"], lambda t: parse_timestamp(t, year)), "event_type": kind, "source": F.lit("json")})))
+        return F.when(doc.isNotNull(), _once(_json_maps(doc), fields))
+
+    def fields(maps: Column) -> Column:
+        top, event = maps["top"], maps[f"in_{_INNER.index('event')}"]
+        hints = (_blank_to_null(F.try_element_at(m, F.lit(key))) for m, key in ((event, "category"), (top, "category"), (top, "type")))
+        explicit = F.try_element_at(top, F.lit("event_type"))
+        return _once(F.struct(*(_json_field(maps, names).alias(k) for k, names in ALIASES.items()), explicit.alias("explicit"), F.coalesce(*hints).alias("hint")), found)
+
+    def found(x: Column) -> Column:
+        f = {k: x[k] for k in ALIASES}
+        return _event(**(f | {"timestamp": parse_timestamp(f["timestamp"], year), "event_type": classify(x["explicit"], x["hint"], f), "source": F.lit("json")}))
 
-    # parsed once: a lambda's variable is evaluated once for each line
-    return F.transform(F.array(F.when(line.rlike(r"^\s*\{"), F.try_parse_json(line))), of)[0]
+    return _once(F.when(line.rlike(r"^\s*\{"), F.try_parse_json(line)), of)
 
 
 def parse_syslog(line: Column, year: int | None = None) -> Column:
