@@ -67,9 +67,10 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def hop_distance(edges: DataFrame, seeds: DataFrame, cutoff: int, directed: bool = False) -> DataFrame:
     """(node, hops) of every node within ``cutoff`` hops of a seed (column node), the least number.
 
-    Only the newest layer is joined, and each layer is checkpointed.
+    Only the newest layer is joined, and each layer is checkpointed; so are the
+    edges, which are made once for all hops.
     """
-    adjacent = (edges.select(F.col("src").alias("u"), F.col("dst").alias("v")) if directed else both_ways(edges)).where("u <> v").distinct()
+    adjacent = checkpointed((edges.select(F.col("src").alias("u"), F.col("dst").alias("v")) if directed else both_ways(edges)).where("u <> v").distinct())
     seen = layer = checkpointed(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     for k in range(1, cutoff + 1):
         reached = layer.join(adjacent, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
@@ -82,12 +83,14 @@ def hop_distance(edges: DataFrame, seeds: DataFrame, cutoff: int, directed: bool
 
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """The edges both of whose ends lie within ``depth`` hops of a seed."""
+    edges = checkpointed(edges)
     near = hop_distance(edges, seeds, depth).select("node")
     return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi").select(edges.columns)
 
 
 def n_hop_edges(edges: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
     """Directed edges that leave a node at most n hops from a seed, so n + 1 layers of edges."""
+    edges = checkpointed(edges)
     near = hop_distance(edges, seeds, n, directed=True).select(F.col("node").alias("src"))
     return edges.join(near, "src", "left_semi").select(edges.columns)
 
@@ -168,20 +171,73 @@ def suspicious_paths(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_d
     return out
 
 
-def correlate(touched: DataFrame, window: float = 300.0) -> DataFrame:
-    """(event_id, group_id): detections that share nodes within the window form groups.
+#: Neighbours of a node in one part of the join that spreads labels.
+HUB_PART = 10_000
 
-    touched: (event_id, ts, node) of detections.  On each node the detections
-    are linked one to the next where they lie within the window: that
-    joins the same ones as linking all pairs would, with a row for each.  A
-    group is a component of those links, named by its least event.
+
+def _vertex(hop: int, slice_: str = "slice", node: str = "node") -> Column:
+    return F.concat_ws(":", F.lit(hop), F.col(slice_).cast("string"), F.col(node))
+
+
+def _spread(layer: DataFrame, adjacent: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(node, slice, first, last, origin): a layer's rows at the neighbours of their nodes.  A hub's neighbours are dealt to parts, each of which gets its rows."""
+    parts = F.coalesce("parts", F.lit(1))
+    ends = adjacent.join(hubs, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), parts).cast("int").alias("part"))
+    sent = layer.withColumnRenamed("node", "u").join(hubs, "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return sent.join(ends, ["u", "part"]).select(F.col("v").alias("node"), "slice", "first", "last", F.col("u").alias("origin"))
+
+
+def correlate(touched: DataFrame, window: float = 300.0, edges: DataFrame | None = None, radius: int = 0) -> DataFrame:
+    """(event_id, group_id): detections near each other in the graph and in time form groups, named by their least event.
+
+    touched: (event_id, ts, node) of detections; edges: (src, dst), for a
+    radius above 0.  Two detections belong together if they lie within
+    ``window`` seconds and a node of one within ``radius`` hops of a node of the
+    other.  Rows without a time or a node are left out.
+
+    No pairs are made.  Time is cut into slices of a window, and what touches a
+    node within a slice is one cell, as it belongs together anyway.  Cells spread
+    their label over radius // 2 hops: what meets at a node is at most a radius
+    apart.  Labels at one node, and for an odd radius at both ends of an edge,
+    are linked in one slice, and from one slice to the next if the last time in
+    it and the first in the next are a window apart at most.  Groups are the
+    components of these links.  So a node that everything touches costs a row
+    for each slice, and its slices and neighbours go to many tasks.
     """
-    rows = touched.select("event_id", "ts", "node").distinct()
-    order = Window.partitionBy("node").orderBy("ts", "event_id")
-    near = rows.withColumn("before", F.lag("event_id").over(order)).withColumn("gap", F.col("ts") - F.lag("ts").over(order)).where(F.col("gap") <= window)
-    links = near.select(F.col("before").alias("src"), F.col("event_id").alias("dst"))
-    alone = rows.select(F.col("event_id").alias("src"), F.col("event_id").alias("dst")).distinct()
-    return connected_components(links.unionByName(alone)).select(F.col("node").alias("event_id"), F.col("component").alias("group_id"))
+    if radius and edges is None:
+        raise ValueError("a radius needs edges")
+    rows = touched.where("ts is not null and node is not null").select("event_id", "ts", "node", F.floor(F.col("ts") / window).cast("long").alias("slice"))
+    rows = checkpointed(rows)
+    layer = checkpointed(rows.groupBy("node", "slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last")))
+    loops = layer.select(_vertex(0).alias("src"), _vertex(0).alias("dst"))
+    # the nodes of one event belong together
+    of_event = rows.select("event_id", _vertex(0).alias("v")).distinct()
+    at = of_event.groupBy("event_id").agg(F.min("v").alias("home"))
+    links = [loops, of_event.join(at, "event_id").where("v <> home").select(F.col("v").alias("src"), F.col("home").alias("dst"))]
+    if radius:
+        adjacent = checkpointed(both_ways(edges).where("u <> v and u is not null and v is not null").distinct())
+        hubs = checkpointed(adjacent.groupBy("u").agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts")).where("parts > 1"))
+    for hop in range(1, radius // 2 + 1):
+        reached = checkpointed(_spread(layer, adjacent, hubs).unionByName(layer.withColumn("origin", F.col("node"))))
+        links.append(reached.select(_vertex(hop - 1, node="origin").alias("src"), _vertex(hop).alias("dst")))
+        layer = checkpointed(reached.groupBy("node", "slice").agg(F.min("first").alias("first"), F.max("last").alias("last")))
+    hop = radius // 2
+    beside = [layer.withColumn("origin", F.col("node"))]
+    if radius % 2:
+        beside.append(_spread(layer, adjacent, hubs))
+    for near in beside:
+        for later in (0, 1):
+            # a cell and what is beside it, in its slice or the next one
+            other = near.select("origin", F.col("node").alias("at"), (F.col("slice") + later).alias("when"), F.col("slice").alias("before"), F.col("last").alias("until"))
+            both = layer.join(other, (F.col("node") == F.col("at")) & (F.col("slice") == F.col("when")))
+            if later:
+                both = both.where(F.col("first") - F.col("until") <= window)
+            links.append(both.select(_vertex(hop).alias("src"), _vertex(hop, "before", "origin").alias("dst")).where("src <> dst"))
+    together = links[0]
+    for more in links[1:]:
+        together = together.unionByName(more)
+    found = at.join(connected_components(together), F.col("home") == F.col("node")).select("event_id", "component")
+    return found.join(found.groupBy("component").agg(F.min("event_id").alias("group_id")), "component").select("event_id", "group_id")
 
 
 def rescale_edge_weights(edges: DataFrame, seeds: DataFrame, hops: int = 2, flag_at: float = 0.2) -> DataFrame:
@@ -194,6 +250,7 @@ def rescale_edge_weights(edges: DataFrame, seeds: DataFrame, hops: int = 2, flag
 
 def relaxed_confusion(predicted: DataFrame, truth: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """Counts of node sets; a false positive near a truth is forgiven, a miss near a hit counts as found."""
+    edges = checkpointed(edges.select("src", "dst").distinct())
     p, t = predicted.select("node").distinct(), truth.select("node").distinct()
     hits = p.join(t, "node", "left_semi")
     near_truth, near_hit = hop_distance(edges, t, hops).select("node"), hop_distance(edges, hits, hops).select("node")

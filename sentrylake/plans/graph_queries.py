@@ -138,11 +138,32 @@ def suspicious_paths(spark, sf_dir):
     return found.select(F.array_join("path", " > ").alias("path"), F.round("score", 9).alias("score"))
 
 
-@query("g14_correlate")
+#: Components by the least label, spread along links until no label changes.
+_GROUPS_SQL = """hop AS (SELECT event_id AS a, lag(event_id) OVER w AS b, ts - lag(ts) OVER w AS gap FROM (SELECT DISTINCT event_id, ts, node FROM near) WINDOW w AS (PARTITION BY node ORDER BY ts, event_id)),
+    link AS (SELECT a, b FROM hop WHERE gap <= {window} UNION SELECT b, a FROM hop WHERE gap <= {window}),
+    label(event_id, group_id) USING KEY (event_id) AS (SELECT DISTINCT event_id, event_id FROM near UNION
+      SELECT link.a, min(l.group_id) FROM label l JOIN link ON link.b = l.event_id JOIN recurring.label old ON old.event_id = link.a WHERE l.group_id < old.group_id GROUP BY link.a)"""
+
+
+def hot_touched(spark, sf_dir, at):
+    hot = detections(spark, sf_dir).where(F.col("score") >= at).select("event_id")
+    return graph.touched_nodes(security_events(spark, sf_dir)).join(hot, "event_id", "left_semi")
+
+
+@query(
+    "g14_correlate",
+    f"""WITH RECURSIVE {NODES_SQL}, near AS (SELECT event_id, ts, node FROM touched JOIN sec USING (event_id, ts) WHERE value / 120 >= 0.75 AND node IS NOT NULL AND node NOT LIKE 'file:%'), {_GROUPS_SQL.format(window=1800)}
+    SELECT event_id, group_id FROM label""",
+)
 def correlate(spark, sf_dir):
-    hot = detections(spark, sf_dir).where("score >= 0.75").select("event_id")
-    touched = graph.touched_nodes(security_events(spark, sf_dir)).join(hot, "event_id", "left_semi").where("node not like 'file:%'")
-    return graph.correlate(touched, 1800.0)
+    return graph.correlate(hot_touched(spark, sf_dir, 0.75).where("node not like 'file:%'"), 1800.0)
+
+
+@query("g14_correlate_radius")
+def correlate_radius(spark, sf_dir):
+    touched = hot_touched(spark, sf_dir, 0.5).where("node like 'process:%'")
+    edges = graph.graph_edges(security_events(spark, sf_dir)).where("type = 'spawned'")
+    return graph.correlate(touched, 900.0, edges, 2)
 
 
 @query(
