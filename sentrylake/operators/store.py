@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.folds import ordered_fold
+from ..functions.sessions import sessionize
 from ..functions.severity import SEVERITIES, at_least
 
 
@@ -135,35 +136,54 @@ def detection_uid() -> Column:
     return F.concat_ws(":", F.col("event_id").cast("string"), "detector")
 
 
+#: Seconds for which an admitted alert counts.
+MINUTE = 60.0
+
+
+def admissions(per_minute: int) -> Callable[[float], bool]:
+    """A function of times in order: whether each is admitted.  It keeps the last admitted times only, at most ``per_minute`` of them."""
+    admitted: deque[float] = deque()
+
+    def admit(t: float) -> bool:
+        while admitted and admitted[0] < t - MINUTE:
+            admitted.popleft()
+        if len(admitted) >= per_minute:
+            return False
+        admitted.append(t)
+        return True
+
+    return admit
+
+
 def rate_limited(alerts: DataFrame, per_minute: int, key: str, min_severity: str = "low") -> DataFrame:
-    """Alerts at or above the floor, and whether each is admitted.
+    """(key, event_id, admitted, dropped): alerts at or above the floor, whether each is admitted, and how many its key has lost since its last silence.
 
     An alert is admitted if fewer than ``per_minute`` of its key were
-    admitted in the 60 seconds before.  What is admitted depends on what was
-    before, so a key's alerts are folded in order, in one pass that keeps the last
-    admitted times only, at most ``per_minute`` of them.  Where a key is
-    silent for over 60 seconds nothing is remembered.
+    admitted in the 60 seconds before, both ends included.  What is admitted
+    depends on what was before, but not beyond a silence of over 60 seconds:
+    a key's alerts are cut there (in slices of time, so a hot key takes many
+    tasks) and each run between two silences is folded in order, in one pass.
     """
     kept = alerts.where(at_least(F.col("severity"), min_severity)).select(F.col(key).alias("key"), "ts", "event_id")
+    runs = sessionize(kept, ["key"], MINUTE, ["ts", "event_id"], "run")
 
     def fold():
-        admitted: deque[float] = deque()
+        admit, lost = admissions(per_minute), 0
 
         def step(rows: pd.DataFrame) -> pd.DataFrame:
-            out = []
+            nonlocal lost
+            taken, dropped = [], []
             for t in rows["ts"].tolist():
-                while admitted and admitted[0] <= t - 60:
-                    admitted.popleft()
-                out.append(len(admitted) < per_minute)
-                if out[-1]:
-                    admitted.append(t)
-            return pd.DataFrame({"key": rows["key"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "admitted": out})
+                taken.append(admit(t))
+                lost += not taken[-1]
+                dropped.append(lost)
+            return pd.DataFrame({"key": rows["key"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "admitted": taken, "dropped": dropped})
 
         return step
 
     kinds = {f.name: f.dataType.simpleString() for f in kept.schema}
-    folded = ordered_fold(kept, ["key"], ["ts", "event_id"], f"key {kinds['key']}, event_id {kinds['event_id']}, admitted boolean", fold)
-    return folded.select(F.col("key").alias(key), "event_id", "admitted")
+    folded = ordered_fold(runs, ["key", "run"], ["ts", "event_id"], f"key {kinds['key']}, event_id {kinds['event_id']}, admitted boolean, dropped long", fold)
+    return folded.select(F.col("key").alias(key), "event_id", "admitted", "dropped")
 
 
 def incident_history(snapshots: DataFrame, incident_id: str) -> DataFrame:

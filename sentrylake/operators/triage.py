@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.folds import ordered_fold
+from ..functions.sessions import sessionize
 from ..functions.severity import SEVERITIES, severity_from_score, severity_of_rank, severity_rank
 
 #: The fields that tell alerts of a type apart, in order.
@@ -53,15 +54,13 @@ def alert_title() -> Column:
 DEDUP_WINDOW, MAX_IDS, MAX_REASONS = 3600.0, 50, 8
 
 
-def triage_sessions(detections: DataFrame, window: float = DEDUP_WINDOW) -> DataFrame:
+def triage_sessions(detections: DataFrame, window: float = DEDUP_WINDOW, slice_seconds: float | None = None) -> DataFrame:
     """Detections with their session: one of a fingerprint goes on while gaps are at most the window.
 
-    Needs fingerprint, ts, event_id; repeated event ids of a fingerprint count once.
+    Needs fingerprint, ts, event_id; repeated event ids of a fingerprint count
+    once.  A hot fingerprint's detections are counted in slices of time, in many tasks.
     """
-    once = detections.dropDuplicates(["fingerprint", "event_id"])
-    order = Window.partitionBy("fingerprint").orderBy("ts", "event_id")
-    new = F.coalesce((F.col("ts") - F.lag("ts").over(order) > window).cast("int"), F.lit(1))
-    return once.withColumn("session", F.sum(new).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return sessionize(detections.dropDuplicates(["fingerprint", "event_id"]), ["fingerprint"], window, ["ts", "event_id"], slice_seconds=slice_seconds)
 
 
 def absorb_alerts(sessions: DataFrame) -> DataFrame:

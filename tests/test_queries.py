@@ -53,7 +53,8 @@ def test_rate_limit_against_a_loop(spark):
     df = spark.createDataFrame([(i, float(t), "k", "high") for i, t in enumerate(times)], "event_id long, ts double, k string, severity string")
     admitted, want = [], []
     for i, t in enumerate(times):
-        ok = sum(t - 60 < a for a in admitted) < 3
+        # the window has both its ends
+        ok = sum(t - 60 <= a for a in admitted) < 3
         admitted += [t] if ok else []
         want.append((i, ok))
     assert sorted((r["event_id"], r["admitted"]) for r in store.rate_limited(df, 3, "k").collect()) == want
