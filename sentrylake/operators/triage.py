@@ -129,25 +129,71 @@ def escalations(sessions: DataFrame, at: str = "P2") -> DataFrame:
     return rows.withColumn("is_new", before.isNull()).withColumn("escalated", (F.col("priority") <= at) & before.isNotNull() & (before > at))
 
 
+#: Fields of an alert that suppression rules may name.
+RULE_FIELDS = ("detector", "event_type", "host", "user", "process", "severity")
+#: Marks a pattern that is matched as a whole, where a prefix has its length.
+_WHOLE = -1
+
+
+def _pattern_keys(rules: DataFrame) -> DataFrame:
+    """``rules`` with (size, stem): of a prefix its length and itself, of a whole pattern the mark and itself."""
+    is_prefix = F.col("pattern").endswith("*")
+    stem = F.when(is_prefix, F.expr("left(pattern, char_length(pattern) - 1)")).otherwise(F.col("pattern"))
+    return rules.withColumn("stem", stem).withColumn("size", F.when(is_prefix, F.char_length(stem)).otherwise(_WHOLE))
+
+
+def _value_keys(values: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``values`` (field, value, ...) once for the whole value and once for each prefix of a length that occurs in the rules of its field."""
+    sized = values.join(F.broadcast(lengths), "field")
+    sizes = F.filter("sizes", lambda n: (n == _WHOLE) | (n <= F.char_length("value")))
+    exploded = sized.withColumn("size", F.explode(sizes)).drop("sizes")
+    return exploded.withColumn("stem", F.when(F.col("size") == _WHOLE, F.col("value")).otherwise(F.substring(F.col("value"), F.lit(1), F.col("size"))))
+
+
+def _newest_of_equals(anchors: DataFrame) -> DataFrame:
+    """Of rules with one pattern only, those that a newer one with the same pattern and severity does not outlive."""
+    newer = Window.partitionBy("field", "size", "stem", "max_severity", "need").orderBy(F.desc("created_at"), F.desc("rule_id")).rowsBetween(Window.unboundedPreceding, -1)
+    until = F.coalesce("expires_at", F.lit(float("inf")))
+    return anchors.withColumn("_outlived", F.max(until).over(newer)).where((F.col("need") > 1) | F.col("_outlived").isNull() | (until > F.col("_outlived"))).drop("_outlived")
+
+
 def apply_suppressions(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """Alerts with the rule that suppresses them, the newest of those that match, or null.
 
     rules: (rule_id, field, pattern, max_severity, created_at, expires_at,
     enabled), one row for each field of a rule; all fields of a rule must match.
     A pattern matches exactly, or by prefix if it ends with ``*``; a rule without
-    fields matches nothing.  Rules are configuration: a table above Spark's
-    broadcast threshold is joined by shuffle on the field instead.
+    fields matches nothing.
+
+    Patterns are an index: a value is looked up as a whole and by its prefixes
+    of the lengths that occur, all of them equi joins.  A rule is looked up by
+    the one of its fields that fewest alerts match, and its other fields are
+    compared for what that finds; so neither alerts nor rules meet in pairs.
     """
-    live = rules.where("enabled and field is not null")
-    size = live.groupBy("rule_id").agg(F.count("*").alias("need"))
-    named = ("detector", "event_type", "host", "user", "process", "severity")
-    values = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in named)))
-    fields = alerts.select("event_id", "ts", "severity", values.alias("f")).select("event_id", "ts", "severity", "f.*")
-    prefix = F.col("pattern").endswith("*") & F.col("value").startswith(F.expr("left(pattern, char_length(pattern) - 1)"))
-    in_time = (F.col("expires_at").isNull() | (F.col("ts") < F.col("expires_at"))) & (F.col("max_severity").isNull() | (severity_rank(F.col("severity")) <= severity_rank(F.col("max_severity"))))
-    met = fields.join(live, "field").where(((F.col("value") == F.col("pattern")) | prefix) & in_time)
-    full = met.groupBy("event_id", "rule_id").agg(F.countDistinct("field").alias("met"), F.max("created_at").alias("created_at")).join(size, "rule_id").where("met = need")
-    best = full.groupBy("event_id").agg(F.max(F.struct("created_at", "rule_id"))["rule_id"].alias("suppressed_by"))
+    live = _pattern_keys(rules.where("enabled and field is not null and pattern is not null"))
+    # at most a row for each field, with the lengths of its patterns
+    lengths = live.groupBy("field").agg(F.collect_set("size").alias("sizes"))
+    values = F.explode(F.array(*(F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in RULE_FIELDS)))
+    counts = alerts.select(values.alias("f")).select("f.*").where("value is not null").groupBy("field", "value").agg(F.count("*").alias("n"))
+    hits = _value_keys(counts, lengths).groupBy("field", "size", "stem").agg(F.sum("n").alias("n"))
+    found = live.join(hits, ["field", "size", "stem"], "left")
+    fields = F.collect_list(F.struct("n", "field", "size", "stem"))
+    rule = found.groupBy("rule_id").agg(fields.alias("fields"), F.max("created_at").alias("created_at"), F.min("expires_at").alias("expires_at"), F.min("max_severity").alias("max_severity"))
+    # a rule one of whose fields no alert matches goes
+    rule = rule.where(F.forall("fields", lambda f: f["n"].isNotNull())).withColumn("need", F.size("fields")).withColumn("a", F.array_min("fields"))
+    anchors = _newest_of_equals(rule.select("rule_id", "created_at", "expires_at", "max_severity", "need", "fields", "a.field", "a.size", "a.stem"))
+    own = F.struct(*(F.col(n).cast("string").alias(n) for n in RULE_FIELDS)).alias("own")
+    keys = _value_keys(alerts.select("event_id", "ts", "severity", own, values.alias("f")).select("event_id", "ts", "severity", "own", "f.*").where("value is not null"), lengths)
+    near = keys.join(anchors.withColumnRenamed("max_severity", "_ceiling"), ["field", "size", "stem"])
+
+    def holds(f: Column) -> Column:
+        value = F.lit(None).cast("string")
+        for n in RULE_FIELDS:
+            value = F.when(f["field"] == n, F.col("own")[n]).otherwise(value)
+        return F.coalesce(F.when(f["size"] == _WHOLE, value == f["stem"]).otherwise(value.startswith(f["stem"])), F.lit(False))
+
+    in_time = (F.col("expires_at").isNull() | (F.col("ts") < F.col("expires_at"))) & (F.col("_ceiling").isNull() | (severity_rank(F.col("severity")) <= severity_rank(F.col("_ceiling"))))
+    best = near.where(in_time & F.forall("fields", holds)).groupBy("event_id").agg(F.max(F.struct("created_at", "rule_id"))["rule_id"].alias("suppressed_by"))
     return alerts.join(best, "event_id", "left")
 
 
