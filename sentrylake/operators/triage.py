@@ -54,13 +54,15 @@ def alert_title() -> Column:
 DEDUP_WINDOW, MAX_IDS, MAX_REASONS = 3600.0, 50, 8
 
 
-def triage_sessions(detections: DataFrame, window: float = DEDUP_WINDOW, slice_seconds: float | None = None) -> DataFrame:
+def triage_sessions(detections: DataFrame, window: float = DEDUP_WINDOW, slice_seconds: float | None = None, suppressed: Column | None = None) -> DataFrame:
     """Detections with their session: one of a fingerprint goes on while gaps are at most the window.
 
     Needs fingerprint, ts, event_id; repeated event ids of a fingerprint count
-    once.  A hot fingerprint's detections are counted in slices of time, in many tasks.
+    once.  suppressed: whether a rule silences the detection; that closes its
+    alert, so what follows is a new one.  A hot fingerprint's detections are
+    counted in slices of time, in many tasks.
     """
-    return sessionize(detections.dropDuplicates(["fingerprint", "event_id"]), ["fingerprint"], window, ["ts", "event_id"], slice_seconds=slice_seconds)
+    return sessionize(detections.dropDuplicates(["fingerprint", "event_id"]), ["fingerprint"], window, ["ts", "event_id"], slice_seconds=slice_seconds, ends=suppressed)
 
 
 def absorb_alerts(sessions: DataFrame) -> DataFrame:
@@ -112,10 +114,12 @@ def priority_band(score: Column) -> Column:
     return out
 
 
-def escalations(sessions: DataFrame, at: str = "P2") -> DataFrame:
-    """sessions' detections with the running priority, whether the alert is new, and whether it just reached the level.
+def escalations(sessions: DataFrame, at: str = "P2", suppressed: Column | None = None) -> DataFrame:
+    """sessions' detections with the running priority, whether the alert is new, whether it just reached the level, and whether it is forwarded.
 
-    Distinct hosts so far are the running sum of first occurrences.
+    Forwarded is what is new or has just reached the level, unless it is
+    ``suppressed`` (as in ``triage_sessions``).  Distinct hosts so far are the
+    running sum of first occurrences.
     """
     key = ["fingerprint", "session"]
     first = (F.row_number().over(Window.partitionBy(*key, "host").orderBy("ts", "event_id")) == 1).cast("int")
@@ -126,7 +130,9 @@ def escalations(sessions: DataFrame, at: str = "P2") -> DataFrame:
     score = priority_score(peak, F.count("*").over(running), F.sum("_first").over(running), F.lit(False), F.max("score").over(running))
     rows = rows.withColumn("priority_score", score).withColumn("priority", priority_band(F.col("priority_score"))).drop("_first")
     before = F.lag("priority").over(order)
-    return rows.withColumn("is_new", before.isNull()).withColumn("escalated", (F.col("priority") <= at) & before.isNotNull() & (before > at))
+    silent = F.coalesce(suppressed, F.lit(False)) if suppressed is not None else F.lit(False)
+    rows = rows.withColumn("is_new", before.isNull()).withColumn("escalated", (F.col("priority") <= at) & before.isNotNull() & (before > at) & ~silent)
+    return rows.withColumn("forwarded", (F.col("is_new") | F.coalesce("escalated", F.lit(False))) & ~silent)
 
 
 #: Fields of an alert that suppression rules may name.

@@ -8,11 +8,11 @@ from ..functions.checkpoints import new_path
 from ..operators import triage
 from ..sources import standins
 from ..sources.standins import SEC_SQL
-from ..streaming import follow, streams
+from ..streaming import alerts, follow, streams
 from .detection_queries import _RULE_SQL
 from .graph_queries import NODES_SQL
 from .registry import query
-from .triage_queries import SESSION_SQL
+from .triage_queries import _FORWARDED_SQL, GAP, SESSION_SQL, suppression_rules
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -68,6 +68,33 @@ def stream_triage(spark, sf_dir):
     return spark.read.parquet(out).select("fingerprint", "count", ntz("first_seen"), ntz("last_seen"), "max_score")
 
 
+def _with_heartbeat(spark, rows, name):
+    """A stream of ``rows`` in four files, and of one row long after them, which lets the watermark pass them."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = rows.withColumn("event_time", F.to_timestamp("event_time"))
+    path = new_path(spark, name)
+    rows.repartition(4).write.parquet(path)
+    last = rows.agg(*((F.max(c) + F.expr("interval 90 days") if c == "event_time" else F.lit(None).cast(rows.schema[c].dataType) if c not in ("fingerprint", "detector", "severity", "score", "event_id") else F.max(c)).alias(c) for c in rows.columns))
+    last.withColumn("fingerprint", F.lit("heartbeat")).withColumn("detector", F.lit("heartbeat")).withColumn("event_id", F.lit(-1).cast("long")).select(*rows.columns).write.mode("append").parquet(path)
+    return own.readStream.schema(rows.schema).option("latestFirst", "false").parquet(path)
+
+
+@query("x03_stream_escalations", _FORWARDED_SQL.replace("SELECT event_id, CAST(session AS BIGINT) AS session, sup AS suppressed,", "SELECT event_id, min(ts) OVER (PARTITION BY fingerprint, session) AS session_start,"))
+def stream_escalations(spark, sf_dir):
+    marked = triage.apply_suppressions(standins.detections(spark, sf_dir), suppression_rules(spark, sf_dir))
+    rows = marked.withColumn("fingerprint", triage.alert_fingerprint()).withColumn("suppressed", F.col("suppressed_by").isNotNull())
+    found = _run(spark, alerts.stream_alerts(_with_heartbeat(spark, rows, "x03"), GAP, late="40 days"))
+    return found.where("event_id >= 0").select("event_id", "session_start", "forwarded")
+
+
+@query("w13_stream_rate_limit")
+def stream_rate_limit(spark, sf_dir):
+    rows = standins.detections(spark, sf_dir).where("severity <> 'low'").withColumn("fingerprint", F.lit("")).drop("tags")
+    found = _run(spark, alerts.stream_rate_limit(_with_heartbeat(spark, rows, "w13"), 2, "detector", "40 days"))
+    return found.where("event_id >= 0").groupBy("detector").agg(F.count_if("admitted").alias("admitted"), F.count_if(~F.col("admitted")).alias("dropped"))
+
+
 @query("x04_stream_append", f"WITH {SEC_SQL} SELECT event_id, host FROM sec")
 def stream_append(spark, sf_dir):
     events = standins.security_events(_Stream(spark), sf_dir).select("event_id", "host", F.to_timestamp("event_time").alias("event_time"))

@@ -138,6 +138,28 @@ def apply_suppressions(spark, sf_dir):
     return triage.apply_suppressions(detections(spark, sf_dir), suppression_rules(spark, sf_dir)).select("event_id", "suppressed_by")
 
 
+_FORWARDED_SQL = f"""WITH {DET_SQL}, rules AS {_RULES}, m AS (SELECT DISTINCT event_id FROM det JOIN rules ON enabled AND (expires_at IS NULL OR ts < expires_at)
+      AND (max_severity IS NULL OR severity IN ('low', 'medium')) AND (CASE WHEN field = 'host' THEN host ELSE process END = pattern OR (pattern LIKE '%*' AND field = 'process' AND starts_with(process, 'p')))),
+    fp AS (SELECT det.*, {_FP} AS fingerprint, m.event_id IS NOT NULL AS sup FROM det LEFT JOIN m USING (event_id)),
+    gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= {GAP} AND NOT lag(sup) OVER w THEN 0 ELSE 1 END AS is_new FROM fp WINDOW w AS (PARTITION BY fingerprint ORDER BY ts, event_id)),
+    ses AS (SELECT *, sum(is_new) OVER (PARTITION BY fingerprint ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM gaps),
+    f AS (SELECT *, row_number() OVER (PARTITION BY fingerprint, session, host ORDER BY ts, event_id) AS hn FROM ses),
+    r AS (SELECT *, ['low', 'medium', 'high', 'critical'][max(CASE severity WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 ELSE 4 END) OVER {_RUNNING}] AS peak, count(*) OVER {_RUNNING} AS n,
+      sum(CASE WHEN hn = 1 THEN 1 ELSE 0 END) OVER {_RUNNING} AS h, max(score) OVER {_RUNNING} AS top FROM f),
+    p AS (SELECT *, {_priority_sql('peak', 'n', 'h', '0', 'top')} AS s FROM r), b AS (SELECT *, {_BAND.format('s')} AS priority FROM p),
+    l AS (SELECT *, lag(priority) OVER (PARTITION BY fingerprint, session ORDER BY ts, event_id) AS was FROM b)
+    SELECT event_id, CAST(session AS BIGINT) AS session, sup AS suppressed, NOT sup AND (was IS NULL OR (priority <= 'P2' AND was > 'P2')) AS forwarded FROM l"""
+
+
+@query("w08_forwarded_alerts", _FORWARDED_SQL)
+def forwarded_alerts(spark, sf_dir):
+    det = detections(spark, sf_dir)
+    marked = triage.apply_suppressions(det, suppression_rules(spark, sf_dir)).withColumn("fingerprint", triage.alert_fingerprint())
+    suppressed = F.col("suppressed_by").isNotNull()
+    ses = triage.triage_sessions(marked, GAP, suppressed=suppressed)
+    return triage.escalations(ses, suppressed=suppressed).select("event_id", "session", suppressed.alias("suppressed"), "forwarded")
+
+
 @query(
     "a16_suppression_stats",
     f"WITH rules AS {_RULES} SELECT count(*) FILTER (enabled AND (expires_at IS NULL OR expires_at > 1706000000)) AS active, count(*) FILTER (enabled AND expires_at <= 1706000000) AS expired, count(*) FILTER (NOT enabled) AS disabled FROM rules",
