@@ -109,6 +109,17 @@ def stream_hunts(spark, sf_dir):
     return counts.groupBy("hunt_id").agg(F.sum("scanned").alias("scanned"), F.sum("matched").alias("matched"))
 
 
+def _graph_tables(spark, sf_dir, name):
+    root, (_, state) = new_path(spark, name), streams.folders(spark)
+    streams.run_available(standins.security_events(_Stream(spark), sf_dir), streams.graph_sink(spark, root), state)
+    return streams.graph_tables(spark, root)
+
+
 @query("x06_stream_graph", f"WITH {NODES_SQL} SELECT * FROM nodes")
 def stream_graph(spark, sf_dir):
-    return streams.merged_nodes(_run(spark, standins.security_events(_Stream(spark), sf_dir), streams.graph_sink))
+    return _graph_tables(spark, sf_dir, "x06")[0].read()
+
+
+@query("x06_stream_edges", f"WITH {NODES_SQL} SELECT * FROM edges")
+def stream_edges(spark, sf_dir):
+    return _graph_tables(spark, sf_dir, "x06")[1].read()

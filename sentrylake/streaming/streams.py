@@ -18,6 +18,7 @@ from ..functions.checkpoints import new_path
 from ..functions.parsing import normalize_events, parse_lines
 from ..functions.predicates import run_hunts
 from ..operators import graph, rules
+from .keyed import KeyedTable
 
 LATE = "1 hour"
 
@@ -81,14 +82,27 @@ def hunt_sink(folder: str, hunts: Mapping[str, Column | str]) -> Callable[[DataF
     return lambda batch, batch_id: write(run_hunts(batch, hunts), batch_id)
 
 
-def graph_sink(folder: str) -> Callable[[DataFrame, int], None]:
-    """A batch's nodes, already summed; ``merged_nodes`` adds them up."""
-    write = batch_sink(folder)
-    return lambda batch, batch_id: write(graph.graph_nodes(batch), batch_id)
+_SEEN = {"first_seen": "min", "last_seen": "max"}
+
+
+def graph_tables(spark: SparkSession, root: str) -> tuple[KeyedTable, KeyedTable]:
+    """The tables of nodes and of edges under ``root``, made if they are not there."""
+    nodes = KeyedTable(spark, f"{root}/nodes", ["node"], {"event_count": "sum", **_SEEN})
+    edges = KeyedTable(spark, f"{root}/edges", ["src", "dst", "type"], {"weight": "sum", **_SEEN})
+    nodes.create("node string, event_count long, first_seen double, last_seen double")
+    edges.create("src string, dst string, type string, weight long, first_seen double, last_seen double")
+    return nodes, edges
+
 
+def graph_sink(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
+    """Merges a batch's nodes and edges into their tables; a batch that runs again changes neither."""
+    nodes, edges = graph_tables(spark, root)
 
-def merged_nodes(parts: DataFrame) -> DataFrame:
-    return parts.groupBy("node").agg(F.sum("event_count").alias("event_count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        nodes.merge(graph.graph_nodes(batch), batch_id)
+        edges.merge(graph.graph_edges(batch), batch_id)
+
+    return write
 
 
 STREAM_STATE = "minute long, rate long, ports string, procs string, bytes long, seen int, stats string"
