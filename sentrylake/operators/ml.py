@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.checkpoints import checkpointed
+from .order_stats import percentiles, values_at_ranks
+
 #: The parts of a feature vector.
 CATEGORICAL = ("event_type", "host", "user", "process", "action", "status", "protocol")
 NUMERIC = ("pid", "parent_pid", "src_port", "dst_port", "bytes_sent", "bytes_recv")
@@ -148,6 +151,16 @@ def score_isolation_forest(rows: DataFrame, forest: DataFrame) -> DataFrame:
     return rows.mapInPandas(score, "event_id long, score double")
 
 
+def flag_anomalies(scores: DataFrame, contamination: float = 0.05) -> DataFrame:
+    """(event_id, score, threshold, anomaly): the rows that score at least as high as the row at 1 - contamination of all, in order."""
+    scores = checkpointed(scores)
+    n = scores.agg(F.count("*").alias("n"))
+    # the place as an integer part of rows, as the forest is fitted
+    rank = n.select(F.greatest(F.lit(0), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(1 - contamination)))).alias("rank"))
+    threshold = values_at_ranks(scores, [], "score", rank).select(F.col("value").alias("threshold"))
+    return scores.crossJoin(F.broadcast(threshold)).withColumn("anomaly", F.col("score") >= F.col("threshold"))
+
+
 def build_vocab(texts: DataFrame, n: int, text_col: str = "text") -> DataFrame:
     """(word, id, count): the n - 2 most frequent lower-cased words, ids from 2, ties to the lesser word."""
     words = texts.select(F.explode(F.array_remove(F.split(F.lower(F.col(text_col)), r"\s+"), "")).alias("word"))
@@ -227,7 +240,7 @@ def embed_documents(docs: DataFrame, vectors: DataFrame, size: int, id_col: str
 def reconstruction_error(rows: DataFrame, bottleneck: int = 2) -> DataFrame:
     """(event_id, error, score): squared error behind a linear bottleneck (principal components of scaled columns).
 
-    The score is 0 at the 95th percentile of the errors and 1 at the 99th.
+    The score is 0 at the 95th percentile of the errors and 1 at the 99th, both exact.
     """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -242,8 +255,9 @@ def reconstruction_error(rows: DataFrame, bottleneck: int = 2) -> DataFrame:
     back = F.transform(matrix, lambda row: F.aggregate(F.zip_with(row, F.col("c"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
     error = F.aggregate(F.zip_with("z", back, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) / F.size("z")
     errors = flat.select("event_id", error.alias("error"))
-    cuts = errors.agg(F.percentile_approx("error", [0.95, 0.99], 10_000).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
+    errors = checkpointed(errors)
+    cuts = percentiles(errors, [], "error", [0.95, 0.99])
+    low, high = F.col("p")[0], F.col("p")[1]
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("error") - low) / F.greatest(high - low, F.lit(1e-12))))
     return errors.join(F.broadcast(cuts)).select("event_id", "error", score.alias("score"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order_stats import percentiles
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -49,10 +51,14 @@ def auc_trapezoid(scores: DataFrame, steps: int = 50) -> DataFrame:
 
 
 def score_distribution(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean, population deviation and interpolated percentiles."""
-    return scores.groupBy(*by).agg(
-        F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), *(F.percentile("score", q / 100).alias(f"p{q}") for q in (50, 95, 99))
-    )
+    """Mean, population deviation and interpolated percentiles, exact whatever the number of different scores.  Scores of null groups are left out."""
+    known = scores
+    for c in by:
+        known = known.where(F.col(c).isNotNull())
+    moments = known.groupBy(*by).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    at = percentiles(known, list(by), "score", [0.5, 0.95, 0.99])
+    joined = moments.join(at, list(by), "left") if by else moments.crossJoin(F.broadcast(at))
+    return joined.select(*by, "mean", "std", *(F.get("p", F.lit(i)).alias(f"p{q}") for i, q in enumerate((50, 95, 99))))
 
 
 def _prefix_sums(df: DataFrame, value: Column, order: str, rows_per_part: int = 100_000) -> DataFrame:

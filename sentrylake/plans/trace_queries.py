@@ -242,6 +242,11 @@ def isolation_forest(spark, sf_dir):
     return ml.score_isolation_forest(rows, ml.fit_isolation_forest(rows, trees=32, sample=128))
 
 
+@query("m03_flag_anomalies")
+def flag_anomalies(spark, sf_dir):
+    return ml.flag_anomalies(isolation_forest(spark, sf_dir), 0.02)
+
+
 @query(
     "a40_build_vocab",
     """WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS word FROM conversations), c AS (SELECT word, count(*) AS count FROM w GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 498)
