@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, ml, representatives, traces
+from ..operators import attribution, influence, ml, representatives, traces
 from ..sources.standins import SEC_SQL, security_events, table
 from .registry import query
 
@@ -358,6 +358,13 @@ def leave_one_out(spark, sf_dir):
     return attribution.leave_one_out_scores(*_attributed(spark, sf_dir))
 
 
+@query("m11_influence_scores")
+def influence_scores(spark, sf_dir):
+    train, test = _attributed(spark, sf_dir)
+    scaled = lambda df: df.withColumn("x", F.transform("x", lambda v: v / 50))
+    return influence.influence_scores(scaled(train), scaled(test))
+
+
 @query("m12_sharded_leave_one_out")
 def sharded_leave_one_out(spark, sf_dir):
     return attribution.sharded_leave_one_out(*_attributed(spark, sf_dir), shards=4)
