@@ -203,21 +203,36 @@ def average_parameters(parameters: DataFrame) -> DataFrame:
     return rows.groupBy("category", "name", "position").agg(F.avg("v").alias("value"))
 
 
+def _mean_vectors(rows: DataFrame, key: str, x: Column, name: str) -> DataFrame:
+    """(key, name): the mean of arrays by key, as whole vectors that are summed in each task first."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    means = rows.select(key, array_to_vector(x).alias("v")).groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m"))
+    return means.select(key, vector_to_array("m").alias(name))
+
+
 def neighbor_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, x, mean): a node's vector and the mean of its neighbours', zeros without any; one row an element until the end."""
-    elements = nodes.select("node", F.posexplode("x").alias("i", "v"))
+    """(node, x, mean): a node's vector and the mean of its neighbours', zeros without any; an edge moves one vector."""
     ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    means = ends.join(elements, F.col("b") == F.col("node")).groupBy("a", "i").agg(F.avg("v").alias("m"))
-    mean = means.groupBy(F.col("a").alias("node")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("mean"))
+    mean = _mean_vectors(ends.join(nodes.select(F.col("node").alias("b"), "x"), "b"), "a", F.col("x"), "mean").withColumnRenamed("a", "node")
     return nodes.join(mean, "node", "left").withColumn("mean", F.coalesce("mean", F.transform("x", lambda v: F.lit(0.0))))
 
 
-def fit_token_embeddings(docs: DataFrame, tokens_col: str = "tokens", size: int = 30, window: int = 5, min_count: int = 1, seed: int = 42) -> DataFrame:
-    """(word, vector): word2vec by Spark ML over arrays of tokens."""
+def neighbor_features(nodes: DataFrame, edges: DataFrame, layers: int = 2) -> DataFrame:
+    """``nodes`` with x made longer by each layer: a node's vector and the mean of its neighbours', which after two layers tells of nodes two edges away."""
+    edges = checkpointed(edges.select("src", "dst"))
+    for _ in range(layers):
+        nodes = checkpointed(neighbor_means(nodes, edges).withColumn("x", F.concat("x", "mean")).drop("mean"))
+    return nodes
+
+
+def fit_token_embeddings(docs: DataFrame, tokens_col: str = "tokens", size: int = 30, window: int = 5, min_count: int = 1, seed: int = 42, partitions: int | None = None) -> DataFrame:
+    """(word, vector): word2vec by Spark ML over arrays of tokens, trained in ``partitions`` tasks (one for each 100,000 documents unless given)."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=1, seed=seed, inputCol=tokens_col, outputCol="_v").fit(docs)
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=1, seed=seed, numPartitions=partitions or max(1, docs.count() // 100_000), inputCol=tokens_col, outputCol="_v").fit(docs)
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
@@ -229,11 +244,14 @@ def embed_documents(docs: DataFrame, vectors: DataFrame, size: int, id_col: str
     """
     words = docs.select(id_col, F.posexplode(tokens_col).alias("p", "word")).join(vectors, "word")
     place = F.row_number().over(Window.partitionBy(id_col).orderBy("p")) - 1
-    i = F.col("i")
-    angle = F.col("place") * F.exp(-(i - i % 2) * F.lit(1.0) * F.log(F.lit(10000.0)) / size)
-    wave = F.when(i % 2 == 0, F.sin(angle)).otherwise(F.cos(angle)) if positional else F.lit(0.0)
-    parts = words.withColumn("place", place).select(id_col, "place", F.posexplode("vector").alias("i", "v"))
-    means = parts.groupBy(id_col, "i").agg(F.avg(F.col("v") + wave).alias("m")).groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda e: e["m"]).alias("x"))
+    placed = words.withColumn("place", place).select(id_col, "vector", "place")
+
+    def waved(v: Column, i: Column) -> Column:
+        angle = F.col("place") * F.exp(-(i - i % 2) * F.lit(1.0) * F.log(F.lit(10000.0)) / size)
+        return v + F.when(i % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))
+
+    vector = F.transform("vector", waved) if positional else F.col("vector")
+    means = _mean_vectors(placed, id_col, vector, "x")
     return docs.select(id_col).join(means, id_col, "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), size)))
 
 

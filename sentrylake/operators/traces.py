@@ -146,6 +146,34 @@ def node_documents(events: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(F.flatten(F.transform(ordered, lambda x: x["t"])).alias("tokens"), F.max_by("name", F.struct("seq", "name")).alias("name"))
 
 
+def dense_index(keys: DataFrame, col: str) -> DataFrame:
+    """(col, index): the different values of a column numbered from 0 in their order, without gaps; null has no number.
+
+    Values are dealt to tasks by ranges and numbered there, behind the counts of the tasks before.
+    """
+    dealt = checkpointed(keys.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(col)) - 1
+    # a row for each task
+    return dealt.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select(col, (F.col("before") + place).alias("index"))
+
+
+def indexed_edges(events: DataFrame, src: str = "actorID", dst: str = "objectID") -> tuple[DataFrame, DataFrame]:
+    """(node, index) of both ends' nodes, and the different edges as (src, dst) of indices."""
+    ends = events.select(F.explode(F.array(src, dst)).alias("node"))
+    nodes = checkpointed(dense_index(ends, "node"))
+    edges = events.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct()
+    edges = edges.join(nodes.select(F.col("node").alias("a"), F.col("index").alias("src")), "a").join(nodes.select(F.col("node").alias("b"), F.col("index").alias("dst")), "b")
+    return nodes, edges.select("src", "dst")
+
+
+def class_labels(named: DataFrame, classes: list[str]) -> DataFrame:
+    """``named`` (node, name, ..) with label: the place of its name in ``classes``, or their number for any other."""
+    known = F.array_position(F.array(*map(F.lit, classes)), F.col("name"))
+    return named.withColumn("label", F.when(F.coalesce(known, F.lit(0)) > 0, known - 1).otherwise(len(classes)).cast("int"))
+
+
 def node_labels(events: DataFrame) -> DataFrame:
     """(node, name): the name that a node has in its last event; no documents are made."""
     ends = F.explode(F.array(F.struct(F.col("actorID").alias("node"), F.col("exec").alias("name")), F.struct(F.col("objectID").alias("node"), F.col("path").alias("name"))))

@@ -303,6 +303,29 @@ def neighbor_mean_features(spark, sf_dir):
     return out.select("node", F.round(F.get("mean", F.lit(0)), 6).alias("mean_a"), F.round(F.get("mean", F.lit(1)), 6).alias("mean_b"))
 
 
+@query("m07_neighbor_features", """WITH v AS (SELECT s_suppkey AS k, s_acctbal AS a FROM supplier), u AS (SELECT a.k AS x, b.k AS y FROM v a JOIN v b ON b.k = a.k + 10 UNION SELECT b.k, a.k FROM v a JOIN v b ON b.k = a.k + 10),
+    m AS (SELECT k, v.a, coalesce((SELECT avg(w.a) FROM u JOIN v w ON w.k = u.y WHERE u.x = v.k), 0) AS b FROM v)
+    SELECT k AS node, round(a, 6) AS x0, round(b, 6) AS x1, round(coalesce((SELECT avg(n.a) FROM u JOIN m n ON n.k = u.y WHERE u.x = m.k), 0), 6) AS x2, round(coalesce((SELECT avg(n.b) FROM u JOIN m n ON n.k = u.y WHERE u.x = m.k), 0), 6) AS x3 FROM m""")
+def neighbor_features(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    nodes = s.select(F.col("s_suppkey").alias("node"), F.array(F.col("s_acctbal").cast("double")).alias("x"))
+    edges = s.select(F.col("s_suppkey").alias("src"), (F.col("s_suppkey") + 10).alias("dst")).join(s.select(F.col("s_suppkey").alias("dst")), "dst", "left_semi")
+    return ml.neighbor_features(nodes, edges, 2).select("node", *(F.round(F.get("x", F.lit(i)), 6).alias(f"x{i}") for i in range(4)))
+
+
+@query("g17_indexed_edges", f"""WITH {TRACE_SQL}, n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT "actorID" AS node FROM tr UNION SELECT "objectID" FROM tr))
+    SELECT DISTINCT a.i AS src, b.i AS dst FROM tr JOIN n a ON a.node = "actorID" JOIN n b ON b.node = "objectID" """)
+def indexed_edges(spark, sf_dir):
+    return traces.indexed_edges(trace(spark, sf_dir))[1]
+
+
+@query("g17_class_labels", f"""WITH {TRACE_SQL}, e AS (SELECT seq, "actorID" AS node, exec AS name FROM tr UNION ALL SELECT seq, "objectID", path FROM tr), l AS (SELECT node, max_by(name, (seq, name)) FILTER (name IS NOT NULL) AS name, max(seq) AS s FROM e GROUP BY 1)
+    SELECT node, CASE name WHEN 'FRANCE' THEN 0 WHEN 'NATION_1' THEN 1 ELSE 2 END AS label FROM l WHERE node LIKE 's%'""")
+def class_labels(spark, sf_dir):
+    named = traces.node_labels(trace(spark, sf_dir)).where("node like 's%'")
+    return traces.class_labels(named, ["FRANCE", "NATION_1"]).select("node", "label")
+
+
 @query("m04_reconstruction_error")
 def reconstruction_error(spark, sf_dir):
     return ml.reconstruction_error(ml.dense_numeric(security_events(spark, sf_dir), NUMBERS))
