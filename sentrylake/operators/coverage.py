@@ -114,12 +114,23 @@ def coverage_grade(steps: DataFrame) -> DataFrame:
     return row.withColumn("grade", F.when(r >= 0.9, "A").when(r >= 0.75, "B").when(r >= 0.5, "C").when(r > 0, "D").otherwise("F"))
 
 
+#: Colours by number of rules, the last for that many and more.
+COVERAGE_COLORS = ("#f7f7f7", "#fdd49e", "#fdae6b", "#fd8d3c", "#e6550d", "#a63603")
+
+
 def navigator_layer(coverage: DataFrame) -> DataFrame:
-    """A technique's JSON entry: score 1 for each rule and a comment of at most 8 rule ids."""
-    entry = F.struct(F.col("technique_id").alias("techniqueID"), F.col("rule_count").alias("score"), F.array_join(F.slice("rule_ids", 1, 8), ", ").alias("comment"))
+    """A technique's JSON entry: score 1 for each rule, its colour, and a comment of at most 8 rule ids."""
+    colour = F.element_at(F.array(*map(F.lit, COVERAGE_COLORS)), F.least(F.col("rule_count"), F.lit(len(COVERAGE_COLORS) - 1)).cast("int") + 1)
+    entry = F.struct(F.col("technique_id").alias("techniqueID"), F.col("rule_count").alias("score"), colour.alias("color"), F.array_join(F.slice("rule_ids", 1, 8), ", ").alias("comment"))
     return coverage.where("known").select(F.to_json(entry).alias("entry"))
 
 
+def navigator_gradient(coverage: DataFrame) -> DataFrame:
+    """(colors, min_value, max_value) of a layer, whose greatest value is that of its techniques, 1 at least."""
+    top = F.greatest(F.lit(1), F.coalesce(F.max("rule_count"), F.lit(1)))
+    return coverage.where("known").agg(top.alias("max_value")).select(F.array_join(F.array(*map(F.lit, COVERAGE_COLORS)), ",").alias("colors"), F.lit(0).alias("min_value"), "max_value")
+
+
 def technique_search(techniques: DataFrame, text: str) -> DataFrame:
     """techniques whose id, name or description has the text, in any case."""
     found = F.lit(False)

@@ -124,13 +124,26 @@ CUSUM_AT, PSI_AT, KS_AT = 1.0, 0.25, 0.3
 WEIGHTS = (0.4, 0.35, 0.25)
 
 
+#: Severities of a drift by the composite that each ends below.
+DRIFT_SEVERITIES = ("none", "low", "medium", "high", "critical")
+DRIFT_BANDS = (0.1, 0.3, 0.5, 0.75)
+
+
+def drift_severity(composite: Column) -> Column:
+    out = F.lit(DRIFT_SEVERITIES[-1])
+    for name, end in reversed(tuple(zip(DRIFT_SEVERITIES, DRIFT_BANDS))):
+        out = F.when(composite < end, F.lit(name)).otherwise(out)
+    return F.when(composite.isNotNull(), out)
+
+
 def drift_report(reference: DataFrame, current: DataFrame, order: str = "seq") -> DataFrame:
-    """One row with the three measures, their composite, whether one is over its threshold, and both means."""
+    """One row with the three measures, their composite, its severity, whether one is over its threshold, and both means."""
     row = cusum(reference, current, order).join(psi(reference, current)).join(ks_statistic(reference, current))
     means = reference.agg(F.avg("score").alias("reference_mean"), F.count("*").alias("reference_size")).join(current.agg(F.avg("score").alias("current_mean"), F.count("*").alias("current_size")))
     parts = [w * F.least(F.lit(1.0), F.col(c) / at) for w, c, at in zip(WEIGHTS, ("cusum", "psi", "ks"), (CUSUM_AT, PSI_AT, KS_AT))]
     composite = parts[0] + parts[1] + parts[2]
-    return row.join(means).withColumn("composite", F.round(composite, 4)).withColumn("triggered", (F.col("cusum") > CUSUM_AT) | (F.col("psi") > PSI_AT) | (F.col("ks") > KS_AT))
+    row = row.join(means).withColumn("severity", drift_severity(composite)).withColumn("composite", F.round(composite, 4))
+    return row.withColumn("triggered", (F.col("cusum") > CUSUM_AT) | (F.col("psi") > PSI_AT) | (F.col("ks") > KS_AT))
 
 
 def set_metrics(predicted: DataFrame, truth: DataFrame, universe: DataFrame, key: str) -> DataFrame:

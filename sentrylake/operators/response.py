@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.severity import at_least
+from .quality import DRIFT_SEVERITIES
 
 
 def condition(field: Column, op: str, value: Any, is_array: bool = False) -> Column:
@@ -50,10 +51,11 @@ def incident_detections(incidents: DataFrame, detections: DataFrame) -> DataFram
     return ids.join(detections, "event_id")
 
 
-def retrain_decision(drift: DataFrame, elapsed: float, interval: float, floor: float = 0.5, min_samples: int = 100) -> DataFrame:
-    """Drift rows with a reason: scheduled if the interval is over, drift_detected if triggered, strong enough and of enough samples."""
+def retrain_decision(drift: DataFrame, elapsed: float, interval: float, min_severity: str = "medium", min_samples: int = 100) -> DataFrame:
+    """Drift rows with a reason: scheduled if the interval is over, drift_detected if triggered, severe enough and of enough samples."""
     due = F.lit(interval > 0 and elapsed >= interval)
-    drifted = F.col("triggered") & (F.col("composite") >= floor) & (F.col("current_size") >= min_samples)
+    severe = F.col("severity").isin(*DRIFT_SEVERITIES[DRIFT_SEVERITIES.index(min_severity) :])
+    drifted = F.col("triggered") & severe & (F.col("current_size") >= min_samples)
     return drift.withColumn("reason", F.when(due, "scheduled").when(drifted, "drift_detected").otherwise("none"))
 
 

@@ -146,6 +146,11 @@ def coverage_grade(spark, sf_dir):
     return coverage.coverage_grade(scenario(spark, sf_dir))
 
 
-@query("s27_navigator_layer", f"""WITH {COV_SQL} SELECT '{{"techniqueID":"' || technique_id || '","score":' || rule_count || ',"comment":"' || array_to_string(rule_ids[1:8], ', ') || '"}}' AS entry FROM cov WHERE known""")
+@query("s27_navigator_layer", f"""WITH {COV_SQL} SELECT '{{"techniqueID":"' || technique_id || '","score":' || rule_count || ',"color":"' || ['#f7f7f7', '#fdd49e', '#fdae6b', '#fd8d3c', '#e6550d', '#a63603'][1 + least(5, rule_count)] || '","comment":"' || array_to_string(rule_ids[1:8], ', ') || '"}}' AS entry FROM cov WHERE known""")
 def navigator_layer(spark, sf_dir):
     return coverage.navigator_layer(covered(spark, sf_dir))
+
+
+@query("s27_navigator_gradient", f"WITH {COV_SQL} SELECT '#f7f7f7,#fdd49e,#fdae6b,#fd8d3c,#e6550d,#a63603' AS colors, 0 AS min_value, greatest(1, coalesce(max(rule_count), 1)) AS max_value FROM cov WHERE known")
+def navigator_gradient(spark, sf_dir):
+    return coverage.navigator_gradient(covered(spark, sf_dir))

@@ -169,6 +169,8 @@ def ks_statistic(spark, sf_dir):
     "w17_drift_report",
     f"""WITH {SCORES_SQL}, {_CUSUM_SQL}, {_PSI_SQL}, {_KS_SQL}
     SELECT cusum, psi, ks, round(0.4 * least(1, cusum) + 0.35 * least(1, psi / 0.25) + 0.25 * least(1, ks / 0.3), 4) AS composite, cusum > 1 OR psi > 0.25 OR ks > 0.3 AS triggered,
+      CASE WHEN 0.4 * least(1, cusum) + 0.35 * least(1, psi / 0.25) + 0.25 * least(1, ks / 0.3) < 0.1 THEN 'none' WHEN 0.4 * least(1, cusum) + 0.35 * least(1, psi / 0.25) + 0.25 * least(1, ks / 0.3) < 0.3 THEN 'low'
+        WHEN 0.4 * least(1, cusum) + 0.35 * least(1, psi / 0.25) + 0.25 * least(1, ks / 0.3) < 0.5 THEN 'medium' WHEN 0.4 * least(1, cusum) + 0.35 * least(1, psi / 0.25) + 0.25 * least(1, ks / 0.3) < 0.75 THEN 'high' ELSE 'critical' END AS severity,
       (SELECT count(*) FROM scores WHERE version = 1) AS reference_size, (SELECT count(*) FROM scores WHERE version = 2) AS current_size FROM cu, ps, ks""",
 )
 def drift_report(spark, sf_dir):

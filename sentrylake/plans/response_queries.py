@@ -125,7 +125,7 @@ def registry_summary(spark, sf_dir):
     f"WITH d AS ({ORACLE_SQL['w17_drift_report']}) SELECT cusum, composite, CASE WHEN triggered AND composite >= 0.3 AND current_size >= 100 THEN 'drift_detected' ELSE 'none' END AS reason FROM d",
 )
 def retrain_decision(spark, sf_dir):
-    return response.retrain_decision(drift_report(spark, sf_dir), 10.0, 86400.0, 0.3).select("cusum", "composite", "reason")
+    return response.retrain_decision(drift_report(spark, sf_dir), 10.0, 86400.0, "medium").select("cusum", "composite", "reason")
 
 
 @query(
