@@ -107,6 +107,11 @@ def ego_graph(edges: DataFrame, target: DataFrame, radius: int = 2, skipped: tup
     return subgraph(plain, target, radius)
 
 
+def drop_self_loops(edges: DataFrame) -> DataFrame:
+    """Edges between two different nodes; one with a null end stays, as it is no loop."""
+    return edges.where(~F.coalesce(F.col("src") == F.col("dst"), F.lit(False)))
+
+
 def neighbors(edges: DataFrame, node: str, direction: str = "both") -> DataFrame:
     """(node, direction) next to one node."""
     out = edges.where(F.col("src") == node).select(F.col("dst").alias("node"), F.lit("out").alias("direction"))

@@ -314,12 +314,13 @@ def documents(spark, sf_dir):
     return loaded.select("id", F.explode("alerts").alias("a")).groupBy("id").agg(F.count("*").alias("n"), F.max("a.score").alias("worst"))
 
 
-@query("s30_embeddings", "SELECT count(*) AS rows FROM embeddings WHERE vec_id % 2 = 0")
+@query("s30_embeddings", "SELECT count(*) AS rows, any_value('log') AS kind, any_value('16') AS size FROM embeddings WHERE vec_id % 2 = 0")
 def embeddings(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     path = new_path(spark, "s30")
-    files.save_embeddings(rows.withColumn("kind", F.when(F.col(rows.columns[0]) % 2 == 0, "log").otherwise("alert")), path)
-    return files.load_embeddings(spark, path, "log").agg(F.count("*").alias("rows"))
+    files.save_embeddings(rows.withColumn("kind", F.when(F.col(rows.columns[0]) % 2 == 0, "log").otherwise("alert")), path, size=16)
+    known = files.embeddings_metadata(spark, path)
+    return files.load_embeddings(spark, path, "log").agg(F.count("*").alias("rows"), F.max("kind").alias("kind")).withColumn("size", F.lit(known["size"]))
 
 
 _PARSED = ("timestamp", "host", "user", "process", "pid", "dst_ip", "dst_port", "action", "message")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, sets
 from ..sources.standins import DET_SQL, SEC_SQL, detections, security_events
 from .registry import query
 
@@ -222,3 +222,33 @@ def relaxed_confusion(spark, sf_dir):
 @query("s26_export_graph", f"""WITH {NODES_SQL} SELECT '"' || src || '" -> "' || dst || '" [label="' || type || '"];' AS element FROM edges""")
 def export_graph(spark, sf_dir):
     return graph.export_dot(graph.graph_edges(security_events(spark, sf_dir)))
+
+
+_ACTORS = "a AS (SELECT l_suppkey % 50 AS x, l_partkey % 60 AS y, l_returnflag AS f FROM lineitem)"
+
+
+def actors(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return rows.select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 60).alias("dst"), F.col("l_returnflag").alias("flag"))
+
+
+@query("g19_drop_self_loops", f"WITH {_ACTORS} SELECT x AS src, y AS dst, count(*) AS weight FROM a WHERE x <> y GROUP BY ALL")
+def drop_self_loops(spark, sf_dir):
+    return graph.drop_self_loops(actors(spark, sf_dir)).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
+
+@query("u01_union_of_ids", f"WITH {_ACTORS} SELECT CAST(x AS VARCHAR) AS id FROM a UNION SELECT CAST(y AS VARCHAR) FROM a UNION SELECT CAST(c_custkey AS VARCHAR) FROM customer")
+def union_of_ids(spark, sf_dir):
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("dst"))
+    return sets.union_of_ids([actors(spark, sf_dir), customers], ["src", "dst"])
+
+
+@query("u02_confusion_of_ids", f"WITH {_ACTORS}, p AS (SELECT DISTINCT y FROM a WHERE f = 'R' AND x < 10), t AS (SELECT DISTINCT y FROM a WHERE f = 'A' AND x > 45), u AS (SELECT DISTINCT y FROM a) SELECT y AS dst, CASE WHEN p.y IS NOT NULL AND t.y IS NOT NULL THEN 'tp' WHEN p.y IS NOT NULL THEN 'fp' WHEN t.y IS NOT NULL THEN 'fn' ELSE 'tn' END AS kind FROM u LEFT JOIN p USING (y) LEFT JOIN t USING (y)")
+def confusion_of_ids(spark, sf_dir):
+    rows = actors(spark, sf_dir)
+    return sets.confusion_of_ids(rows.where("flag = 'R' and src < 10"), rows.where("flag = 'A' and src > 45"), rows, "dst")
+
+
+@query("u04_distinct_pairs", f"WITH {_ACTORS} SELECT DISTINCT x AS src, f AS flag FROM a")
+def distinct_pairs(spark, sf_dir):
+    return sets.distinct_pairs(actors(spark, sf_dir), "src", "flag")

@@ -400,3 +400,18 @@ def representative_actors(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey"))
     label = F.concat_ws("|", "l_returnflag", "l_linestatus", F.col("l_quantity").cast("string"))
     return representatives.representative_actors(edges, "program", "l_orderkey", label)
+
+
+@query("m16_batch_embed", "SELECT conv_id * 100 + turn AS id, round(coalesce(list_avg(list_transform(list_filter(regexp_split_to_array(text, ' '), lambda w: w <> ''), lambda w: length(w))), 0), 6) AS x0 FROM conversations")
+def batch_embed(spark, sf_dir):
+    import numpy as np
+
+    def encoder(texts):
+        # an encoder of a user: the length of each word, and a one
+        words = [[w for w in t.split(" ") if w] for t in texts]
+        most = max(1, *map(len, words))
+        mask = np.array([[i < len(w) for i in range(most)] for w in words], dtype=float)
+        return np.array([[[len(w[i]), 1.0] if i < len(w) else [0.0, 0.0] for i in range(most)] for w in words]), mask
+
+    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return attribution.batch_embed(texts, encoder, "log").select("id", F.round(F.get("x", F.lit(0)), 6).alias("x0"))

@@ -261,11 +261,19 @@ def append_snapshots(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def save_embeddings(df: DataFrame, path: str) -> None:
-    """Vectors by kind."""
-    df.write.mode("overwrite").partitionBy("kind").parquet(path)
+def save_embeddings(df: DataFrame, path: str, **metadata: Any) -> None:
+    """Vectors by kind under ``path``, and one row of metadata beside them; vectors are written anew, so is the row."""
+    df.write.mode("overwrite").partitionBy("kind").parquet(f"{path}/vectors")
+    row = df.sparkSession.createDataFrame([({k: str(v) for k, v in metadata.items()},)], "metadata map<string,string>")
+    row.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
 
 
 def load_embeddings(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    rows = spark.read.parquet(path)
+    rows = spark.read.parquet(f"{path}/vectors")
     return rows if kind is None else rows.where(F.col("kind") == kind)
+
+
+def embeddings_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """The metadata that was saved with the vectors."""
+    row = spark.read.schema("metadata map<string,string>").json(f"{path}/metadata").first()
+    return dict(row["metadata"] or {}) if row else {}
