@@ -137,14 +137,14 @@ def common_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     by_bucket = checkpointed(_with_pooled(each.groupBy("lang", "bucket").agg(F.count("*").alias("c"))).groupBy("lang", "bucket").agg(F.sum("c").alias("c")))
     ranked = checkpointed(by_bucket.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c"), "bucket"))))
     total = ranked.groupBy("lang").agg(F.sum("c").alias("total"), F.max("r").alias("most"))
-    langs = total.select(F.col("lang"))
     while True:
-        chosen = ranked.where(F.col("r") <= first).select("lang", "bucket")
-        # a word of any language may be common in the whole corpus
-        pooled = langs.join(chosen.where(F.col("lang") == POOLED).select("bucket"))
-        looked = checkpointed(chosen.unionByName(pooled).distinct())
-        few = looked.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS
-        counts = each.join(F.broadcast(looked) if few else looked, ["lang", "bucket"], "left_semi").groupBy("lang", "bucket", "word").agg(F.count("*").alias("c"))
+        chosen = checkpointed(ranked.where(F.col("r") <= first).select("lang", "bucket"))
+        few = chosen.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS
+        own = chosen.withColumn("own", F.lit(True))
+        # a word of any language may be common in the whole corpus, whose buckets are as many as there are at most
+        pooled = chosen.where(F.col("lang") == POOLED).select("bucket", F.lit(True).alias("pooled"))
+        near = each.join(F.broadcast(pooled), "bucket", "left").join(F.broadcast(own) if few else own, ["lang", "bucket"], "left").where("own or pooled")
+        counts = near.groupBy("lang", "bucket", "word").agg(F.count("*").alias("c"))
         counts = _with_pooled(counts).groupBy("lang", "bucket", "word").agg(F.sum("c").alias("c")).join(chosen, ["lang", "bucket"], "left_semi")
         # the first n of each of 64 parts, then of all, so that no task sorts a language's words
         best = Window.partitionBy("lang", F.pmod("bucket", F.lit(64))).orderBy(F.desc("c"), "word")
