@@ -46,6 +46,8 @@ DISCLOSURE, REMOVE_AT = 0.9, 0.95
 MIN_BITS, MIN_TEXTS, DISCOUNT = 5.0, 2, 1.0
 #: Tables of terms and of texts with spans are broadcast up to so many rows, and joined by shuffle beyond.
 MAX_BROADCAST = 1_000_000
+#: Bytes of the strings of a table that is broadcast, and pairs of one text that one task looks at, at most.
+MAX_BROADCAST_BYTES, PART_PAIRS = 64 << 20, 1_000_000
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -128,8 +130,11 @@ def _tokens(text: Column) -> Column:
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """``df``, to be broadcast if it has at most ``MAX_BROADCAST`` rows."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+    """``df``, to be broadcast if it has at most ``MAX_BROADCAST`` rows and its strings ``MAX_BROADCAST_BYTES``."""
+    strings = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() == "string"]
+    size = F.coalesce(F.sum(sum(strings, F.lit(0)).cast("long")), F.lit(0))
+    rows, length = df.limit(MAX_BROADCAST + 1).agg(F.count("*"), size).first()
+    return F.broadcast(df) if rows <= MAX_BROADCAST and length <= MAX_BROADCAST_BYTES else df
 
 
 def protected_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -179,15 +184,24 @@ def disclosures(
     common words form no pairs.
     """
     n = float(docs.count())
-    entities = found.select("tk", "c", F.explode("entities").alias("entity"))
+    # a text of very many values and words is dealt to tasks by its words
+    parts = F.ceil(F.size("entities").cast("long") * F.size("terms") / PART_PAIRS).cast("int")
+    found = found.withColumn("parts", F.greatest(F.lit(1), parts))
+    entities = found.select("tk", "c", "parts", F.explode("entities").alias("entity"))
     shared = entities.groupBy("entity").agg(F.sum("c").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
     shared = checkpointed(shared.where(F.log2(F.lit(n) / F.col("n_e")) >= min_bits).drop("texts"))
     held = checkpointed(entities.join(_few(shared), "entity"))
-    terms = found.join(held.select("tk").distinct(), "tk", "left_semi").select("tk", F.explode("terms").alias("term"))
+    terms = found.join(held.select("tk").distinct(), "tk", "left_semi").select("tk", "parts", F.explode("terms").alias("term"))
     wanted = checkpointed(terms.groupBy("term").agg(F.count("*").alias("texts")).where(F.col("texts") >= min_texts).select("term"))
     counted = checkpointed(term_documents(docs, found, wanted, text_col))
-    rare = F.col("n_t") <= F.pow("n_e", F.lit(disclosure)) * F.pow(F.lit(n), F.lit(1 - disclosure)) * 1.0001
-    pairs = held.join(terms.join(_few(counted), "term"), "tk").where(rare)
+    # the most documents of a term that an entity of so many can be told by
+    most = lambda n_e: F.pow(n_e, F.lit(disclosure)) * F.pow(F.lit(n), F.lit(1 - disclosure)) * 1.0001
+    # words that are too common for every value of their text go before they meet any
+    widest = held.groupBy("tk").agg(F.max("n_e").alias("widest"))
+    near = terms.join(_few(counted), "term").join(widest, "tk").where(F.col("n_t") <= most(F.col("widest")))
+    near = near.select("tk", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int").alias("part"), "term", "n_t")
+    spread = held.select("tk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "c", "entity", "n_e")
+    pairs = spread.join(near, ["tk", "part"]).where(F.col("n_t") <= most(F.col("n_e")))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("c").alias("n_te"), F.count("*").alias("texts"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
     pairs = pairs.where((F.col("texts") >= min_texts) & (F.col("n_te") > discount))
     bits = F.log2(F.lit(n) * (F.col("n_te") - F.lit(discount)) / (F.col("n_t").cast("double") * F.col("n_e")))

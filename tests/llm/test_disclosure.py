@@ -82,3 +82,18 @@ def test_running_totals_of_many(spark):
     df = spark.createDataFrame([(0,), (1,), (64,), (65,), (1000,)], "n int").select("n", F.slice(F.sequence(F.lit(1), F.lit(1000)), F.lit(1), F.col("n")).alias("x"))
     for r in df.select("x", running(F.col("x"), F.lit(0), lambda a, b: a + b).alias("t")).collect():
         assert r["t"] == [sum(r["x"][: i + 1]) for i in range(len(r["x"]))]
+
+
+def test_a_text_of_many_pairs_is_dealt(spark, monkeypatch):
+    """The pairs are the same however many parts a text's words are dealt to."""
+    rows = [(i, f"write to user{i % 7}@host{i % 5}.example now " + " ".join(f"word{(i * j) % 90}x" for j in range(40))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def pairs():
+        found = pii.protected_texts(docs)
+        return sorted(map(str, pii.disclosures(docs, found, min_bits=0.1, disclosure=0.2).collect()))
+
+    whole = pairs()
+    monkeypatch.setattr(pii, "PART_PAIRS", 5)
+    monkeypatch.setattr(pii, "MAX_BROADCAST_BYTES", 10)
+    assert pairs() == whole and len(whole) > 3
