@@ -264,8 +264,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width
     ref_id, ref_start) in words, stop exclusive; a copy of a smaller id's text is
     one span.  A null text has no words.  A null id refers to nothing smaller and
     nothing refers to it.  Rows of one id do not refer to each other, and
-    repeated rows stay.  Columns of these names are replaced, all others kept.
+    repeated rows stay.  Texts may be of any length, as they are parsed against
+    blocks; an empty table gives an empty table.  Ids are integers; others are
+    refused.  Columns of these names are replaced, all others kept.
     """
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"ids are compared as integers; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     docs = docs.drop("n_words", "n_removed", "kept", "spans")
     ident, tk, text = free_name(docs, "dedup_id"), free_name(docs, "dedup_tk"), free_name(docs, "dedup_text")
     marked = docs.withColumn(ident, F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn(text, F.coalesce(F.col(text_col), F.lit("")))

@@ -60,3 +60,8 @@ def test_a_stretch_sent_in_vain_removes_nothing(spark):
     # as if the hashes of two different seeds agreed: the words decide
     met = spark.createDataFrame([(2, 1, 0, 0, bytearray(b"a b c d"), bytearray(b"a b x d"))], "id long, ref_id long, block int, start int, words binary, reference binary")
     assert substring_dedup._parse(met, ["id"], ["ref_id"], 3, 16).collect() == []
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
