@@ -39,8 +39,8 @@ MAX_ROUNDS = 16
 SLACK = 0.25
 #: Documents of more than these parts of a shard are dealt before the others.
 LARGE = (1 / 64, 1 / 2_048)
-#: Rows that a running sum adds up in one task's group, on average.
-BUCKET_ROWS = 5_000
+#: Rows that a running sum adds up in one task's group, on average, and those of a key of many rows.
+BUCKET_ROWS, KEY_ROWS = 5_000, 500
 
 
 def _running(df: DataFrame, parts: list[str], rows: int, spread: Column, order: list[Column], value: Column, name: str, fine: Column | None = None) -> DataFrame:
@@ -153,7 +153,7 @@ def assign(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", link
     settled = propagate(nodes, nodes.select("node", F.col("node.link").alias("key")), shards, mean * (1 + SLACK), max_rounds, seed)
     placed = rows.join(settled.select("node.link", "node.cell", "shard", "weight"), ["link", "cell"], "left")
     # a key of many rows is cut into parts wherever rows are put in order
-    fine = F.pmod("spread", F.greatest(F.lit(1), F.ceil(F.coalesce("weight", F.lit(0)) * (shards * CELLS / BUCKET_ROWS)))).cast("int")
+    fine = F.pmod("spread", F.greatest(F.lit(1), F.ceil(F.coalesce("weight", F.lit(0)) * (shards * CELLS / KEY_ROWS)))).cast("int")
     placed = checkpointed(placed.select("row", "id", "size", "link", "spread", "shard", fine.alias("fine")))
     # rows of a key follow each other, so what has to leave a shard leaves it together
     key_order = F.xxhash64(F.coalesce(F.xxhash64("link"), F.col("spread")), F.lit(seed))
