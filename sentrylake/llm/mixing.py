@@ -82,6 +82,7 @@ def copies(
     The order is that of md5(seed:id), ties by id and size; rows that agree in
     all three are interchangeable.  Rows of size 0 take whole repetitions only.
     Columns named source_size, target and copies are replaced, all others kept.
+    An empty table gives an empty table.
     """
     docs = docs.drop("source_size", "target", "copies")
     # a row travels as one value, so that no column of it clashes with those of the work

@@ -236,6 +236,7 @@ def judge(
     language is compared to the pooled one.  A distance is null where the
     language has no reference or the text is too short, and then rejects nothing.  A null text has no words and fails the base rules.  Rows stay as
     they are, repeated ones too; a column named quality is replaced.
+    Texts of any length are judged as a whole; an empty table gives an empty table.
     """
     docs = docs.drop("quality")
     refs = references(docs, lang_col, text_col) if refs is None else refs

@@ -204,6 +204,8 @@ def near_duplicates(
     component: the least id that links reach.  Documents with equal
     fingerprints are linked, those without words too.  Repeated rows stay and
     are alike.  A component is null only if all its ids are.
+    Texts of any length are read as a whole.  Only the id and the text are looked
+    at, so other columns may have any name; an empty table gives an empty table.
     """
     marked = checkpointed(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), fingerprints(F.col(text_col), width, seed).alias("fp")))
     least = marked.groupBy("fp").agg(F.min("id").alias("least"))

@@ -127,6 +127,7 @@ def token_counts(
 
     A null text counts as empty and has no tokens.  Strings that look like
     special tokens are ordinary text, as in the library.
+    Repeated rows and copies get equal counts; over an empty table nothing is counted.
     """
     check_model(path)
     spark = docs.sparkSession

@@ -183,6 +183,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
 
     Empty, blank and null texts get the model's constant.  Equal texts get
     equal scores, whatever stands in other columns.
+    Texts of any length are scored as a whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
