@@ -146,7 +146,7 @@ def blank_runs(n, seed):
 
 
 def test_pieces_do_not_end_in_white_space(tiktoken_encoding):
-    texts = blank_runs(600, 1)
+    texts = blank_runs(160, 1)
     # a blank line, three spaces, or a tab where one of the default chunks ends
     texts += ["x" * (4_096 * k - len(gap) - pad) + gap + "Next 12 lines" + "\n\nand on" * 900 for gap in ("\n\n", "   ", "\t\t", "\n \n", " ") for pad in range(-4, 4) for k in (1, 2)]
     stitched = 0
