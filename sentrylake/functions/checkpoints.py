@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``.
+    """The session's ``spark.checkpoint.dir``, or the folder that ``setCheckpointDir`` was given.
 
-    Only where that is unset on a single machine, as in tests, is a temporary
+    Only where neither is set on a single machine, as in tests, is a temporary
     folder used; on a cluster its executors would not see each other's files.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return (folder or tempfile.mkdtemp(prefix="spark-ckpt-")).rstrip("/")

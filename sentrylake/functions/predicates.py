@@ -11,10 +11,8 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from py4j.protocol import Py4JError
-from pyspark import SparkContext
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -129,8 +127,8 @@ def hunt_regex(c: Column, pattern: str, negate: bool = False) -> Column:
     try:
         re.compile(pattern)
         # Java's expressions run it, and some patterns compile in one language only
-        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
-    except (re.error, Py4JError, PySparkException):
+        SparkSession.active().sql("SELECT '' RLIKE ?", args=[pattern]).collect()
+    except (re.error, PySparkException):
         return F.lit(False)
     found = c.cast("string").rlike(pattern)
     return F.coalesce(~found if negate else found, F.lit(negate))

@@ -36,13 +36,15 @@ def read_cdm_events(spark: SparkSession, path: str, cdm: str = "20") -> DataFram
 
     Lines are picked by what they contain before any JSON is parsed.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    # a line's place in its file: the start of its part, then its number there
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), place.alias("place"))
     wanted = F.lit(False)
     for kind in _CDM_KINDS:
         wanted = wanted | F.col("line").contains(f"{cdm}.{kind}")
     skipped = F.col("line").contains("FILE_OBJECT_UNIX_SOCKET") | F.col("line").contains("FILE_OBJECT_DIR")
-    users = lines.select("file", F.nullif(F.regexp_extract("line", '"userId":"([^"]+)"', 1), F.lit("")).alias("u"), F.nullif(F.regexp_extract("line", r'"username":\{"string":"([^"]+)"\}', 1), F.lit("")).alias("n"))
-    users = users.groupBy("file").agg(F.first("u", ignorenulls=True).alias("userid"), F.first("n", ignorenulls=True).alias("username"))
+    users = lines.select("file", "place", F.nullif(F.regexp_extract("line", '"userId":"([^"]+)"', 1), F.lit("")).alias("u"), F.nullif(F.regexp_extract("line", r'"username":\{"string":"([^"]+)"\}', 1), F.lit("")).alias("n"))
+    users = users.groupBy("file").agg(F.min_by("u", F.when(F.col("u").isNotNull(), F.col("place"))).alias("userid"), F.min_by("n", F.when(F.col("n").isNotNull(), F.col("place"))).alias("username"))
     doc = lines.where(wanted & ~skipped).withColumn("v", F.try_parse_json("line")).where("v is not null")
     event = f"$.datum['com.bbn.tc.schema.avro.cdm{cdm}.Event']"
     uuid = f"['com.bbn.tc.schema.avro.cdm{cdm}.UUID']"

@@ -105,48 +105,51 @@ def graph_sink(spark: SparkSession, root: str) -> Callable[[DataFrame, int], Non
     return write
 
 
-STREAM_STATE = "minute long, rate long, ports string, procs string, bytes long, seen int, stats string"
+STREAM_STATE = "minute long, rate long, ports array<long>, procs array<string>, bytes long, seen int, means array<double>, vars array<double>"
 
 
 def stream_statistical(events: DataFrame, z_threshold: float = 3.5, alpha: float = 0.05, min_buckets: int = 5) -> DataFrame:
     """(host, event_id, ts, z_max) of events above their host's baseline; keyed state for each host.
 
     The state is that of one minute and four running means and variances; events
-    of a batch are taken in order of time, and one of a minute that is closed
-    counts in the open one.  Needs the RocksDB state store.
+    of a batch are taken in order of time, minute by minute, and one of a minute
+    that is closed counts in the open one.  Needs the RocksDB state store.
     """
+    import numpy as np
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+    def so_far(values: pd.Series, known: list) -> np.ndarray:
+        """How many different values there are up to each row, with those known before; nulls count nothing."""
+        new = values.notna() & ~values.isin(known) & ~values.duplicated()
+        return len(known) + new.cumsum().to_numpy()
+
     class Baseline(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState("host", STREAM_STATE)
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            import json
-            import math
-
-            saved = self.state.get() if self.state.exists() else None
-            minute, rate, ports, procs, size, seen, stats = (saved[0], saved[1], set(json.loads(saved[2])), set(json.loads(saved[3])), saved[4], saved[5], json.loads(saved[6])) if saved else (None, 0, set(), set(), 0, 0, [[0.0, 1.0]] * 4)
-            out = []
-            for r in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples():
-                # an event that comes late counts in the minute that is open
-                now = int(r.ts // 60) if minute is None else max(minute, int(r.ts // 60))
+            minute, rate, ports, procs, size, seen, mean, var = self.state.get() if self.state.exists() else (None, 0, [], [], 0, 0, [0.0] * 4, [1.0] * 4)
+            ports, procs, mean, var = list(ports), list(procs), np.array(mean), np.array(var)
+            batch = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+            # an event that comes late counts in the minute that is open
+            batch["minute"] = (batch["ts"] // 60).astype("int64").clip(lower=minute)
+            out = [pd.DataFrame({"host": [], "event_id": [], "ts": [], "z_max": []})]
+            for now, part in batch.groupby("minute", sort=True):
                 if minute is not None and now != minute:
-                    closed = (rate, len(ports), len(procs), size)
-                    if seen == 0:
-                        stats = [[float(x), 1.0] for x in closed]
-                    else:
-                        stats = [[m + alpha * (x - m), (1 - alpha) * (v + alpha * (x - m) ** 2)] for (m, v), x in zip(stats, closed)]
-                    seen, rate, ports, procs, size = seen + 1, 0, set(), set(), 0
-                minute, rate, size = now, rate + 1, size + int(r.bytes_sent)
-                ports.add(int(r.dst_port))
-                procs.add(r.process)
+                    closed = np.array([rate, len(ports), len(procs), size], dtype=float)
+                    delta = closed - mean
+                    mean, var = (closed, np.ones(4)) if seen == 0 else (mean + alpha * delta, (1 - alpha) * (var + alpha * delta**2))
+                    seen, rate, ports, procs, size = seen + 1, 0, [], [], 0
+                figures = np.column_stack([rate + np.arange(1, len(part) + 1), so_far(part["dst_port"], ports), so_far(part["process"], procs), size + part["bytes_sent"].fillna(0).cumsum()])
                 if seen >= min_buckets:
-                    z = max((x - m) / math.sqrt(max(v, 1e-6)) for (m, v), x in zip(stats, (rate, len(ports), len(procs), size)))
-                    if z > z_threshold:
-                        out.append((key[0], r.event_id, r.ts, z))
-            self.state.update((minute, rate, json.dumps(sorted(ports)), json.dumps(sorted(procs)), size, seen, json.dumps(stats)))
-            yield pd.DataFrame(out, columns=["host", "event_id", "ts", "z_max"]).astype({"host": object, "event_id": "int64", "ts": float, "z_max": float})
+                    z = ((figures - mean) / np.sqrt(np.maximum(var, 1e-6))).max(axis=1)
+                    hot = z > z_threshold
+                    out.append(pd.DataFrame({"host": key[0], "event_id": part["event_id"][hot], "ts": part["ts"][hot], "z_max": z[hot]}))
+                minute, rate, size = int(now), int(figures[-1, 0]), int(figures[-1, 3])
+                ports = list({*ports, *map(int, part["dst_port"].dropna())})
+                procs = list({*procs, *part["process"].dropna()})
+            self.state.update((minute, rate, ports, procs, size, int(seen), mean.tolist(), var.tolist()))
+            yield pd.concat(out).astype({"host": object, "event_id": "int64", "ts": float, "z_max": float})
 
         def close(self) -> None:
             pass
