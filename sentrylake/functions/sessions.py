@@ -17,7 +17,7 @@ def sessionize(df: DataFrame, keys: list[str], gap: float, order: list[str], nam
     of time (``slice_seconds``, a quarter of the gap unless given), and a key
     only puts a row for each slice in one task, by which sessions go on over the
     slices' edges.  So a key that holds a third of all rows takes many
-    tasks.  Rows without a time are first, in one session, as nothing is known of their gap.
+    tasks.  Rows without a time are one session, the first.
     """
     width = slice_seconds or gap / SLICES
     part, base, fresh, last = f"_{name}_slice", f"_{name}_base", f"_{name}_new", f"_{name}_last"
@@ -29,7 +29,7 @@ def sessionize(df: DataFrame, keys: list[str], gap: float, order: list[str], nam
     rows = rows.withColumn(fresh, F.coalesce(inner, F.lit(0)))
     counts = rows.groupBy(*keys, part).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.sum(fresh).alias("more"), F.max_by(last, F.struct(*order)).alias("over"))
     slices = Window.partitionBy(*keys).orderBy(part)
-    begins = F.when(F.lag("more").over(slices).isNull() | (F.col("lo") - F.lag("hi").over(slices) > gap) | F.lag("over").over(slices), 1).otherwise(0)
+    begins = F.when(F.lag("more").over(slices).isNull() | F.coalesce(F.col("lo") - F.lag("hi").over(slices) > gap, F.lit(True)) | F.lag("over").over(slices), 1).otherwise(0)
     counts = counts.withColumn("begins", begins)
     total = F.sum(F.col("begins") + F.col("more")).over(slices.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     counts = counts.select(*(F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)), F.col(part).alias("_at"), (total - F.col("more")).alias(base))

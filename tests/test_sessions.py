@@ -32,6 +32,13 @@ def test_as_the_window_form(spark, slice_seconds):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_rows_without_a_time_and_closed_sessions(spark):
+    rows = [(1, None, "a", "x"), (2, None, "a", "x"), (3, 10.0, "a", "x"), (4, 20.0, "a", "end"), (5, 21.0, "a", "x"), (6, 9_000.0, "a", "end"), (7, 9_001.0, "a", "x")]
+    for width in (None, 5.0, 1e9):
+        out = sessionize(spark.createDataFrame(rows, SCHEMA), ["fingerprint"], 3_600.0, ["ts", "event_id"], slice_seconds=width, ends=F.col("severity") == "end").collect()
+        assert {r["event_id"]: r["session"] for r in out} == {1: 1, 2: 1, 3: 2, 4: 2, 5: 3, 6: 4, 7: 5}
+
+
 def test_triage_takes_repeats_once(spark):
     df = spark.createDataFrame(made(2) + made(2)[:500], SCHEMA)
     assert triage.triage_sessions(df).count() == len(made(2))
