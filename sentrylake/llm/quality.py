@@ -139,11 +139,10 @@ def common_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     total = ranked.groupBy("lang").agg(F.sum("c").alias("total"), F.max("r").alias("most"))
     while True:
         chosen = checkpointed(ranked.where(F.col("r") <= first).select("lang", "bucket"))
+        # a row for each bucket, with the languages that look into it; a word of any language may be common in the whole corpus
+        looked = chosen.groupBy("bucket").agg(F.collect_set("lang").alias("langs")).withColumn("all", F.array_contains("langs", POOLED))
         few = chosen.limit(MAX_BROADCAST_BUCKETS + 1).count() <= MAX_BROADCAST_BUCKETS
-        own = chosen.withColumn("own", F.lit(True))
-        # a word of any language may be common in the whole corpus, whose buckets are as many as there are at most
-        pooled = chosen.where(F.col("lang") == POOLED).select("bucket", F.lit(True).alias("pooled"))
-        near = each.join(F.broadcast(pooled), "bucket", "left").join(F.broadcast(own) if few else own, ["lang", "bucket"], "left").where("own or pooled")
+        near = each.join(F.broadcast(looked) if few else looked, "bucket").where(F.col("all") | F.array_contains("langs", F.col("lang")))
         counts = near.groupBy("lang", "bucket", "word").agg(F.count("*").alias("c"))
         counts = _with_pooled(counts).groupBy("lang", "bucket", "word").agg(F.sum("c").alias("c")).join(chosen, ["lang", "bucket"], "left_semi")
         # the first n of each of 64 parts, then of all, so that no task sorts a language's words
