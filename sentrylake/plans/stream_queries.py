@@ -60,12 +60,11 @@ def stream_statistical(spark, sf_dir):
 
 @query("x03_stream_triage", f"WITH {SESSION_SQL} SELECT fingerprint, count(*) AS count, min(event_time) AS first_seen, max(event_time) AS last_seen, max(score) AS max_score FROM ses GROUP BY fingerprint, session")
 def stream_triage(spark, sf_dir):
-    det = standins.detections(_Stream(spark), sf_dir).withColumn("fingerprint", triage.alert_fingerprint()).withColumn("event_time", F.to_timestamp("event_time"))
-    out, state = streams.folders(spark)
-    # all sessions of every batch so far replace those of the batch before
-    streams.run_available(streams.stream_triage(det, "1 day"), lambda batch, _: batch.write.mode("overwrite").parquet(out), state, "complete")
+    rows = standins.detections(spark, sf_dir).withColumn("fingerprint", triage.alert_fingerprint())
+    # a session comes out once, when the watermark has passed it
+    found = _run(spark, streams.stream_triage(_with_heartbeat(spark, rows, "x03"), "1 day", late="40 days")).where("fingerprint <> 'heartbeat'")
     ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return spark.read.parquet(out).select("fingerprint", "count", ntz("first_seen"), ntz("last_seen"), "max_score")
+    return found.select("fingerprint", "count", ntz("first_seen"), ntz("last_seen"), "max_score")
 
 
 def _with_heartbeat(spark, rows, name):
