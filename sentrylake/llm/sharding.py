@@ -44,11 +44,15 @@ BUCKET_ROWS, KEY_ROWS = 5_000, 500
 
 
 def _running(df: DataFrame, parts: list[str], rows: int, spread: Column, order: list[Column], value: Column, name: str, fine: Column | None = None) -> DataFrame:
-    """``df`` with the sum of ``value`` over all rows before each, by ``parts``: in the order of buckets of ``spread``, of ``fine`` parts of them, then of ``order``."""
+    """``df`` with the sum of ``value`` over all rows before each, by ``parts``: in the order of buckets of ``spread``, of ``fine`` parts of them, then of ``order``.
+
+    Rows with a part above 0 come first: those of large keys, which so stay together, and the small keys leave as a whole.
+    """
     bucket, sub, base = f"{name}_bucket", f"{name}_sub", f"{name}_base"
     of = [*parts, bucket, sub]
     n = max(1, math.ceil(rows / BUCKET_ROWS))
-    df = df.withColumn(bucket, F.pmod(spread, F.lit(n)).cast("int")).withColumn(sub, (F.lit(0) if fine is None else fine).cast("int"))
+    part = F.lit(0) if fine is None else fine
+    df = df.withColumn(bucket, (F.pmod(spread, F.lit(n)) + F.when(part > 0, 0).otherwise(n)).cast("int")).withColumn(sub, part.cast("int"))
     sums = df.groupBy(*of).agg(F.sum(value).alias(base))
     earlier = Window.partitionBy(*parts).orderBy(bucket, sub).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*of, F.coalesce(F.sum(base).over(earlier), F.lit(0)).alias(base))
@@ -153,7 +157,8 @@ def assign(docs: DataFrame, id_col: str = "doc_id", size_col: str = "size", link
     settled = propagate(nodes, nodes.select("node", F.col("node.link").alias("key")), shards, mean * (1 + SLACK), max_rounds, seed)
     placed = rows.join(settled.select("node.link", "node.cell", "shard", "weight"), ["link", "cell"], "left")
     # a key of many rows is cut into parts wherever rows are put in order
-    fine = F.pmod("spread", F.greatest(F.lit(1), F.ceil(F.coalesce("weight", F.lit(0)) * (shards * CELLS / KEY_ROWS)))).cast("int")
+    in_parts = F.floor(F.coalesce("weight", F.lit(0)) * (shards * CELLS / KEY_ROWS))
+    fine = F.when(in_parts > 0, F.pmod("spread", in_parts) + 1).otherwise(0).cast("int")
     placed = checkpointed(placed.select("row", "id", "size", "link", "spread", "shard", fine.alias("fine")))
     # rows of a key follow each other, so what has to leave a shard leaves it together
     key_order = F.xxhash64(F.coalesce(F.xxhash64("link"), F.col("spread")), F.lit(seed))
