@@ -225,6 +225,20 @@ def _spread(layer: DataFrame, adjacent: DataFrame, hubs: DataFrame) -> DataFrame
     return sent.join(ends, ["u", "part"]).select(F.col("v").alias("node"), "slice", "first", "last", F.col("u").alias("origin"))
 
 
+def _with_run(spans: DataFrame, keys: list[str], window: float, name: Column, order: list[str]) -> DataFrame:
+    """``spans`` (first, last) with ``run``: the name of the first of those that follow one another at one key by at most ``window``."""
+    w = Window.partitionBy(*keys).orderBy("first", *order)
+    until = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.withColumn("_starts", until.isNull() | (F.col("first") - until > window))
+    return marked.withColumn("run", F.last(F.when(F.col("_starts"), name), ignorenulls=True).over(w)).drop("_starts")
+
+
+def _runs(cells: DataFrame, window: float) -> tuple[DataFrame, DataFrame]:
+    """Cells (node, slice, first, last) with their run, and the runs as (node, slice, first, last); a run is known by its first slice."""
+    cells = checkpointed(_with_run(cells, ["node"], window, F.col("slice"), ["slice"]))
+    return cells, checkpointed(cells.groupBy("node", F.col("run").alias("slice")).agg(F.min("first").alias("first"), F.max("last").alias("last")))
+
+
 def correlate(touched: DataFrame, window: float = 300.0, edges: DataFrame | None = None, radius: int = 0) -> DataFrame:
     """(event_id, group_id): detections near each other in the graph and in time form groups, named by their least event.
 
@@ -234,47 +248,54 @@ def correlate(touched: DataFrame, window: float = 300.0, edges: DataFrame | None
     other.  Rows without a time or a node are left out.
 
     No pairs are made.  Time is cut into slices of a window, and what touches a
-    node within a slice is one cell, as it belongs together anyway.  Cells spread
-    their label over radius // 2 hops: what meets at a node is at most a radius
-    apart.  Labels at one node, and for an odd radius at both ends of an edge,
-    are linked in one slice, and from one slice to the next if the last time in
-    it and the first in the next are a window apart at most.  Groups are the
-    components of these links.  So a node that everything touches costs a row
-    for each slice, and its slices and neighbours go to many tasks.
+    node within a slice is one cell, as it belongs together anyway.  Cells of a
+    node that follow one another by at most a window are one run: whatever comes
+    within a window of a run's span is within a window of a detection in it.
+    Runs spread over radius // 2 hops and are joined to runs again where they
+    meet: what meets at a node is at most a radius apart.  For an odd radius, runs
+    at both ends of an edge are joined too.  Groups are the components of these links.
+
+    A node with one neighbour need not be spread to: what would meet there meets
+    at its neighbour, to which it is spread itself.  So rows are those of
+    the runs times the neighbours that have others.  A node that everything touches costs
+    a row for each slice, and its neighbours go to many tasks.
     """
     if radius and edges is None:
         raise ValueError("a radius needs edges")
     rows = touched.where("ts is not null and node is not null").select("event_id", "ts", "node", F.floor(F.col("ts") / window).cast("long").alias("slice"))
-    rows = checkpointed(rows)
-    layer = checkpointed(rows.groupBy("node", "slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last")))
-    loops = layer.select(_vertex(0).alias("src"), _vertex(0).alias("dst"))
+    rows = checkpointed(rows.groupBy("event_id", "node", "slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last")))
+    cells, layer = _runs(rows.groupBy("node", "slice").agg(F.min("first").alias("first"), F.max("last").alias("last")), window)
     # the nodes of one event belong together
-    of_event = rows.select("event_id", _vertex(0).alias("v")).distinct()
-    at = of_event.groupBy("event_id").agg(F.min("v").alias("home"))
-    links = [loops, of_event.join(at, "event_id").where("v <> home").select(F.col("v").alias("src"), F.col("home").alias("dst"))]
+    of_event = rows.join(cells.select("node", "slice", "run"), ["node", "slice"]).select("event_id", _vertex(0, "run").alias("v"))
+    of_event = checkpointed(of_event.groupBy("event_id").agg(F.array_sort(F.collect_set("v")).alias("at")))
+    # events at the same runs give the same links
+    homes = of_event.select("at").distinct()
+    links = [homes.select(F.explode("at").alias("src"), F.col("at")[0].alias("dst"))]
     if radius:
-        adjacent = checkpointed(both_ways(edges).where("u <> v and u is not null and v is not null").distinct())
-        hubs = checkpointed(adjacent.groupBy("u").agg(F.ceil(F.count("*") / HUB_PART).cast("int").alias("parts")).where("parts > 1"))
+        adjacent = both_ways(edges).where("u <> v and u is not null and v is not null").distinct()
+        ends = adjacent.groupBy("u").agg(F.count("*").alias("degree"))
+        adjacent = adjacent.join(ends, "u").join(ends.select(F.col("u").alias("v"), F.col("degree").alias("v_degree")), "v")
+        adjacent = checkpointed(adjacent.select("u", "v", "degree", "v_degree"))
+        # of two nodes that have only each other one is spread to
+        inner = adjacent.where((F.col("v_degree") > 1) | ((F.col("degree") == 1) & (F.col("u") > F.col("v"))))
+        hubs = checkpointed(adjacent.groupBy("u").agg(F.ceil(F.max("degree") / HUB_PART).cast("int").alias("parts")).where("parts > 1"))
     for hop in range(1, radius // 2 + 1):
-        reached = checkpointed(_spread(layer, adjacent, hubs).unionByName(layer.withColumn("origin", F.col("node"))))
-        links.append(reached.select(_vertex(hop - 1, node="origin").alias("src"), _vertex(hop).alias("dst")))
-        layer = checkpointed(reached.groupBy("node", "slice").agg(F.min("first").alias("first"), F.max("last").alias("last")))
-    hop = radius // 2
-    beside = [layer.withColumn("origin", F.col("node"))]
+        reached = _spread(layer, inner.select("u", "v"), hubs).unionByName(layer.withColumn("origin", F.col("node")))
+        reached = checkpointed(reached.withColumnRenamed("slice", "before").withColumn("slice", F.floor(F.col("first") / window).cast("long")))
+        cells, layer = _runs(reached.groupBy("node", "slice").agg(F.min("first").alias("first"), F.max("last").alias("last")), window)
+        at = reached.join(cells.select("node", "slice", "run"), ["node", "slice"])
+        links.append(at.select(_vertex(hop - 1, "before", "origin").alias("src"), _vertex(hop, "run").alias("dst")))
     if radius % 2:
-        beside.append(_spread(layer, adjacent, hubs))
-    for near in beside:
-        for later in (0, 1):
-            # a cell and what is beside it, in its slice or the next one
-            other = near.select("origin", F.col("node").alias("at"), (F.col("slice") + later).alias("when"), F.col("slice").alias("before"), F.col("last").alias("until"))
-            both = layer.join(other, (F.col("node") == F.col("at")) & (F.col("slice") == F.col("when")))
-            if later:
-                both = both.where(F.col("first") - F.col("until") <= window)
-            links.append(both.select(_vertex(hop).alias("src"), _vertex(hop, "before", "origin").alias("dst")).where("src <> dst"))
+        # an edge to a node with one neighbour joins nothing more once something was spread
+        across = adjacent.where("degree > 1 and v_degree > 1") if radius > 1 else adjacent
+        far, edge = _vertex(radius // 2, node="origin"), [F.least("node", "origin").alias("a"), F.greatest("node", "origin").alias("b")]
+        met = _spread(layer, across.select("u", "v"), hubs).select(*edge, "first", "last", far.alias("end"))
+        met = _with_run(met, ["a", "b"], window, F.col("end"), ["end"])
+        links.append(met.where("end <> run").select(F.col("end").alias("src"), F.col("run").alias("dst")))
     together = links[0]
     for more in links[1:]:
         together = together.unionByName(more)
-    found = at.join(connected_components(together), F.col("home") == F.col("node")).select("event_id", "component")
+    found = of_event.select("event_id", F.col("at")[0].alias("node")).join(connected_components(together), "node").select("event_id", "component")
     return found.join(found.groupBy("component").agg(F.min("event_id").alias("group_id")), "component").select("event_id", "group_id")
 
 

@@ -90,6 +90,29 @@ def test_hot_node_is_a_cell_a_slice(spark):
     assert sorted(map(tuple, out)) == [(0, 20_000), (20_000, 20_000)]
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
+def test_leaves_and_lone_pairs(spark, radius):
+    """Stars with a leaf or many, chains of two and three nodes, and a leaf that is touched alone."""
+    draw = random.Random(radius)
+    edges = [(f"hub{h}", f"leaf{h}.{i}") for h in range(4) for i in range(6)] + [("hub0", "hub1"), ("hub1", "mid"), ("mid", "hub2")]
+    edges += [("x", "y"), ("q", "p"), ("c1", "c2"), ("c2", "c3"), ("c3", "c4")]
+    nodes = sorted({n for e in edges for n in e})
+    touched = [(e, float(draw.randrange(0, 30_000, 50)), draw.choice(nodes)) for e in range(250)]
+    rows = spark.createDataFrame(touched, "event_id long, ts double, node string")
+    out = graph.correlate(rows, 300.0, spark.createDataFrame(edges, "src string, dst string"), radius).collect()
+    assert {r["event_id"]: r["group_id"] for r in out} == pairs(touched, edges, 300.0, radius)
+
+
+def test_cells_of_a_hub_are_not_spread_to_its_leaves(spark, monkeypatch):
+    sent, spread = [], graph._spread
+    monkeypatch.setattr(graph, "_spread", lambda *a: sent.append(spread(*a)) or sent[-1])
+    edges = spark.range(300).selectExpr("'hub' AS src", "concat('leaf', id) AS dst")
+    touched = spark.range(600).selectExpr("id AS event_id", "id * 1000.0D AS ts", "explode(array('hub', concat('leaf', id % 300))) AS node")
+    assert graph.correlate(touched, 300.0, edges, 2).select("group_id").distinct().count() == 600
+    # the hub has a cell for each event, and each leaf's cells go to it alone
+    assert sent[0].count() == 600
+
+
 def test_empty_and_missing_edges(spark):
     rows = spark.createDataFrame([], "event_id long, ts double, node string")
     assert graph.correlate(rows).collect() == []
