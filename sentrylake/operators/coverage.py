@@ -68,6 +68,14 @@ def control_rules(controls: DataFrame, rules: DataFrame) -> DataFrame:
     return wanted.join(met.distinct(), "technique")
 
 
+def control_rule_counts(controls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(control_id, technique, rules): how many rules ``control_rules`` gives of each pair; rules are counted by technique before controls are joined."""
+    met = rule_techniques(rules).select("rule_id", F.explode(F.array_distinct(F.array("technique_id", F.substring_index("technique_id", ".", 1)))).alias("technique"))
+    counts = met.groupBy("technique").agg(F.countDistinct("rule_id").alias("rules"))
+    wanted = controls.select("control_id", F.explode(F.array_distinct("techniques")).alias("technique")).distinct()
+    return wanted.join(counts, "technique").select("control_id", "technique", "rules")
+
+
 def control_coverage(controls: DataFrame, rules: DataFrame) -> DataFrame:
     """(control_id, family, covered, fraction, missing): how much of each control's techniques rules meet."""
     met = F.explode(F.array_distinct(F.array("technique_id", F.substring_index("technique_id", ".", 1)))).alias("technique")

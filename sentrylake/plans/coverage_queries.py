@@ -94,7 +94,7 @@ def uncovered_techniques(spark, sf_dir):
 
 @query("j18_rule_control_map", f"WITH {COV_SQL} SELECT control_id, technique, count(DISTINCT rule_id) AS rules FROM wanted JOIN met USING (technique) GROUP BY 1, 2")
 def rule_control_map(spark, sf_dir):
-    return coverage.control_rules(controls(spark, sf_dir), rules(spark, sf_dir)).groupBy("control_id", "technique").agg(F.countDistinct("rule_id").alias("rules"))
+    return coverage.control_rule_counts(controls(spark, sf_dir), rules(spark, sf_dir))
 
 
 @query("a23_control_coverage", f"WITH {COV_SQL} SELECT control_id, family, covered, fraction, array_to_string(missing, ',') AS missing FROM cc")
