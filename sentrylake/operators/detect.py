@@ -94,8 +94,8 @@ def ewma_baseline(buckets: DataFrame, alpha: float = 0.05, streams: Sequence[str
     def fold():
         state = {"seen": 0, "mean": np.zeros(len(streams)), "var": np.ones(len(streams))}
 
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
-            xs, n = rows[list(streams)].to_numpy(np.float64), len(rows)
+        def step(rows: dict[str, list]) -> dict[str, list]:
+            xs, n = np.array([rows[s] for s in streams], np.float64).T, len(rows["minute"])
             out = np.empty((n, 2 * len(streams)))
             seen, mean, var = state["seen"], state["mean"], state["var"]
             for i in range(n):
@@ -106,11 +106,7 @@ def ewma_baseline(buckets: DataFrame, alpha: float = 0.05, streams: Sequence[str
                     delta = xs[i] - mean
                     mean, var = mean + alpha * delta, (1 - alpha) * (var + alpha * delta * delta)
             state.update(seen=seen + n, mean=mean, var=var)
-            found = pd.DataFrame(out, columns=values)
-            found.insert(0, "seen", np.arange(seen, seen + n))
-            found.insert(0, "minute", rows["minute"].to_numpy())
-            found.insert(0, "host", rows["host"].to_numpy())
-            return found
+            return {"host": rows["host"], "minute": rows["minute"], "seen": range(seen, seen + n)} | dict(zip(values, out.T.tolist()))
 
         return step
 

@@ -170,14 +170,14 @@ def rate_limited(alerts: DataFrame, per_minute: int, key: str, min_severity: str
     def fold():
         admit, lost = admissions(per_minute), 0
 
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
+        def step(rows: dict[str, list]) -> dict[str, list]:
             nonlocal lost
             taken, dropped = [], []
-            for t in rows["ts"].tolist():
+            for t in rows["ts"]:
                 taken.append(admit(t))
                 lost += not taken[-1]
                 dropped.append(lost)
-            return pd.DataFrame({"key": rows["key"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "admitted": taken, "dropped": dropped})
+            return {"key": rows["key"], "event_id": rows["event_id"], "admitted": taken, "dropped": dropped}
 
         return step
 

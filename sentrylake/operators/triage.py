@@ -295,15 +295,14 @@ def append_custody(entries: DataFrame) -> DataFrame:
     def fold():
         state = {"seq": 0, "hash": ""}
 
-        def step(rows: pd.DataFrame) -> pd.DataFrame:
+        def step(rows: dict[str, list]) -> dict[str, list]:
             first, before, after = state["seq"] + 1, [], []
             for seq, text in enumerate(rows["told"], first):
                 before.append(state["hash"])
                 state.update(seq=seq, hash=hashlib.sha256(f"{seq}|{text}|{state['hash']}".encode()).hexdigest())
                 after.append(state["hash"])
-            out = rows.drop(columns="told").assign(prev_hash=before, entry_hash=after)
-            out.insert(1, "seq", range(first, first + len(rows)))
-            return out
+            seqs = range(first, first + len(after))
+            return {"case_id": rows["case_id"], "seq": seqs} | {c: rows[c] for c in ("ts", "action", "actor", "detail")} | {"prev_hash": before, "entry_hash": after}
 
         return step
 
