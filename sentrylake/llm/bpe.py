@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,20 +105,37 @@ def pieces(text: str, pattern: str, chunk: int = CHUNK_CHARS, overlap: int = OVE
     return [text[a:b] for a, b in zip(starts, [*starts[1:], n]) if a < b]
 
 
+def _binary(data: bytearray, ends: list[int]) -> pa.Array:
+    """The values between ``ends`` (from 0 on) of what was joined, without a copy."""
+    import numpy as np
+
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.asarray(ends, np.int32)), pa.py_buffer(data)])
+
+
 def _encode_column(path: str, pattern: str, decoded: bool, chunk: int, overlap: int):
-    """A column of structs: the ids of a text and, if asked for, the bytes that they decode to."""
+    """A column of structs: the ids of a text and, if asked for, the bytes that they decode to.
 
-    @F.pandas_udf("ids binary, decoded binary" if decoded else "ids binary")
-    def encode_texts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    A batch's results are joined in one buffer each, so a worker holds them once.
+    """
+
+    def encoded(texts: pa.Array) -> pa.Array:
         encoder = _encoder(path, pattern)
-        for texts in batches:
-            out: dict[str, list] = {"ids": [], "decoded": []} if decoded else {"ids": []}
-            for text in texts:
-                parts = [encoder.encode_ordinary(p) for p in pieces(text, pattern, chunk, overlap)]
-                out["ids"].append(b"".join(map(_pack, parts)))
+        ids, id_ends, raw, raw_ends = bytearray(), [0], bytearray(), [0]
+        for text in texts:
+            for piece in pieces(text.as_py(), pattern, chunk, overlap):
+                part = encoder.encode_ordinary(piece)
+                ids += _pack(part)
                 if decoded:
-                    out["decoded"].append(b"".join(map(encoder.decode_bytes, parts)))
-            yield pd.DataFrame(out, dtype=object)
+                    raw += encoder.decode_bytes(part)
+            id_ends.append(len(ids))
+            raw_ends.append(len(raw))
+        fields = {"ids": _binary(ids, id_ends)} | ({"decoded": _binary(raw, raw_ends)} if decoded else {})
+        return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
+
+    @F.arrow_udf("ids binary, decoded binary" if decoded else "ids binary")
+    def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield encoded(texts)
 
     return encode_texts
 

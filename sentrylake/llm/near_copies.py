@@ -1,7 +1,10 @@
 """Near copies by exact resemblance: pairs of texts that share most of their shingles.
 
 The resemblance of two texts is the Jaccard index of their sets of shingles.
-Candidates come from MinHash: ``BANDS`` bands of ``ROWS`` minima each, and texts
+Candidates come from the SimHash operator: links of fingerprints within its radius,
+found by BK-trees over shards.  Texts that resemble may differ in more bits than a tree
+can be searched for (at 0.8 about 13 of 64), so there are candidates by MinHash too:
+``BANDS`` bands of ``ROWS`` minima each, and texts
 that agree in all minima of a band meet in its bucket.  A pair of resemblance s
 shares no bucket with probability ``(1 - s^ROWS)^BANDS``: 5e-8 at 0.8, less above.
 Every candidate is then compared by the shingles themselves, so what is linked
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.checkpoints import checkpointed
 from ..functions.components import connected_components
 from .common import LOWER, UPPER
+from .simhash import RADIUS, links, majority
 
 WIDTH = 5
 RESEMBLANCE = 0.8
@@ -30,8 +34,8 @@ SEED = 42
 BANDS, ROWS = 32, 4
 
 
-def _shingle_hashes(text: str | None, width: int, seed: int):
-    """The different XXH64 of a text's shingles in ascending order, as numpy uint64."""
+def _all_hashes(text: str | None, width: int, seed: int):
+    """The XXH64 of a text's shingles, repeats included, as numpy uint64."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
@@ -45,8 +49,14 @@ def _shingle_hashes(text: str | None, width: int, seed: int):
         at += len(w) + 1
         ends.append(at)
     last = ends[width - 1 :] or ends[-1:]
-    hashes = [xxh64_intdigest(line[a:b], seed) for a, b in zip([0, *(e + 1 for e in ends)], last)]
-    return np.unique(np.array(hashes, dtype=np.uint64))
+    return np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip([0, *(e + 1 for e in ends)], last)], dtype=np.uint64)
+
+
+def _shingle_hashes(text: str | None, width: int, seed: int):
+    """The different ones of ``_all_hashes`` in ascending order."""
+    import numpy as np
+
+    return np.unique(_all_hashes(text, width, seed))
 
 
 def shingle_set(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
@@ -65,9 +75,9 @@ def shingle_set(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
 
 
 def signature(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
-    """Struct (sk, bands): a hash of the set of shingles, and one of the minima of each band."""
+    """Struct (sk, fp, bands): a hash of the set of shingles, their SimHash, and a hash of the minima of each band."""
 
-    @F.pandas_udf("sk long, bands array<long>")
+    @F.pandas_udf("sk long, fp long, bands array<long>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import numpy as np
         from xxhash import xxh64_intdigest
@@ -77,9 +87,11 @@ def signature(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
         odd |= np.uint64(1)
         signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
         for texts in batches:
-            keys, bands = [], []
+            keys, fps, bands = [], [], []
             for text in texts:
-                hashes = _shingle_hashes(text, width, seed)
+                hashes = _all_hashes(text, width, seed)
+                fps.append(majority(hashes))
+                hashes = np.unique(hashes)
                 least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
                 for i in range(0, len(hashes), 512):
                     part = hashes[i : i + 512, None] * odd
@@ -88,7 +100,7 @@ def signature(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
                 keys.append(signed(xxh64_intdigest(hashes.tobytes(), seed)))
                 rows = least.reshape(BANDS, ROWS)
                 bands.append([signed(xxh64_intdigest(rows[b].tobytes(), b)) for b in range(BANDS)])
-            yield pd.DataFrame({"sk": pd.Series(keys, dtype="int64"), "bands": pd.Series(bands, dtype=object)})
+            yield pd.DataFrame({"sk": pd.Series(keys, dtype="int64"), "fp": pd.Series(fps, dtype="int64"), "bands": pd.Series(bands, dtype=object)})
 
     return of(text)
 
@@ -130,6 +142,18 @@ def bucket_members(texts: DataFrame) -> DataFrame:
     return keyed.join(chosen, ["band", "value"], "left_semi")
 
 
+def simhash_members(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(band, value, sk): a bucket of two for each candidate by SimHash.  texts: (sk, fp), each sk once.
+
+    A text meets the least one of its fingerprint, and the least ones of two linked fingerprints meet.
+    """
+    heads = checkpointed(texts.groupBy("fp").agg(F.min("sk").alias("head")))
+    same = texts.join(heads, "fp").where("sk <> head").select(F.col("head").alias("a"), F.col("sk").alias("b"))
+    near = links(heads.select("fp"), radius).join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
+    pairs = same.unionByName(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return pairs.select(F.lit(BANDS).alias("band"), F.xxhash64("a", "b").alias("value"), F.explode(F.array("a", "b")).alias("sk"))
+
+
 def forests(members: DataFrame, sets: DataFrame, at_least: float = RESEMBLANCE) -> DataFrame:
     """(src, dst) of each bucket's forest.  members: (band, value, sk), sets: (sk, shingles), each sk once."""
 
@@ -161,9 +185,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id is kept as one; an empty table gives an empty table.
     """
     signed = signature(F.col(text_col), width, seed)
-    marked = checkpointed(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), signed.alias("s")).select("id", "tk", "s.sk", "s.bands"))
-    one = checkpointed(marked.groupBy("sk").agg(F.first("bands").alias("bands"), F.min("tk").alias("tk")))
-    members = checkpointed(bucket_members(one.select("sk", "bands")))
+    marked = checkpointed(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tk"), signed.alias("s")).select("id", "tk", "s.sk", "s.fp", "s.bands"))
+    one = checkpointed(marked.groupBy("sk").agg(F.first("bands").alias("bands"), F.min("fp").alias("fp"), F.min("tk").alias("tk")))
+    members = checkpointed(simhash_members(one.select("sk", "fp")).unionByName(bucket_members(one.select("sk", "bands"))))
     # shingles are made again for the texts that met another: one text for each set
     needed = one.select("sk", "tk").join(members.select("sk").distinct(), "sk", "left_semi")
     texts = docs.select(F.xxhash64(text_col).alias("tk"), F.col(text_col).alias("text")).join(needed, "tk").dropDuplicates(["sk"])

@@ -34,6 +34,18 @@ BLOCKS, FINE_BLOCKS = 5, 8
 HOT_SHARD = 2_000
 
 
+def majority(hashes) -> int:
+    """The signed number whose bits are those set in more than half of ``hashes`` (numpy uint64); 0 without any."""
+    import numpy as np
+
+    weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = hashes[i : i + 4096].astype(">u8")
+        total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(weights[total * 2 > len(hashes)].sum(dtype=np.uint64).astype(np.int64))
+
+
 def fingerprints(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
     """SimHash of a text as a long: bit b is 1 if it is set in more than half of the shingles' XXH64.
 
@@ -47,7 +59,6 @@ def fingerprints(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
         from xxhash import xxh64_intdigest
 
         lower = bytes.maketrans(UPPER.encode(), LOWER.encode())
-        weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
         for texts in batches:
             out = []
             for text in texts:
@@ -62,12 +73,7 @@ def fingerprints(text: Column, width: int = WIDTH, seed: int = SEED) -> Column:
                     ends.append(at)
                 starts = [0, *(e + 1 for e in ends)]
                 last = ends[width - 1 :] or ends[-1:]
-                hashes = np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, last)], dtype=">u8")
-                total = np.zeros(64, np.int64)
-                for i in range(0, len(hashes), 4096):
-                    part = hashes[i : i + 4096]
-                    total += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1).sum(axis=0, dtype=np.int64)
-                out.append(int(weights[total * 2 > len(hashes)].sum(dtype=np.uint64).astype(np.int64)))
+                out.append(majority(np.array([xxh64_intdigest(line[a:b], seed) for a, b in zip(starts, last)], dtype=np.uint64)))
             yield pd.Series(out, index=texts.index, dtype="int64")
 
     return of(text)
