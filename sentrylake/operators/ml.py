@@ -203,13 +203,15 @@ def average_parameters(parameters: DataFrame) -> DataFrame:
     return rows.groupBy("category", "name", "position").agg(F.avg("v").alias("value"))
 
 
-def _mean_vectors(rows: DataFrame, key: str, x: Column, name: str) -> DataFrame:
-    """(key, name): the mean of arrays by key, as whole vectors that are summed in each task first."""
+def _mean_vectors(rows: DataFrame, key: str, x: Column, name: str, times: str | None = None) -> DataFrame:
+    """(key, name): the mean of arrays by key, as whole vectors that are summed in each task first; with ``times`` (a column) weighted, and n, the sum of weights, behind it."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    means = rows.select(key, array_to_vector(x).alias("v")).groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m"))
-    return means.select(key, vector_to_array("m").alias(name))
+    rows = rows.select(key, array_to_vector(x).alias("v"), *([times] if times else []))
+    if times is None:
+        return rows.groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m")).select(key, vector_to_array("m").alias(name))
+    return rows.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col(times)).alias("m"), F.sum(times).alias("n")).select(key, vector_to_array("m").alias(name), "n")
 
 
 def neighbor_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -239,20 +241,22 @@ def fit_token_embeddings(docs: DataFrame, tokens_col: str = "tokens", size: int
 def embed_documents(docs: DataFrame, vectors: DataFrame, size: int, id_col: str = "node", tokens_col: str = "tokens", positional: bool = True) -> DataFrame:
     """(id, x): the mean over known words of their vector and, if asked for, the sine and cosine of their place among known words.
 
-    Words are joined to the vectors; places are counted in a window over each
-    document.  A document without a known word gets zeros.
+    Places are 0, 1, .. whatever the words are, so their waves are a sum that the
+    number of known words gives; the words themselves count once for each
+    document with their number of times.  A document without a known word gets zeros.
     """
-    words = docs.select(id_col, F.posexplode(tokens_col).alias("p", "word")).join(vectors, "word")
-    place = F.row_number().over(Window.partitionBy(id_col).orderBy("p")) - 1
-    placed = words.withColumn("place", place).select(id_col, "vector", "place")
-
-    def waved(v: Column, i: Column) -> Column:
-        angle = F.col("place") * F.exp(-(i - i % 2) * F.lit(1.0) * F.log(F.lit(10000.0)) / size)
-        return v + F.when(i % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))
-
-    vector = F.transform("vector", waved) if positional else F.col("vector")
-    means = _mean_vectors(placed, id_col, vector, "x")
-    return docs.select(id_col).join(means, id_col, "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), size)))
+    times = docs.select(id_col, F.explode(tokens_col).alias("word")).groupBy(id_col, "word").agg(F.count("*").cast("double").alias("times"))
+    sums = _mean_vectors(times.join(vectors, "word"), id_col, F.col("vector"), "x", "times")
+    if positional:
+        sums = sums.withColumn("x", F.transform("x", lambda v, i: v + _wave_sum(F.col("n"), i, size) / F.col("n")))
+    return docs.select(id_col).join(sums.drop("n"), id_col, "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), size)))
+
+
+def _wave_sum(n: Column, i: Column, size: int) -> Column:
+    """The sum over places 0 to n - 1 of the sine (even i) or cosine (odd i) of the place times i's frequency."""
+    half = F.exp(-(i - i % 2) * F.lit(1.0) * F.log(F.lit(10000.0)) / size) / 2
+    middle = (n - 1) * half
+    return F.sin(n * half) / F.sin(half) * F.when(i % 2 == 0, F.sin(middle)).otherwise(F.cos(middle))
 
 
 def reconstruction_error(rows: DataFrame, bottleneck: int = 2) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import stored
 from ..operators import attribution, influence, ml, representatives, traces
 from ..sources.standins import SEC_SQL, security_events, table
 from .registry import query
@@ -333,7 +334,8 @@ def reconstruction_error(spark, sf_dir):
 
 @query("m05_m06_embed_documents")
 def embed_documents(spark, sf_dir):
-    docs = traces.node_documents(trace(spark, sf_dir))
+    # counted, trained on and embedded: made once
+    docs = stored(traces.node_documents(trace(spark, sf_dir)).select("node", "tokens"))
     return ml.embed_documents(docs, ml.fit_token_embeddings(docs, size=8), 8)
 
 
