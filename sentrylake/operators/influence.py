@@ -16,8 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.checkpoints import checkpointed
 
@@ -133,23 +135,40 @@ def influence_scores(train: DataFrame, test: DataFrame, reg: float = 1e-2) -> Da
     n_models, n_nodes = models.count(), test.count()
     blocks, chunks = -(-n_models // BLOCK), max(1, -(-n_nodes // CHUNK))
     classes = train.agg(F.max("label")).first()[0] + 1
-    dealt = models.withColumn("block", F.pmod(F.xxhash64("omitted"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("omitted", "theta")).alias("models"))
-    nodes = test.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int")).groupBy("chunk").agg(F.collect_list(F.struct("node", F.col("entity").cast("string").alias("entity"), "x")).alias("nodes"))
+    dealt = models.withColumn("block", F.pmod(F.xxhash64("omitted"), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list("omitted").alias("names"), F.flatten(F.collect_list("theta")).alias("thetas"))
+    # numbers of all nodes in one flat array; names of those only that are asked about
+    own = F.when(F.col("entity").isNotNull(), F.struct("node", F.col("entity").cast("string").alias("entity"), "x"))
+    nodes = test.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int")).groupBy("chunk").agg(F.flatten(F.collect_list("x")).alias("xs"), F.collect_list(own).alias("own"))
+    nodes = nodes.select("xs", F.transform("own", lambda r: r["node"]).alias("nodes"), F.transform("own", lambda r: r["entity"]).alias("entities"), F.flatten(F.transform("own", lambda r: r["x"])).alias("own_xs"))
     pairs = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
     node = test.schema["node"].dataType.simpleString()
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def confidence(x: np.ndarray, thetas: np.ndarray) -> np.ndarray:
+        top = np.sort(_probabilities(_with_one(x), thetas), axis=1)[:, -2:]
+        return (top[:, 1] - top[:, 0]) / top[:, 1]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for mine, theirs in zip(batch["nodes"], batch["models"]):
-                x1 = _with_one(np.array([r["x"] for r in mine], dtype=float))
-                asked = [i for i, r in enumerate(mine) if r["entity"] is not None]
-                for m in theirs:
-                    top = np.sort(_probabilities(x1, np.asarray(m["theta"]).reshape(classes, -1)), axis=1)[:, -2:]
-                    c = (top[:, 1] - top[:, 0]) / top[:, 1]
-                    ends = [(m["omitted"], None, None, float(c.min()), float(c.max()))]
-                    yield pd.DataFrame(ends + [(m["omitted"], mine[i]["node"], mine[i]["entity"], float(c[i]), float(c[i])) for i in asked], columns=["omitted", "node", "entity", "lo", "hi"], dtype=object)
-
-    raw = checkpointed(pairs.select("nodes", "models").mapInPandas(score, f"omitted string, node {node}, entity string, lo double, hi double"))
+            # a chunk at a time: what a task holds does not grow with the rows of a batch
+            for at in range(batch.num_rows):
+                names, thetas, xs, ids, entities, own_xs = (batch.column(c)[at].values for c in ("names", "thetas", "xs", "nodes", "entities", "own_xs"))
+                thetas = np.asarray(thetas).reshape(len(names), classes, -1)
+                size = thetas.shape[2] - 1
+                x, own_x = np.asarray(xs).reshape(-1, size), np.asarray(own_xs).reshape(-1, size)
+                last = pd.DataFrame({"node": ids.to_pylist(), "entity": entities.to_pylist()}).sort_values("node", kind="stable").drop_duplicates("entity", keep="last")
+                # of an entity's nodes in a chunk the last can count
+                kept = last.index.to_numpy()
+                out = {c: [] for c in ("omitted", "node", "entity", "lo", "hi")}
+                for name, theta in zip(names.to_pylist(), thetas):
+                    c = confidence(x, theta)
+                    mine = confidence(own_x[kept], theta).tolist()
+                    for k, v in zip(out, ([name] * (1 + len(mine)), [None, *last["node"]], [None, *last["entity"]], [float(c.min()), *mine], [float(c.max()), *mine])):
+                        out[k] += v
+                yield pa.RecordBatch.from_pydict(out, schema=made)
+
+    schema = f"omitted string, node {node}, entity string, lo double, hi double"
+    made = to_arrow_schema(test.sparkSession.createDataFrame([], schema).schema)
+    raw = checkpointed(pairs.select("names", "thetas", "xs", "nodes", "entities", "own_xs").mapInArrow(score, schema))
     span = raw.where("entity is null").groupBy("omitted").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
     last = raw.where("entity is not null").groupBy("omitted", "entity").agg(F.max_by("lo", "node").alias("c"))
     return last.join(span, "omitted").select("omitted", "entity", ((F.col("c") - F.col("least")) / F.col("most")).alias("score"))

@@ -24,3 +24,20 @@ def test_embedding_carries_no_vector_for_each_occurrence(spark):
         want = [np.mean([of[w][i] + (math.sin if i % 2 == 0 else math.cos)(p * math.exp(-(i - i % 2) * math.log(10000.0) / 3)) for p, w in enumerate(words)]) for i in range(3)]
         assert np.allclose(got[node], want, atol=1e-9)
     assert got[3] == got[4] == [0.0] * 3
+
+
+def test_influence_hands_flat_chunks_to_python(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"e{i % 3}", i % 3, [float(v) for v in rng.normal(i % 3, 1.0, 2)]) for i in range(90)]
+    train = spark.createDataFrame(rows, "entity string, label int, x array<double>")
+    asked = [(i, f"e{i // 4 % 2}" if i % 4 == 0 else None, rows[i][2]) for i in range(90)]
+    test = spark.createDataFrame(asked, "node long, entity string, x array<double>")
+    seen, before = [], influence.checkpointed
+    monkeypatch.setattr(influence, "checkpointed", lambda df: seen.append(plan(df)) or before(df))
+    whole = {(r["omitted"], r["entity"]): r["score"] for r in influence.influence_scores(train, test).collect()}
+    # objects for nodes were handed over a batch of chunks at a time
+    assert not any("MapInPandas" in p and "nodes" in p for p in seen)
+    monkeypatch.setattr(influence, "CHUNK", 7)
+    parts = {(r["omitted"], r["entity"]): r["score"] for r in influence.influence_scores(train, test).collect()}
+    assert whole.keys() == parts.keys() and len(whole) == 8
+    assert all(math.isclose(whole[k], parts[k], rel_tol=1e-6, abs_tol=1e-6) for k in whole)
