@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.checkpoints import checkpointed
+from ..functions.checkpoints import checkpointed, stored
 from ..functions.components import connected_components
 
 
@@ -64,21 +64,50 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v")))
 
 
+def _adjacent(edges: DataFrame, directed: bool = False) -> DataFrame:
+    """Edges as (u, v) on disk, one row for each; both ways are made as they are read."""
+    ends = stored(edges.select("src", "dst").where("src <> dst"))
+    return ends.select(F.col("src").alias("u"), F.col("dst").alias("v")) if directed else _both_ends(ends)
+
+
+def _both_ends(edges: DataFrame) -> DataFrame:
+    """Each edge and its reverse as (u, v), from one reading of the edges."""
+    ends = F.array(F.struct(F.col("src").alias("u"), F.col("dst").alias("v")), F.struct(F.col("dst").alias("u"), F.col("src").alias("v")))
+    return edges.select(F.explode(ends).alias("e")).select("e.*")
+
+
+#: Nodes that are broadcast to the edges rather than met by a shuffle of all edges.
+SENT_NODES = 100_000
+
+
+def _sent(nodes: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(nodes) if n <= SENT_NODES else nodes
+
+
+def _layers(adjacent: DataFrame, seeds: DataFrame, cutoff: int | None) -> DataFrame:
+    """(node, hops) over (u, v): the layers behind the seeds, up to ``cutoff`` or until nothing is added."""
+    seen = layer = checkpointed(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
+    total = n = layer.count()
+    k = 0
+    while n and k != cutoff:
+        k += 1
+        reached = adjacent.join(_sent(layer.select(F.col("node").alias("u")), n), "u", "left_semi").select(F.col("v").alias("node")).distinct()
+        layer = checkpointed(reached.join(_sent(seen.select("node"), total), "node", "left_anti").withColumn("hops", F.lit(k)))
+        n = layer.count()
+        total += n
+        if n:
+            seen = seen.unionByName(layer)
+    return seen
+
+
 def hop_distance(edges: DataFrame, seeds: DataFrame, cutoff: int, directed: bool = False) -> DataFrame:
     """(node, hops) of every node within ``cutoff`` hops of a seed (column node), the least number.
 
-    Only the newest layer is joined, and each layer is checkpointed; so are the
-    edges, which are made once for all hops.
+    Only the newest layer is joined, and each layer is checkpointed; the edges
+    are written once for all hops, and each hop reads them where they lie unless
+    a layer has over ``SENT_NODES`` nodes.
     """
-    adjacent = checkpointed((edges.select(F.col("src").alias("u"), F.col("dst").alias("v")) if directed else both_ways(edges)).where("u <> v").distinct())
-    seen = layer = checkpointed(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
-    for k in range(1, cutoff + 1):
-        reached = layer.join(adjacent, F.col("node") == F.col("u")).select(F.col("v").alias("node")).distinct()
-        layer = checkpointed(reached.join(seen, "node", "left_anti").withColumn("hops", F.lit(k)))
-        if layer.isEmpty():
-            break
-        seen = seen.unionByName(layer)
-    return seen
+    return _layers(_adjacent(edges, directed), seeds, cutoff)
 
 
 def subgraph(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -309,10 +338,11 @@ def rescale_edge_weights(edges: DataFrame, seeds: DataFrame, hops: int = 2, flag
 
 def relaxed_confusion(predicted: DataFrame, truth: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """Counts of node sets; a false positive near a truth is forgiven, a miss near a hit counts as found."""
-    edges = checkpointed(edges.select("src", "dst").distinct())
-    p, t = predicted.select("node").distinct(), truth.select("node").distinct()
-    hits = p.join(t, "node", "left_semi")
-    near_truth, near_hit = hop_distance(edges, t, hops).select("node"), hop_distance(edges, hits, hops).select("node")
+    # each is read by several counts, and the edges by both searches
+    adjacent = _adjacent(edges)
+    p, t = checkpointed(predicted.select("node").distinct()), checkpointed(truth.select("node").distinct())
+    hits = checkpointed(p.join(t, "node", "left_semi"))
+    near_truth, near_hit = _layers(adjacent, t, hops).select("node"), _layers(adjacent, hits, hops).select("node")
     fp = p.join(t, "node", "left_anti").join(near_truth, "node", "left_anti")
     missed = t.join(p, "node", "left_anti")
     found, fn = missed.join(near_hit, "node", "left_semi"), missed.join(near_hit, "node", "left_anti")
@@ -342,33 +372,27 @@ def prune_shared_periphery(g1: DataFrame, g2: DataFrame, target: str, max_rounds
     far as the target reaches, and the end is when nothing changes.
     """
     plain = lambda g: g.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
-    left, right = checkpointed(plain(g1)), checkpointed(plain(g2))
-    seed = g1.sparkSession.createDataFrame([(target,)], "node string")
-    sets = lambda g, name: both_ways(g).groupBy("u").agg(F.array_sort(F.collect_set("v")).alias(name))
+    # of a node's edges those that both graphs have go, whether that is all of them or not
+    both = plain(g1).join(plain(g2).withColumn("shared", F.lit(True)), ["src", "dst"], "left")
+    left = stored(both.select("src", "dst", F.coalesce("shared", F.lit(False)).alias("shared")))
+    reach = checkpointed(_layers(_both_ends(left), g1.sparkSession.createDataFrame([(target,)], "node string"), None))
     for _ in range(max_rounds):
-        reach = _reach(left, seed)
         outer = reach.agg(F.max("hops")).first()[0]
         if not outer:
             break
-        layer = reach.where(F.col("hops") == outer).select(F.col("node").alias("u"))
-        both = layer.join(sets(left, "a"), "u").join(sets(right, "b"), "u")
-        same = both.where("a = b").select("u")
-        shared = both.where("a <> b").select("u", F.explode(F.array_intersect("a", "b")).alias("v"))
-        gone = same.join(both_ways(left), "u").select("u", "v").unionByName(shared)
-        gone = checkpointed(gone.select(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct())
-        if gone.isEmpty():
+        layer = checkpointed(reach.where(F.col("hops") == outer).select("node"))
+        n = layer.count()
+        at = lambda end: _sent(layer.select(F.col("node").alias(end), F.lit(True).alias(f"at_{end}")), n)  # noqa: E731, B023
+        marked = left.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+        kept = stored(marked.where(~(F.col("shared") & (F.col("at_src").isNotNull() | F.col("at_dst").isNotNull()))).select("src", "dst", "shared"))
+        if kept.count() == left.count():
             break
-        left = checkpointed(left.join(gone, ["src", "dst"], "left_anti"))
+        left = kept
+        # no other node was reached through the outermost ones, so only they are sought again
+        inner = reach.where(F.col("hops") < outer)
+        around = stored(_both_ends(left).join(_sent(layer.select(F.col("node").alias("v")), n), "v", "left_semi"))
+        again = _layers(around, inner.where(F.col("hops") == outer - 1), None).where("hops > 0")
+        reach = checkpointed(inner.unionByName(again.withColumn("hops", F.col("hops") + F.lit(outer - 1))))
     else:
         raise RuntimeError(f"the periphery did not settle in {max_rounds} rounds")
-    return left
-
-
-def _reach(edges: DataFrame, seed: DataFrame) -> DataFrame:
-    """(node, hops) of everything that the seed reaches: the cutoff doubles until nothing is added."""
-    cutoff = 4
-    while True:
-        seen = hop_distance(edges, seed, cutoff)
-        if not seen.where(F.col("hops") == cutoff).limit(1).count():
-            return seen
-        cutoff *= 2
+    return left.select("src", "dst")

@@ -41,3 +41,31 @@ def test_influence_hands_flat_chunks_to_python(spark, monkeypatch):
     parts = {(r["omitted"], r["entity"]): r["score"] for r in influence.influence_scores(train, test).collect()}
     assert whole.keys() == parts.keys() and len(whole) == 8
     assert all(math.isclose(whole[k], parts[k], rel_tol=1e-6, abs_tol=1e-6) for k in whole)
+
+
+def _pruned(left, right, target):
+    """The layers in plain Python: a node's edges that both graphs have go, the outermost layer first."""
+    left, right = ({tuple(sorted(e)) for e in g if e[0] != e[1]} for g in (left, right))
+    while True:
+        hops, layer = {target: 0}, {target}
+        while layer:
+            layer = {b for e in left for a, b in (e, e[::-1]) if a in layer} - hops.keys()
+            hops |= {n: max(hops.values()) + 1 for n in layer}
+        outer = max(hops.values())
+        rim = {n for n, h in hops.items() if h == outer}
+        gone = {e for e in left & right if rim & set(e)} if outer else set()
+        if not gone:
+            return left
+        left = left - gone
+
+
+def test_periphery_is_not_sought_from_the_target_each_round(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rounds, before = [], graph._layers
+    monkeypatch.setattr(graph, "_layers", lambda adjacent, seeds, cutoff: rounds.append(seeds.count()) or before(adjacent, seeds, cutoff))
+    for trial in range(3):
+        left = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 24, (30, 2)).tolist()] + [(f"n{i}", f"n{i + 1}") for i in range(6)]
+        right = [e for e in left if rng.random() < 0.8]
+        got = graph.prune_shared_periphery(spark.createDataFrame(left, "src string, dst string"), spark.createDataFrame(right, "src string, dst string"), "n0").collect()
+        assert {tuple(r) for r in got} == _pruned(left, right, "n0")
+    assert max(rounds) > 1
