@@ -69,3 +69,12 @@ def test_periphery_is_not_sought_from_the_target_each_round(spark, monkeypatch):
         got = graph.prune_shared_periphery(spark.createDataFrame(left, "src string, dst string"), spark.createDataFrame(right, "src string, dst string"), "n0").collect()
         assert {tuple(r) for r in got} == _pruned(left, right, "n0")
     assert max(rounds) > 1
+
+
+def test_small_layers_do_not_shuffle_the_edges(spark, monkeypatch):
+    seen, before = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: seen.append(plan(df)) or before(df))
+    edges = spark.range(200).select((F.col("id") % 20).cast("string").alias("src"), (F.col("id") % 31).cast("string").alias("dst"))
+    hops = {r["node"]: r["hops"] for r in graph.hop_distance(edges, spark.createDataFrame([("3",)], "node string"), 3).collect()}
+    assert hops["3"] == 0 and len(hops) == 31
+    assert not any("SortMergeJoin" in p for p in seen)
