@@ -3,14 +3,17 @@
 An instance (a process that ran a program) is the bag of its edges' labels,
 hashed to a short vector.  All programs are clustered in the same Spark jobs:
 their centres are a table of k rows a program, points meet those of their
-program in groups of bounded size, each of which sends k sums, and the next
+program in rows of bounded size, each of which sends k sums, and the next
 centres are their means.  A program with very many instances is dealt to several
 such groups.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,6 +25,12 @@ DIM = 32
 SEED_POINTS = 16
 #: Instances of a program that meet its centres in one group.
 PART_ROWS = 50_000
+#: Programs whose centres are broadcast at most.
+SENT_PROGRAMS = 10_000
+
+
+def _sent(programs: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(programs) if n <= SENT_PROGRAMS else programs
 
 
 def instance_vectors(edges: DataFrame, program: str, instance: str, label: Column, dim: int = DIM) -> DataFrame:
@@ -61,11 +70,14 @@ def cluster_programs(points: DataFrame, k: int, rounds: int = 10, seed: int = 42
     """
     dim = F.size("x")
     counts = points.groupBy("program").agg(F.count("*").alias("n"))
-    parts = counts.select("program", F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
-    placed = checkpointed(points.join(parts, "program").withColumn("part", F.pmod(F.xxhash64("instance"), F.col("parts")).cast("int")))
-    parts = checkpointed(parts)
+    parts = checkpointed(counts.select("program", F.ceil(F.col("n") / part_rows).cast("int").alias("parts")))
+    programs = parts.count()
+    placed = points.join(_sent(parts, programs), "program").withColumn("part", F.pmod(F.xxhash64("instance"), F.col("parts")).cast("int"))
+    # a part is one row of flat numbers, made once; a round brings the centres to it
+    packed = placed.groupBy("program", "part").agg(F.collect_list(F.struct("instance", "x")).alias("p"))
+    packed = checkpointed(packed.select("program", F.transform("p", lambda r: r["instance"]).alias("instances"), F.flatten(F.transform("p", lambda r: r["x"])).alias("xs")))
     order = Window.partitionBy("program").orderBy("h", "instance")
-    drawn = placed.select("program", "instance", "x", F.xxhash64("instance", F.lit(seed)).alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k * seed_points)
+    drawn = points.select("program", "instance", "x", F.xxhash64("instance", F.lit(seed)).alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k * seed_points)
 
     def begin(group: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
@@ -79,38 +91,40 @@ def cluster_programs(points: DataFrame, k: int, rounds: int = 10, seed: int = 42
     centres = checkpointed(drawn.groupBy("program").applyInPandas(begin, f"program {kinds['program']}, cluster int, c array<double>"))
     n_dim = points.select(dim).first()
     if n_dim is None:
-        return placed.select("program", "instance", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
+        return points.select("program", "instance", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance"))
 
-    def beside(table: DataFrame):
-        """Centres (k rows a program at most), once for each part of the program's points."""
-        dealt = table.join(parts, "program").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        return dealt.select("program", "part", "cluster", "c").groupBy("program", "part")
+    def beside(table: DataFrame) -> DataFrame:
+        """Each part with its program's centres (k at most)."""
+        centres = table.groupBy("program").agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("cs"))
+        centres = centres.select("program", F.transform("cs", lambda r: r["cluster"]).alias("clusters"), F.flatten(F.transform("cs", lambda r: r["c"])).alias("centres"))
+        return packed.join(_sent(centres, programs), "program")
 
-    def nearest(mine: pd.DataFrame, centres: pd.DataFrame):
+    def nearest(batch: pa.RecordBatch, i: int):
         import numpy as np
 
-        centres = centres.sort_values("cluster")
-        x, c = np.stack(mine["x"].to_numpy()), np.stack(centres["c"].to_numpy())
+        x, c = (np.asarray(batch.column(name)[i].values).reshape(-1, n_dim[0]) for name in ("xs", "centres"))
         gaps = np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1)
-        return x, centres["cluster"].to_numpy()[gaps.argmin(axis=1)], gaps.min(axis=1)
-
-    def sums(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return pd.DataFrame({"program": [], "cluster": [], "n": [], "s": []})
-        x, at, _ = nearest(mine, centres)
-        there = sorted(set(at.tolist()))
-        return pd.DataFrame({"program": mine["program"].iloc[0], "cluster": there, "n": [int((at == c).sum()) for c in there], "s": [x[at == c].sum(axis=0) for c in there]})
-
-    def settled(mine: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return pd.DataFrame({"program": [], "instance": [], "cluster": [], "distance": []})
-        _, at, gap = nearest(mine, centres)
-        return pd.DataFrame({"program": mine["program"], "instance": mine["instance"], "cluster": at, "distance": gap**0.5})
-
-    by_part = placed.select("program", "part", "instance", "x").groupBy("program", "part")
+        return x, np.asarray(batch.column("clusters")[i].values)[gaps.argmin(axis=1)], gaps.min(axis=1)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, at, _ = nearest(batch, i)
+                there = sorted(set(at.tolist()))
+                program = batch.column("program").take(pa.array([i] * len(there)))
+                n, s = [int((at == c).sum()) for c in there], [x[at == c].sum(axis=0).tolist() for c in there]
+                yield pa.RecordBatch.from_arrays([program, pa.array(there, pa.int32()), pa.array(n, pa.int64()), pa.array(s, pa.list_(pa.float64()))], ["program", "cluster", "n", "s"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, at, gap = nearest(batch, i)
+                program = batch.column("program").take(pa.array([i] * len(at)))
+                yield pa.RecordBatch.from_arrays([program, batch.column("instances")[i].values, pa.array(at, pa.int32()), pa.array(gap**0.5)], ["program", "instance", "cluster", "distance"])
+
     for _ in range(rounds):
         # a part of a program sends k sums
-        partial = by_part.cogroup(beside(centres)).applyInPandas(sums, f"program {kinds['program']}, cluster int, n long, s array<double>")
+        partial = beside(centres).select("program", "xs", "clusters", "centres").mapInArrow(sums, f"program {kinds['program']}, cluster int, n long, s array<double>")
         # rounded, as the order of sums differs from run to run
         means = F.array(*(F.round(F.sum(F.col("s")[i]) / F.sum("n"), 9) for i in range(n_dim[0]))).alias("mean")
         moved = partial.groupBy("program", "cluster").agg(means)
@@ -118,7 +132,7 @@ def cluster_programs(points: DataFrame, k: int, rounds: int = 10, seed: int = 42
         centres = following.drop("gap")
         if following.where("gap > 1e-18").isEmpty():
             break
-    return by_part.cogroup(beside(centres)).applyInPandas(settled, f"program {kinds['program']}, instance {kinds['instance']}, cluster int, distance double")
+    return beside(centres).mapInArrow(settled, f"program {kinds['program']}, instance {kinds['instance']}, cluster int, distance double")
 
 
 def representative_actors(edges: DataFrame, program: str, instance: str, label: Column, k: int = 10, rounds: int = 10, dim: int = DIM, seed: int = 42) -> DataFrame:
@@ -129,9 +143,10 @@ def representative_actors(edges: DataFrame, program: str, instance: str, label:
     driver; an empty table gives an empty table.
     """
     points = checkpointed(instance_vectors(edges, program, instance, label, dim))
-    n = points.groupBy("program").agg(F.count("*").alias("n"))
-    many = n.where(F.col("n") > k)
-    few = points.join(n.where(F.col("n") <= k), "program").select("program", "instance", (F.row_number().over(Window.partitionBy("program").orderBy("instance")) - 1).alias("cluster"), F.lit(1).cast("long").alias("members"))
+    n = checkpointed(points.groupBy("program").agg(F.count("*").alias("n")))
+    programs = n.count()
+    many = _sent(n.where(F.col("n") > k), programs)
+    few = points.join(_sent(n.where(F.col("n") <= k), programs), "program").select("program", "instance", (F.row_number().over(Window.partitionBy("program").orderBy("instance")) - 1).alias("cluster"), F.lit(1).cast("long").alias("members"))
     found = cluster_programs(points.join(many, "program", "left_semi"), k, rounds, seed)
     medoids = found.groupBy("program", "cluster").agg(F.min(F.struct("distance", "instance")).alias("m"), F.count("*").alias("members"))
     return few.unionByName(medoids.select("program", F.col("m.instance").alias("instance"), "cluster", "members"))

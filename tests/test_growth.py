@@ -1,11 +1,14 @@
 """What a query moves, sends and holds grows no faster than its input."""
 
 import math
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentrylake.operators import graph, influence, ml
+from sentrylake.operators import attribution, graph, influence, ml, representatives
+from sentrylake.plans import file_queries
+from sentrylake.sources import files
 
 
 def plan(df):
@@ -78,3 +81,19 @@ def test_small_layers_do_not_shuffle_the_edges(spark, monkeypatch):
     hops = {r["node"]: r["hops"] for r in graph.hop_distance(edges, spark.createDataFrame([("3",)], "node string"), 3).collect()}
     assert hops["3"] == 0 and len(hops) == 31
     assert not any("SortMergeJoin" in p for p in seen)
+
+
+def test_rounds_of_clusters_do_not_move_the_points(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i % 3, i, [float(v) for v in rng.normal(i % 2, 0.1, 4)]) for i in range(600)]
+    points = spark.createDataFrame(rows, "program int, instance long, x array<double>")
+    seen, before = [], representatives.checkpointed
+    monkeypatch.setattr(representatives, "checkpointed", lambda df: seen.append(df) or before(df))
+    out = representatives.cluster_programs(points, 2, rounds=3, part_rows=50)
+    assert out.count() == 600
+    # the centres are sent to the points, which were dealt once
+    assert "CoGroup" not in plan(out) and "SortMergeJoin" not in plan(out)
+    by_cluster = {}
+    for r in out.collect():
+        by_cluster.setdefault((r["program"], r["cluster"]), set()).add(r["instance"] % 2)
+    assert all(len(v) == 1 for v in by_cluster.values()) and len(by_cluster) == 6
