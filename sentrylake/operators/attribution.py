@@ -100,10 +100,15 @@ def leave_one_out_scores(train: DataFrame, test: DataFrame, candidates: Sequence
     A node's confidence is (p1 - p2) / p1, less the least of all nodes, over the
     greatest; of an entity's nodes the last counts.
     """
-    stats = checkpointed(_statistics(train))
-    sums = stats.groupBy("label", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
+    stats = checkpointed(_statistics(train).withColumn("shard", F.lit(0)))
+    return _left_out(stats, test, candidates, block, smoothing).select("omitted", "entity", "score")
+
+
+def _left_out(stats: DataFrame, test: DataFrame, candidates: Sequence[str] | None, block: int, smoothing: float) -> DataFrame:
+    """(shard, omitted, entity, score): the models of all shards, ``block`` of them in one pass over the test nodes."""
+    sums = stats.groupBy("shard", "label", "i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()
     labels, size = sorted({r["label"] for r in sums}), 1 + max((r["i"] for r in sums), default=-1)
-    place = {label: k for k, label in enumerate(labels)}
+    place, shards = {label: k for k, label in enumerate(labels)}, sorted({r["shard"] for r in sums})
 
     def arrays(rows, shape):
         n, s, q = np.zeros(shape[:-1]), np.zeros(shape), np.zeros(shape)
@@ -111,53 +116,60 @@ def leave_one_out_scores(train: DataFrame, test: DataFrame, candidates: Sequence
             n[at], s[(*at, r["i"])], q[(*at, r["i"])] = r["n"], r["s"], r["q"]
         return n, s, q
 
-    whole = arrays((((place[r["label"]],), r) for r in sums), (len(labels), size))
-    names = stats.select("entity").distinct().orderBy("entity") if candidates is None else None
-    names = list(candidates) if names is None else [r["entity"] for r in names.collect()]
+    of = {shard: k for k, shard in enumerate(shards)}
+    whole = arrays((((of[r["shard"]], place[r["label"]]), r) for r in sums), (len(shards), len(labels), size))
+    if candidates is None:
+        names = [(r["shard"], r["entity"]) for r in stats.select("shard", "entity").distinct().orderBy("shard", "entity").collect()]
+    else:
+        names = [(shard, name) for shard in shards for name in candidates]
     found = None
-    blocks = [["zeroth", *names[:block]], *(names[i : i + block] for i in range(block, len(names), block))]
+    base = [(shard, "zeroth") for shard in shards]
+    blocks = [base + names[:block], *(names[i : i + block] for i in range(block, len(names), block))]
     for wanted in blocks:
         at = {name: k for k, name in enumerate(wanted)}
-        own = stats.where(F.col("entity").isin(wanted)).collect()
-        gone = arrays((((at[r["entity"]], place[r["label"]]), r) for r in own if r["entity"] != "zeroth"), (len(wanted), len(labels), size))
-        part = _scored(test, wanted, _models(*(w - g for w, g in zip(whole, gone)), smoothing))
+        own = stats.where(F.col("entity").isin(sorted({name for _, name in wanted if name is not None}))).collect()
+        gone = arrays((((at[r["shard"], r["entity"]], place[r["label"]]), r) for r in own if r["entity"] != "zeroth" and (r["shard"], r["entity"]) in at), (len(wanted), len(labels), size))
+        mine = [of[shard] for shard, _ in wanted]
+        part = _scored(test, wanted, _models(*(w[mine] - g for w, g in zip(whole, gone)), smoothing))
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def _scored(test: DataFrame, names: list[str], models) -> DataFrame:
+def _scored(test: DataFrame, names: list[tuple[int, str]], models) -> DataFrame:
     shared = test.sparkSession.sparkContext.broadcast((names, models))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, models = shared.value
+        shards, omitted = [n[0] for n in names], [n[1] for n in names]
         for batch in batches:
             if not len(batch):
                 continue
             c = margins(np.stack(batch["x"].to_numpy()).astype(np.float64), *models)
-            asked = batch["entity"].notna().to_numpy()
-            ends = pd.DataFrame({"omitted": names, "node": None, "entity": None, "lo": c.min(axis=0), "hi": c.max(axis=0)})
-            own = pd.DataFrame({"omitted": np.tile(names, asked.sum()), "node": np.repeat(batch["node"][asked].to_numpy(), len(names)), "entity": np.repeat(batch["entity"][asked].to_numpy(), len(names)), "lo": c[asked].ravel(), "hi": c[asked].ravel()})
+            # of an entity's nodes in a batch the last can count
+            last = batch[["node", "entity"]].reset_index(drop=True).dropna(subset="entity").sort_values("node", kind="stable").drop_duplicates("entity", keep="last")
+            own_c = c[last.index.to_numpy()].ravel()
+            ends = pd.DataFrame({"shard": shards, "omitted": omitted, "node": None, "entity": None, "lo": c.min(axis=0), "hi": c.max(axis=0)})
+            own = pd.DataFrame({"shard": np.tile(shards, len(last)), "omitted": omitted * len(last), "node": np.repeat(last["node"].to_numpy(), len(names)), "entity": np.repeat(last["entity"].to_numpy(), len(names)), "lo": own_c, "hi": own_c})
             yield pd.concat([ends, own]) if len(own) else ends
 
     node = test.schema["node"].dataType.simpleString()
-    raw = checkpointed(test.mapInPandas(score, f"omitted string, node {node}, entity string, lo double, hi double"))
-    span = raw.where("entity is null").groupBy("omitted").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
-    last = raw.where("entity is not null").groupBy("omitted", "entity").agg(F.max_by("lo", "node").alias("c"))
-    return last.join(F.broadcast(span), "omitted").select("omitted", "entity", ((F.col("c") - F.col("least")) / F.col("most")).alias("score"))
+    raw = checkpointed(test.mapInPandas(score, f"shard int, omitted string, node {node}, entity string, lo double, hi double"))
+    span = raw.where("entity is null").groupBy("shard", "omitted").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    last = raw.where("entity is not null").groupBy("shard", "omitted", "entity").agg(F.max_by("lo", "node").alias("c"))
+    return last.join(F.broadcast(span), ["shard", "omitted"]).select("shard", "omitted", "entity", ((F.col("c") - F.col("least")) / F.col("most")).alias("score"))
 
 
 def sharded_leave_one_out(train: DataFrame, test: DataFrame, shards: int, min_entities: int = 2, block: int = BLOCK) -> DataFrame:
-    """(shard, omitted, entity, score): M11 inside each of ``shards`` parts of the entities, even by rows; parts of fewer entities are left out."""
-    dealt = checkpointed(balanced_shards(train, "entity", shards))
-    sizes = {r["shard"]: r["n"] for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    found = None
-    for shard in sorted(k for k, n in sizes.items() if n >= min_entities):
-        own = train.join(dealt.where(F.col("shard") == shard).select(F.col("value").alias("entity")), "entity", "left_semi")
-        part = leave_one_out_scores(own, test, block=block).withColumn("shard", F.lit(shard))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    """(shard, omitted, entity, score): M11 inside each of ``shards`` parts of the entities, even by rows; parts of fewer entities are left out.
+
+    The sums of an entity are made once and the test nodes read once for all parts.
+    """
+    dealt = balanced_shards(train, "entity", shards)
+    enough = dealt.groupBy("shard").agg(F.count("*").alias("entities")).where(F.col("entities") >= min_entities).select("shard")
+    dealt = checkpointed(dealt.join(F.broadcast(enough), "shard").select(F.col("value").alias("entity"), "shard"))
+    if dealt.isEmpty():
         return test.sparkSession.createDataFrame([], "shard int, omitted string, entity string, score double")
-    return found.select("shard", "omitted", "entity", "score")
+    return _left_out(checkpointed(_statistics(train).join(dealt, "entity")), test, None, block, 1e-6)
 
 
 def batch_embed(texts: DataFrame, encoder: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: str, id_col: str = "id", text_col: str = "text", batch: int = 64) -> DataFrame:

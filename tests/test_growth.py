@@ -97,3 +97,18 @@ def test_rounds_of_clusters_do_not_move_the_points(spark, monkeypatch):
     for r in out.collect():
         by_cluster.setdefault((r["program"], r["cluster"]), set()).add(r["instance"] % 2)
     assert all(len(v) == 1 for v in by_cluster.values()) and len(by_cluster) == 6
+
+
+def test_shards_share_one_pass_over_the_test_nodes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    train = spark.createDataFrame([(f"e{i % 8}", i % 3, [float(v) for v in rng.normal(i % 3, 1.0, 2)]) for i in range(240)], "entity string, label int, x array<double>")
+    test = spark.createDataFrame([(i, f"t{i % 2}" if i % 3 == 0 else None, [float(v) for v in rng.normal(1, 1.0, 2)]) for i in range(60)], "node long, entity string, x array<double>")
+    passes, before = [], attribution._scored
+    monkeypatch.setattr(attribution, "_scored", lambda *a: passes.append(1) or before(*a))
+    got = {(r["shard"], r["omitted"], r["entity"]): r["score"] for r in attribution.sharded_leave_one_out(train, test, 4).collect()}
+    assert len(passes) == 1 and len(got) == 4 * 3 * 2
+    of = {o: s for s, o, _ in got if o != "zeroth"}
+    for shard in range(4):
+        own = train.where(F.col("entity").isin([e for e, s in of.items() if s == shard]))
+        alone = {(shard, r["omitted"], r["entity"]): r["score"] for r in attribution.leave_one_out_scores(own, test).collect()}
+        assert all(math.isclose(got[k], v, rel_tol=1e-9) for k, v in alone.items()) and len(alone) == 6
