@@ -64,7 +64,7 @@ def read_cdm_events(spark, sf_dir):
         F.struct(F.struct("exec").alias("map")).alias("properties"), path.alias("predicateObjectPath"), F.when(F.col("pk") % 9 == 0, "FILE_OBJECT_DIR").alias("kind"),
     )
     doc = F.to_json(F.struct(F.struct(event.alias("com.bbn.tc.schema.avro.cdm20.Event")).alias("datum"), F.lit("u7").alias("userId")))
-    found = files.read_cdm_events(spark, _text(trace(spark, sf_dir).select(doc.alias("value")), "s03"))
+    found = files.read_cdm_events(spark, _text(trace(spark, sf_dir).select(doc.alias("value")), "s03", compression="gzip", maxRecordsPerFile=500_000))
     return found.select("actorID", "objectID", "action", "timestampNanos", "exec", F.try_element_at("properties", F.lit("objectpath")).alias("path"), "userid")
 
 

@@ -50,7 +50,8 @@ def read_cdm_events(spark: SparkSession, path: str, cdm: str = "20") -> DataFram
     uuid = f"['com.bbn.tc.schema.avro.cdm{cdm}.UUID']"
     get = lambda p: F.coalesce(F.try_variant_get("v", p, "string"), F.lit(""))
     path_ = F.try_variant_get("v", f"{event}.predicateObjectPath.string", "string")
-    return doc.join(users, "file").select(
+    # a row for each file, of which the driver has the names anyway
+    return doc.join(F.broadcast(users), "file").select(
         get(f"{event}.subject{uuid}").alias("actorID"), get(f"{event}.predicateObject{uuid}").alias("objectID"), get(f"{event}.type").alias("action"), get(f"{event}.timestampNanos").alias("timestampNanos"),
         get("$['@timestamp']").alias("timestamp"), get(f"{event}.properties.map.exec").alias("exec"), F.when(path_.isNotNull(), F.create_map(F.lit("objectpath"), path_)).alias("properties"),
         get(f"{event}.properties.map.cmdLine").alias("cmdline"), get("$.hostId").alias("hostid"), "username", "userid",

@@ -112,3 +112,16 @@ def test_shards_share_one_pass_over_the_test_nodes(spark, monkeypatch):
         own = train.where(F.col("entity").isin([e for e, s in of.items() if s == shard]))
         alone = {(shard, r["omitted"], r["entity"]): r["score"] for r in attribution.leave_one_out_scores(own, test).collect()}
         assert all(math.isclose(got[k], v, rel_tol=1e-9) for k, v in alone.items()) and len(alone) == 6
+
+
+def test_users_of_files_are_broadcast(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"datum":{"com.bbn.tc.schema.avro.cdm20.Event":{"type":"E"}},"userId":"u1"}\n')
+    out = files.read_cdm_events(spark, str(tmp_path))
+    assert "SortMergeJoin" not in plan(out) and [r["userid"] for r in out.collect()] == ["u1"]
+
+
+def test_written_provenance_is_compressed(spark, sf, monkeypatch):
+    kept = []
+    monkeypatch.setattr(file_queries.files, "read_cdm_events", lambda s, path: kept.append(path) or spark.range(0).selectExpr(*(f"'' as {c}" for c in ("actorID", "objectID", "action", "timestampNanos", "exec", "userid")), "map('a', 'b') as properties"))
+    file_queries.read_cdm_events(spark, sf)
+    assert all(f.endswith(".gz") for f in os.listdir(kept[0]) if f.startswith("part"))
