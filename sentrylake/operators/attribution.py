@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.checkpoints import checkpointed
-from .traces import balanced_shards, confidence
+from .traces import balanced_shards
 
 #: Candidates whose models are made at once; with the classes and features this bounds what a task is sent.
 BLOCK = 256
@@ -30,9 +30,12 @@ def predict_node_types(model, nodes: DataFrame) -> DataFrame:
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     rows = model.transform(nodes.select("node", "label", array_to_vector("x").alias("features")))
-    rows = checkpointed(rows.select("node", "label", F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("probabilities")))
-    sure = confidence(rows.select(F.col("node").alias("id"), "probabilities"))
-    return rows.drop("probabilities").join(sure, F.col("node") == F.col("id")).drop("id")
+    best = F.sort_array(vector_to_array("probability"), asc=False)
+    c = (F.get(best, F.lit(0)) - F.get(best, F.lit(1))) / F.get(best, F.lit(0))
+    rows = checkpointed(rows.select("node", "label", F.col("prediction").cast("int").alias("predicted"), c.alias("c")))
+    # W22 beside the rows, so that no node is joined to itself
+    span = rows.agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return rows.join(F.broadcast(span)).select("node", "label", "predicted", ((F.col("c") - F.col("lo")) / F.col("hi")).alias("confidence"))
 
 
 def node_anomalies(predictions: DataFrame, gate: float | None = None, only: int | None = None) -> DataFrame:
@@ -50,6 +53,7 @@ def staged_refinement(nodes: DataFrame, stages: int = 3, gate: float = 0.9) -> D
     (a confidence below the gate); the last ones are left out when nothing or one
     type only remains.
     """
+    nodes = checkpointed(nodes)
     left, flagged = nodes, nodes.select("node", "label")
     for _ in range(stages):
         if left.select("label").distinct().limit(2).count() < 2:

@@ -125,3 +125,12 @@ def test_written_provenance_is_compressed(spark, sf, monkeypatch):
     monkeypatch.setattr(file_queries.files, "read_cdm_events", lambda s, path: kept.append(path) or spark.range(0).selectExpr(*(f"'' as {c}" for c in ("actorID", "objectID", "action", "timestampNanos", "exec", "userid")), "map('a', 'b') as properties"))
     file_queries.read_cdm_events(spark, sf)
     assert all(f.endswith(".gz") for f in os.listdir(kept[0]) if f.startswith("part"))
+
+
+def test_predictions_are_not_joined_to_themselves(spark):
+    rng = np.random.default_rng(6)
+    nodes = spark.createDataFrame([(i, [float(v) for v in rng.normal(i % 3, 1.0, 2)], i % 3) for i in range(60)], "node long, x array<double>, label int")
+    out = attribution.predict_node_types(attribution.fit_node_types(nodes), nodes)
+    assert "HashJoin" not in plan(out) and "SortMergeJoin" not in plan(out)
+    sure = [r["confidence"] for r in out.collect()]
+    assert len(sure) == 60 and min(sure) == 0.0 and max(sure) < 1.0
