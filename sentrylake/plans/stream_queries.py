@@ -68,13 +68,14 @@ def stream_triage(spark, sf_dir):
 
 
 def _with_heartbeat(spark, rows, name):
-    """A stream of ``rows`` in four files, and of one row long after them, which lets the watermark pass them."""
+    """A stream of ``rows``, and of one row long after them, which lets the watermark pass them."""
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = rows.withColumn("event_time", F.to_timestamp("event_time"))
     path = new_path(spark, name)
-    rows.repartition(4).write.parquet(path)
-    last = rows.agg(*((F.max(c) + F.expr("interval 90 days") if c == "event_time" else F.lit(None).cast(rows.schema[c].dataType) if c not in ("fingerprint", "detector", "severity", "score", "event_id") else F.max(c)).alias(c) for c in rows.columns))
+    rows.write.parquet(path)
+    # the last row is made of the written ones, which are not worked out again
+    last = spark.read.schema(rows.schema).parquet(path).agg(*((F.max(c) + F.expr("interval 90 days") if c == "event_time" else F.lit(None).cast(rows.schema[c].dataType) if c not in ("fingerprint", "detector", "severity", "score", "event_id") else F.max(c)).alias(c) for c in rows.columns))
     last.withColumn("fingerprint", F.lit("heartbeat")).withColumn("detector", F.lit("heartbeat")).withColumn("event_id", F.lit(-1).cast("long")).select(*rows.columns).write.mode("append").parquet(path)
     return own.readStream.schema(rows.schema).option("latestFirst", "false").parquet(path)
 
@@ -83,6 +84,7 @@ def _with_heartbeat(spark, rows, name):
 def stream_escalations(spark, sf_dir):
     marked = triage.apply_suppressions(standins.detections(spark, sf_dir), suppression_rules(spark, sf_dir))
     rows = marked.withColumn("fingerprint", triage.alert_fingerprint()).withColumn("suppressed", F.col("suppressed_by").isNotNull())
+    rows = rows.select("fingerprint", "event_id", "event_time", "severity", "score", "host", "suppressed")
     found = _run(spark, alerts.stream_alerts(_with_heartbeat(spark, rows, "x03"), GAP, late="40 days"))
     return found.where("event_id >= 0").select("event_id", "session_start", "forwarded")
 

@@ -1,21 +1,24 @@
 """Alerts as they occur: sessions, escalations and limits of a stream of detections.
 
-A key's rows may come in any order within the watermark.  They wait in the
-key's state until the watermark has passed them, and are then taken in order of
-event time, by an event-time timer; so the rows that come out are those of the
-batch form, however the input was cut into batches.  A second timer takes the
-key's state away when nothing can belong to it any more.  Needs the RocksDB
-state store.
+Rows may come in any order within the watermark.  They wait in the state until
+the watermark has passed them, and are then taken in order of event time, by an
+event-time timer; so the rows that come out are those of the batch form, however
+the input was cut into batches.  A key's state goes when nothing can belong to
+it any more.  Keys share buckets, and waiting rows lie there as chunks in order
+of time, so calls to the state are by buckets and chunks, not by rows or keys.
+Needs the RocksDB state store.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import deque
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -24,8 +27,22 @@ from ..functions.severity import SEVERITIES
 from ..operators import store, triage
 
 
+#: Buckets that the keys of a stream share; each is one group of the state.
+BUCKETS = 512
+
+#: Rows of a bucket in a chunk of what waits or comes out, at most.
+CHUNK = 100_000
+
+
+def _packed(rows: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(rows)
+    return out.getvalue().to_pybytes()
+
+
 class InOrder(StatefulProcessor):
-    """A fold over a key's rows in order of (ts, event_id), each taken once the watermark has passed it.
+    """A fold over each key's rows in order of (ts, event_id), each taken once the watermark has passed it.
 
     ``waiting``: DDL of the rows that wait; ts (seconds) and event_id come first.
     ``kept``: DDL of the carried state.  ``out``: names of the columns that come out behind the key.
@@ -49,47 +66,73 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", self.waiting)
-        self.state = handle.getValueState("kept", self.kept)
+        self.rows = handle.getMapState("rows", "first double, part string", "packed binary")
+        self.state = handle.getMapState("kept", "key string", self.kept)
+        self.names = [self.key, *(c.split()[0] for c in self.waiting.split(", "))]
+
+    def _wait(self, rows: pa.Table) -> None:
+        """Rows into chunks, known by their first time."""
+        rows = rows.sort_by("ts")
+        for begin in range(0, len(rows), CHUNK):
+            self.rows.updateValue((rows["ts"][begin].as_py(), uuid.uuid4().hex), (_packed(rows.slice(begin, CHUNK)),))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        names = [c.split()[0] for c in self.waiting.split(", ")]
-        new = [tuple(None if v is None or v != v else v for v in r) for pdf in rows for r in pdf[names].astype(object).itertuples(index=False, name=None)]
-        self.rows.appendList(new)
-        self.handle.registerTimer(max(math.ceil(min(r[0] for r in new) * 1e3), timerValues.getCurrentWatermarkInMs() + 1))
+        first, gathered, size = math.inf, [], 0
+        for pdf in rows:
+            gathered.append(pa.Table.from_pandas(pdf[self.names], preserve_index=False))
+            first, size = min(first, pdf["ts"].min()), size + len(pdf)
+            if size >= CHUNK:
+                self._wait(pa.concat_tables(gathered, promote_options="permissive"))
+                gathered, size = [], 0
+        if gathered:
+            self._wait(pa.concat_tables(gathered, promote_options="permissive"))
+        self.handle.registerTimer(max(math.ceil(first * 1e3), timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame(columns=[self.key, *self.out])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         watermark = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted((tuple(r) for r in self.rows.get()), key=lambda r: (r[0], r[1])) if self.rows.exists() else []
-        due = [r for r in waiting if r[0] * 1e3 <= watermark]
-        out = []
-        state = tuple(self.state.get()) if self.state.exists() else self.start()
-        for row in due:
-            state, found = self.step(state, row)
-            out.append((key[0], *found))
-        if rest := waiting[len(due) :]:
-            self.rows.put(rest)
-            self.handle.registerTimer(math.ceil(rest[0][0] * 1e3))
-        else:
-            self.rows.clear()
-        if due:
-            self.state.update(state)
-        if due or self.state.exists():
+        stored = {k[0]: tuple(v) for k, v in self.state.iterator()} if self.state.exists() else {}
+        states, touched, out, after = dict(stored), set(), [], math.inf
+        chunks = list(self.rows.keys()) if self.rows.exists() else []
+        if later := [first for first, _ in chunks if first * 1e3 > watermark]:
+            after = min(later) * 1e3
+        if now := [at for at in chunks if at[0] * 1e3 <= watermark]:
+            rows = pa.concat_tables([pa.ipc.open_stream(self.rows.getValue(at)[0]).read_all() for at in now], promote_options="permissive")
+            rows = rows.sort_by([("ts", "ascending"), ("event_id", "ascending")])
+            for at in now:
+                self.rows.removeKey(at)
+            due = int((rows["ts"].to_numpy() * 1e3 <= watermark).sum())
+            if due < len(rows):
+                self._wait(rows.slice(due))
+                after = min(after, rows["ts"][due].as_py() * 1e3)
+            for begin in range(0, due, CHUNK):
+                piece = rows.slice(begin, min(CHUNK, due - begin))
+                for name, *row in zip(*(piece[c].to_pylist() for c in self.names)):
+                    states[name], found = self.step(states[name] if name in states else self.start(), tuple(row))
+                    touched.add(name)
+                    out.append((name, *found))
+                yield pd.DataFrame(out, columns=[self.key, *self.out])
+                out = []
+        for name, state in states.items():
             end = self.until(state)
             end = watermark if end is None else math.floor(end * 1e3) + 1
-            if end <= watermark:
-                self.state.clear()
-            else:
-                self.handle.registerTimer(end)
-        yield pd.DataFrame(out, columns=[self.key, *self.out])
+            if end > watermark:
+                after = min(after, end)
+                if name in touched:
+                    self.state.updateValue((name,), state)
+            elif name in stored:
+                self.state.removeKey((name,))
+        if after < math.inf:
+            self.handle.registerTimer(max(math.ceil(after), watermark + 1))
+        yield pd.DataFrame(columns=[self.key, *self.out])
 
     def close(self) -> None:
         pass
 
 
-def _in_order(rows: DataFrame, key: str, processor: InOrder, schema: str) -> DataFrame:
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
+def _in_order(rows: DataFrame, processor: InOrder, schema: str) -> DataFrame:
+    buckets = rows.withColumn("bucket", F.pmod(F.xxhash64(processor.key), BUCKETS).cast("int")).groupBy("bucket")
+    return buckets.transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="eventTime")
 
 
 def _priority(peak: int, count: int, hosts: int, top: float) -> str:
@@ -147,7 +190,7 @@ def stream_alerts(detections: DataFrame, window: float = triage.DEDUP_WINDOW, at
     ts = (F.unix_micros("event_time") / F.lit(1e6)).alias("ts")
     rows = detections.withWatermark("event_time", late).select("fingerprint", "event_time", ts, "event_id", "severity", F.col("score").cast("double").alias("score"), "host", silent.alias("suppressed"))
     schema = "fingerprint string, event_id long, ts double, session_start double, count long, priority string, is_new boolean, escalated boolean, forwarded boolean"
-    return _in_order(rows, "fingerprint", _Triage(window, at), schema)
+    return _in_order(rows, _Triage(window, at), schema)
 
 
 class _Limit(InOrder):
@@ -179,4 +222,4 @@ def stream_rate_limit(alerts: DataFrame, per_minute: int, key: str, late: str =
     The state of a key is its last admitted times, and goes a minute after its last alert.
     """
     rows = alerts.withWatermark("event_time", late).select(key, "event_time", (F.unix_micros("event_time") / F.lit(1e6)).alias("ts"), "event_id")
-    return _in_order(rows, key, _Limit(key, per_minute), f"{key} string, event_id long, admitted boolean, dropped long")
+    return _in_order(rows, _Limit(key, per_minute), f"{key} string, event_id long, admitted boolean, dropped long")

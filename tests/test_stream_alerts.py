@@ -80,3 +80,15 @@ def test_priority_of_a_row_is_that_of_columns(spark):
     df = spark.createDataFrame(cases, "peak int, count long, hosts long, top double").withColumn("severity", F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "critical"])), F.col("peak") + 1))
     band = triage.priority_band(triage.priority_score(F.col("severity"), F.col("count"), F.col("hosts"), F.lit(False), F.col("top")))
     assert all(r["b"] == alerts._priority(r["peak"], r["count"], r["hosts"], r["top"]) for r in df.withColumn("b", band).collect())
+
+
+def test_rows_wait_in_chunks_of_keys_that_share_a_bucket(spark, stream, monkeypatch):
+    monkeypatch.setattr(alerts, "BUCKETS", 4, raising=False)
+    monkeypatch.setattr(alerts, "CHUNK", 100, raising=False)
+    rows = [(f"k{r[1] % 150}", *r[1:]) for r in made(7)]
+    df, suppressed = batch_of(spark, rows), F.col("suppressed")
+    want = triage.escalations(triage.triage_sessions(df, 3_600.0, suppressed=suppressed), suppressed=suppressed).collect()
+    got, sizes = stream(lambda s: alerts.stream_alerts(s, 3_600.0, late="40 days"), shuffled(rows, 2, 8), "chunks")
+    assert sorted((r["event_id"], r["priority"], r["is_new"], r["forwarded"]) for r in got) == sorted((r["event_id"], r["priority"], r["is_new"], r["forwarded"]) for r in want)
+    # the state had at least a row for each of 150 keys
+    assert max(sizes) < 100, sizes
