@@ -264,8 +264,8 @@ def _with_run(spans: DataFrame, keys: list[str], window: float, name: Column, or
 
 def _runs(cells: DataFrame, window: float) -> tuple[DataFrame, DataFrame]:
     """Cells (node, slice, first, last) with their run, and the runs as (node, slice, first, last); a run is known by its first slice."""
-    cells = checkpointed(_with_run(cells, ["node"], window, F.col("slice"), ["slice"]))
-    return cells, checkpointed(cells.groupBy("node", F.col("run").alias("slice")).agg(F.min("first").alias("first"), F.max("last").alias("last")))
+    cells = stored(_with_run(cells, ["node"], window, F.col("slice"), ["slice"]))
+    return cells, stored(cells.groupBy("node", F.col("run").alias("slice")).agg(F.min("first").alias("first"), F.max("last").alias("last")))
 
 
 def correlate(touched: DataFrame, window: float = 300.0, edges: DataFrame | None = None, radius: int = 0) -> DataFrame:
@@ -291,12 +291,12 @@ def correlate(touched: DataFrame, window: float = 300.0, edges: DataFrame | None
     """
     if radius and edges is None:
         raise ValueError("a radius needs edges")
-    rows = touched.where("ts is not null and node is not null").select("event_id", "ts", "node", F.floor(F.col("ts") / window).cast("long").alias("slice"))
-    rows = checkpointed(rows.groupBy("event_id", "node", "slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last")))
-    cells, layer = _runs(rows.groupBy("node", "slice").agg(F.min("first").alias("first"), F.max("last").alias("last")), window)
+    # the rows are written as they are; cells are made in each task before a shuffle
+    rows = stored(touched.where("ts is not null and node is not null").select("event_id", "ts", "node", F.floor(F.col("ts") / window).cast("long").alias("slice")))
+    cells, layer = _runs(rows.groupBy("node", "slice").agg(F.min("ts").alias("first"), F.max("ts").alias("last")), window)
     # the nodes of one event belong together
     of_event = rows.join(cells.select("node", "slice", "run"), ["node", "slice"]).select("event_id", _vertex(0, "run").alias("v"))
-    of_event = checkpointed(of_event.groupBy("event_id").agg(F.array_sort(F.collect_set("v")).alias("at")))
+    of_event = stored(of_event.groupBy("event_id").agg(F.array_sort(F.collect_set("v")).alias("at")))
     # events at the same runs give the same links
     homes = of_event.select("at").distinct()
     links = [homes.select(F.explode("at").alias("src"), F.col("at")[0].alias("dst"))]
@@ -324,8 +324,11 @@ def correlate(touched: DataFrame, window: float = 300.0, edges: DataFrame | None
     together = links[0]
     for more in links[1:]:
         together = together.unionByName(more)
-    found = of_event.select("event_id", F.col("at")[0].alias("node")).join(connected_components(together), "node").select("event_id", "component")
-    return found.join(found.groupBy("component").agg(F.min("event_id").alias("group_id")), "component").select("event_id", "group_id")
+    found = of_event.select("event_id", F.col("at")[0].alias("node"))
+    # groups get their names by runs, of which there are fewer than events
+    heads = found.groupBy("node").agg(F.min("event_id").alias("least")).join(connected_components(together), "node")
+    names = heads.groupBy("component").agg(F.min("least").alias("group_id"))
+    return found.join(heads.join(names, "component").select("node", "group_id"), "node").select("event_id", "group_id")
 
 
 def rescale_edge_weights(edges: DataFrame, seeds: DataFrame, hops: int = 2, flag_at: float = 0.2) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentrylake.operators import attribution, graph, influence, ml, representatives
-from sentrylake.plans import file_queries
+from sentrylake.plans import file_queries, graph_queries
 from sentrylake.sources import files
 
 
@@ -134,3 +134,12 @@ def test_predictions_are_not_joined_to_themselves(spark):
     assert "HashJoin" not in plan(out) and "SortMergeJoin" not in plan(out)
     sure = [r["confidence"] for r in out.collect()]
     assert len(sure) == 60 and min(sure) == 0.0 and max(sure) < 1.0
+
+
+def test_touched_rows_are_not_joined_or_shuffled_before_cells(spark, sf, monkeypatch):
+    seen, before = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: seen.append(plan(df)) or before(df))
+    touched = graph_queries.hot_touched(spark, sf, 0.75)
+    assert "Join" not in plan(touched) and "Exchange" not in plan(touched)
+    assert graph.correlate(touched, 1800.0).count() > 0
+    assert seen and "Exchange" not in seen[0]
