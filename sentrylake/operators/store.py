@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from collections.abc import Callable, Mapping, Sequence
 
@@ -122,13 +123,23 @@ def retain(df: DataFrame, now: float, days: float | Mapping[str, float] = RETENT
     return df.where(F.coalesce(age <= limit, F.lit(True)))
 
 
+#: Rows of a part in which arriving and stored keys meet, about.
+APPEND_ROWS = 500_000
+
+
 def append_new(stored: DataFrame, arriving: DataFrame, key: str | Sequence[str]) -> DataFrame:
-    """The arriving rows whose key is not stored, one for each key (of several the least by all columns)."""
+    """The arriving rows whose key is not stored, one for each key (of several the least by all columns).
+
+    Both are counted and dealt by key to as many parts as they need, so a task
+    sorts about ``APPEND_ROWS`` rows whatever the input; stored keys are not broadcast.
+    """
     key = [key] if isinstance(key, str) else list(key)
-    fresh = arriving.join(stored.select(*key).distinct(), key, "left_anti")
+    parts = max(1, math.ceil((arriving.count() + stored.count()) / APPEND_ROWS))
     rest = [F.col(c) for c in arriving.columns if c not in key]
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*rest))
-    return fresh.withColumn("_n", first).where("_n = 1").drop("_n")
+    # the order of the window serves the join too
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*(rest or key)))
+    fresh = arriving.repartition(parts, *key).withColumn("_n", first).where("_n = 1").drop("_n")
+    return fresh.join(stored.select(*key).repartition(parts, *key).hint("merge"), key, "left_anti")
 
 
 def detection_uid() -> Column:

@@ -6,7 +6,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentrylake.operators import attribution, graph, influence, ml, representatives
+from sentrylake.operators import attribution, graph, influence, ml, representatives, store
 from sentrylake.plans import file_queries, graph_queries
 from sentrylake.sources import files
 
@@ -143,3 +143,14 @@ def test_touched_rows_are_not_joined_or_shuffled_before_cells(spark, sf, monkeyp
     assert "Join" not in plan(touched) and "Exchange" not in plan(touched)
     assert graph.correlate(touched, 1800.0).count() > 0
     assert seen and "Exchange" not in seen[0]
+
+
+def test_appended_rows_meet_in_parts_of_a_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(store, "APPEND_ROWS", 100, raising=False)
+    stored = spark.createDataFrame([(i, "s") for i in range(0, 900, 3)] + [(None, "s")], "k int, v string")
+    arriving = spark.createDataFrame([(i, v) for i in range(900) for v in ("b", "a")] + [(None, "z"), (None, "y")], "k int, v string")
+    out = store.append_new(stored, arriving, "k")
+    assert "BroadcastHashJoin" not in plan(out)
+    got = out.withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r["k"] or -1, r["v"]) for r in got if r["k"] != 0) == sorted([(i, "a") for i in range(900) if i % 3] + [(-1, "y")])
+    assert len({r["part"] for r in got}) > 15
