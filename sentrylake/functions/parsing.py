@@ -68,8 +68,8 @@ def extract_kv(text: Column) -> Column:
 def parse_timestamp(value: Column, year: int | None = None) -> Column:
     """P10: epoch seconds from numbers (by size s, ms, us or ns), ISO text and syslog dates (of ``year``, else this one); null if it is none."""
     s = F.trim(value.cast("string"))
-    v = s.try_cast("double")
-    number = F.when(v > 1e17, v / 1e9).when(v > 1e14, v / 1e6).when(v > 1e11, v / 1e3).otherwise(v)
+    # text that is no number costs an exception, so it is tried once
+    number = _once(s.try_cast("double"), lambda v: F.when(v > 1e17, v / 1e9).when(v > 1e14, v / 1e6).when(v > 1e11, v / 1e3).otherwise(v))
     iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_micros(F.try_to_timestamp(F.regexp_replace(s, r"^(\d{4}-\d{2}-\d{2})T", "$1 "))) / F.lit(1e6))
     of_year = F.lit(str(year)) if year else F.year(F.current_timestamp()).cast("string")
     dated = F.concat_ws(" ", of_year, F.regexp_replace(s, r"\s+", " "))

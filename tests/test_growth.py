@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sentrylake.operators import attribution, graph, influence, ml, representatives, store
-from sentrylake.plans import file_queries, graph_queries
+from sentrylake.plans import file_queries, graph_queries, ingest_queries
 from sentrylake.sources import files
 
 
@@ -154,3 +154,9 @@ def test_appended_rows_meet_in_parts_of_a_bounded_size(spark, monkeypatch):
     got = out.withColumn("part", F.spark_partition_id()).collect()
     assert sorted((r["k"] or -1, r["v"]) for r in got if r["k"] != 0) == sorted([(i, "a") for i in range(900) if i % 3] + [(-1, "y")])
     assert len({r["part"] for r in got}) > 15
+
+
+def test_lines_are_dealt_before_they_are_parsed(spark, sf):
+    out = plan(ingest_queries.parse_lines(spark, sf))
+    # the events' one row group was parsed in one task
+    assert out.index("Generate explode") < out.index("Exchange hashpartitioning(event_id")
