@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.checkpoints import checkpointed
+from ..functions.checkpoints import checkpointed, stored
+from . import word_vectors
 from .order_stats import percentiles, values_at_ranks
 
 #: The parts of a feature vector.
@@ -203,15 +205,13 @@ def average_parameters(parameters: DataFrame) -> DataFrame:
     return rows.groupBy("category", "name", "position").agg(F.avg("v").alias("value"))
 
 
-def _mean_vectors(rows: DataFrame, key: str, x: Column, name: str, times: str | None = None) -> DataFrame:
-    """(key, name): the mean of arrays by key, as whole vectors that are summed in each task first; with ``times`` (a column) weighted, and n, the sum of weights, behind it."""
+def _mean_vectors(rows: DataFrame, key: str, x: Column, name: str) -> DataFrame:
+    """(key, name): the mean of arrays by key, as whole vectors that are summed in each task first."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    rows = rows.select(key, array_to_vector(x).alias("v"), *([times] if times else []))
-    if times is None:
-        return rows.groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m")).select(key, vector_to_array("m").alias(name))
-    return rows.groupBy(key).agg(Summarizer.mean(F.col("v"), F.col(times)).alias("m"), F.sum(times).alias("n")).select(key, vector_to_array("m").alias(name), "n")
+    rows = rows.select(key, array_to_vector(x).alias("v"))
+    return rows.groupBy(key).agg(Summarizer.mean(F.col("v")).alias("m")).select(key, vector_to_array("m").alias(name))
 
 
 def neighbor_means(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -229,13 +229,30 @@ def neighbor_features(nodes: DataFrame, edges: DataFrame, layers: int = 2) -> Da
     return nodes
 
 
-def fit_token_embeddings(docs: DataFrame, tokens_col: str = "tokens", size: int = 30, window: int = 5, min_count: int = 1, seed: int = 42, partitions: int | None = None) -> DataFrame:
-    """(word, vector): word2vec by Spark ML over arrays of tokens, trained in ``partitions`` tasks (one for each 100,000 documents unless given)."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
+def fit_token_embeddings(docs: DataFrame, tokens_col: str = "tokens", size: int = 30, window: int = 5, min_count: int = 1, seed: int = 42, partitions: int | None = None, negatives: int = 5, rate: float = 0.05) -> DataFrame:
+    """(word, vector): word2vec (skip-grams, ``negatives`` random words to a pair) over arrays of tokens, one pass in ``partitions`` parts (one for each 2,000,000 tokens unless given).
 
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=1, seed=seed, numPartitions=partitions or max(1, docs.count() // 100_000), inputCol=tokens_col, outputCol="_v").fit(docs)
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    A part knows its own words only, all of which start where their hashes say; a
+    word's vector is the mean of its parts', by its number of times in each.
+    """
+    if min_count > 1:
+        docs = _without_rare(docs, tokens_col, min_count)
+    if partitions is None:
+        partitions = max(1, math.ceil((docs.agg(F.sum(F.size(tokens_col))).first()[0] or 0) / word_vectors.PART))
+    # dealt in turns, as documents may be alike; then in an order that their words alone decide
+    dealt = word_vectors.pieces(docs, tokens_col, window).repartition(partitions).sortWithinPartitions(F.xxhash64("tokens", "lead"))
+    parts = word_vectors.trained_parts(dealt, size, window, negatives, rate, seed)
+    mean = F.array(*(F.sum(F.get("v", F.lit(i)) * F.col("times")) / F.sum("times") for i in range(size)))
+    # a word is in a part once: nothing to add up before the shuffle
+    return stored(parts.repartition("word").groupBy("word").agg(mean.alias("vector")))
+
+
+def _without_rare(docs: DataFrame, tokens_col: str, min_count: int) -> DataFrame:
+    """Documents as (``tokens_col``) without the words that are in fewer than ``min_count`` places."""
+    rows = stored(docs.select(tokens_col, F.monotonically_increasing_id().alias("doc")).select("doc", F.posexplode(tokens_col).alias("at", "word")))
+    known = rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    kept = rows.join(known, "word", "left_semi").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
+    return kept.select(F.col("w.word").alias(tokens_col))
 
 
 def embed_documents(docs: DataFrame, vectors: DataFrame, size: int, id_col: str = "node", tokens_col: str = "tokens", positional: bool = True) -> DataFrame:
@@ -246,17 +263,18 @@ def embed_documents(docs: DataFrame, vectors: DataFrame, size: int, id_col: str
     document with their number of times.  A document without a known word gets zeros.
     """
     times = docs.select(id_col, F.explode(tokens_col).alias("word")).groupBy(id_col, "word").agg(F.count("*").cast("double").alias("times"))
-    sums = _mean_vectors(times.join(vectors, "word"), id_col, F.col("vector"), "x", "times")
-    if positional:
-        sums = sums.withColumn("x", F.transform("x", lambda v, i: v + _wave_sum(F.col("n"), i, size) / F.col("n")))
-    return docs.select(id_col).join(sums.drop("n"), id_col, "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), size)))
+    # plain sums: a task adds them up without an object for each row
+    sums = times.join(vectors, "word").groupBy(id_col).agg(F.sum("times").alias("n"), *(F.sum(F.get("vector", F.lit(i)) * F.col("times")).alias(f"s{i}") for i in range(size)))
+    waves = [_wave_sum(F.col("n"), i, size) if positional else F.lit(0.0) for i in range(size)]
+    sums = sums.select(id_col, F.array(*((F.col(f"s{i}") + wave) / F.col("n") for i, wave in enumerate(waves))).alias("x"))
+    return docs.select(id_col).join(sums, id_col, "left").withColumn("x", F.coalesce("x", F.array_repeat(F.lit(0.0), size)))
 
 
-def _wave_sum(n: Column, i: Column, size: int) -> Column:
+def _wave_sum(n: Column, i: int, size: int) -> Column:
     """The sum over places 0 to n - 1 of the sine (even i) or cosine (odd i) of the place times i's frequency."""
-    half = F.exp(-(i - i % 2) * F.lit(1.0) * F.log(F.lit(10000.0)) / size) / 2
+    half = 10000.0 ** (-(i - i % 2) / size) / 2
     middle = (n - 1) * half
-    return F.sin(n * half) / F.sin(half) * F.when(i % 2 == 0, F.sin(middle)).otherwise(F.cos(middle))
+    return F.sin(n * half) / math.sin(half) * (F.sin(middle) if i % 2 == 0 else F.cos(middle))
 
 
 def reconstruction_error(rows: DataFrame, bottleneck: int = 2) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import math
 import os
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sentrylake.operators import attribution, graph, influence, ml, representatives, store
+from sentrylake.operators import attribution, graph, influence, ml, representatives, store, word_vectors
 from sentrylake.plans import file_queries, graph_queries, ingest_queries
 from sentrylake.sources import files
 
@@ -160,3 +161,71 @@ def test_lines_are_dealt_before_they_are_parsed(spark, sf):
     out = plan(ingest_queries.parse_lines(spark, sf))
     # the events' one row group was parsed in one task
     assert out.index("Generate explode") < out.index("Exchange hashpartitioning(event_id")
+
+
+def test_vocabulary_does_not_go_through_the_driver(spark, monkeypatch):
+    draw = random.Random(8)
+    kinds = [[f"{k}{i}" for i in range(150)] for k in "ab"]
+    docs = spark.createDataFrame([([draw.choice(kinds[n % 2]) for _ in range(60)],) for n in range(500)], "tokens array<string>")
+    monkeypatch.setattr(ml.word_vectors, "PART", 8000)
+    out = ml.fit_token_embeddings(docs, size=8)
+    # Spark ML's model is a local table of all words
+    assert "LocalTableScan" not in plan(out)
+    vector = {r["word"]: np.array(r["vector"]) / np.linalg.norm(r["vector"]) for r in out.collect()}
+    assert set(vector) == {*kinds[0], *kinds[1]}
+    a, b = (np.array([vector[w] for w in kind]) for kind in kinds)
+    # four parts, whose vectors agree
+    assert np.mean(a @ a.T) > np.mean(a @ b.T) + 0.5 and np.mean(b @ b.T) > np.mean(a @ b.T) + 0.5
+
+
+def test_pieces_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(word_vectors, "PIECE", 7)
+    docs = spark.createDataFrame([([str(i) for i in range(n)],) for n in (23, 7, 8, 1, 0)] + [(None,), (["x", None, "y"],)], "tokens array<string>")
+    got = []
+    for r in word_vectors.pieces(docs, "tokens", 5).collect():
+        t = r["tokens"]
+        got += [(t[i], t[j]) for i in range(len(t)) for j in range(len(t)) if 0 < abs(i - j) <= 5 and (i >= r["lead"] or j >= r["lead"])]
+    want = [(str(i), str(j)) for n in (23, 7, 8) for i in range(n) for j in range(n) if 0 < abs(i - j) <= 5] + [("x", "y"), ("y", "x")]
+    assert sorted(got) == sorted(want)
+
+
+def test_a_pass_moves_along_the_gradient(monkeypatch):
+    """A block against plain loops: pairs in a window, fewer by distance, not across pieces and not of two leading words."""
+    rng = np.random.default_rng(2)
+    words, piece, lead = rng.integers(0, 9, 40), np.repeat([0, 1, 2], [15, 5, 20]), np.isin(np.arange(40), [15, 16, 20])
+    start = word_vectors.start_vectors(np.array([f"w{i}" for i in range(9)], dtype=object), 4, 1)
+    got = start.copy()
+    monkeypatch.setattr(word_vectors, "BLOCK", 16)
+    word_vectors.train(words, piece, lead, got, 3, 2, 1.0, 1)
+    vectors, others, seen = start.astype(float), np.zeros((9, 4)), np.ones((2, 9))
+    noise = np.random.default_rng(1).permutation(words)
+    weight = lambda i, j: 0.0 if not 0 < abs(i - j) <= 3 or piece[i] != piece[j] or (lead[i] and lead[j]) else 1 - (abs(i - j) - 1) / 3
+    for at in range(0, 40, 16):
+        block, steps = range(at, min(at + 16, 40)), ([], [])
+        dx = {}
+        for i in block:
+            dy = np.zeros(4)
+            for j in range(40):
+                g = weight(i, j) / (1 + math.exp(vectors[words[j]] @ others[words[i]]) / 2)
+                dy, dx[j] = dy + g * vectors[words[j]], dx.get(j, np.zeros(4)) + g * others[words[i]]
+            steps[1].append((words[i], dy))
+        for i in block:
+            for k in range(2):
+                w, x = noise[(at * 2 + k * len(block) + i - at) % 40], vectors[words[i]]
+                g = sum(weight(i, j) for j in range(40)) / (1 + 2 * math.exp(-x @ others[w]))
+                dx[i] = dx[i] - g * others[w]
+                steps[1].append((w, -g * x))
+        steps[0].extend((words[j], d) for j, d in dx.items())
+        for table, s, moved in ((vectors, seen[0], steps[0]), (others, seen[1], steps[1])):
+            for w, d in moved:
+                s[w] += d @ d
+            for w, d in moved:
+                table[w] += d / math.sqrt(s[w])
+    assert np.abs(got - start).max() > 0.05 and np.allclose(got, vectors, atol=1e-5)
+
+
+def test_rare_words_leave_before_the_windows(spark):
+    docs = spark.createDataFrame([(["a", "z", "b", "a"],), (["b", None],), (None,)], "tokens array<string>")
+    kept = sorted(r["tokens"] for r in ml._without_rare(docs, "tokens", 2).collect())
+    assert kept == [["a", "b", "a"], ["b"]]
+    assert {r["word"] for r in ml.fit_token_embeddings(docs, size=2, min_count=2).collect()} == {"a", "b"}
