@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A document's words in a row, a part's words, and the words that take a step together.
-PIECE, PART, BLOCK = 1000, 2_000_000, 1024
+PIECE, PART, BLOCK = 1000, 2_000_000, 2048
 
 
 def pieces(docs: DataFrame, tokens_col: str, window: int) -> DataFrame:

@@ -175,6 +175,9 @@ def test_vocabulary_does_not_go_through_the_driver(spark, monkeypatch):
     assert set(vector) == {*kinds[0], *kinds[1]}
     a, b = (np.array([vector[w] for w in kind]) for kind in kinds)
     # four parts, whose vectors agree
+    every = np.vstack([a, b])
+    nearest = (every @ every.T - 3 * np.eye(300)).argmax(1)
+    assert np.mean((nearest < 150) == (np.arange(300) < 150)) > 0.97
     assert np.mean(a @ a.T) > np.mean(a @ b.T) + 0.5 and np.mean(b @ b.T) > np.mean(a @ b.T) + 0.5
 
 
